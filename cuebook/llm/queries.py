@@ -41,3 +41,22 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, toxicity_model(spark, sf_dir))
     return out.select("doc_id", (_crc(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_url_filters(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import url_rules
+
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_multi_index(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import multi_index
+
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op8_source_mix(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
