@@ -60,3 +60,21 @@ def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     from cuebook.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import extract
+
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import license_scan
+
+    return license_scan.licenses(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import pieces
+
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Model.load()).drop("text")
