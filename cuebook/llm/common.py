@@ -93,6 +93,12 @@ def shingles(b: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def _mark(e: DataFrame):
+    """Count and two order-free sums of a set of edges: equal marks mean an equal set, but for a 128-bit collision."""
+    h = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
+    return tuple(e.agg(F.count("*"), *h).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges. Only nodes with an edge appear.
 
@@ -100,16 +106,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Distinct edges only; hubs are reduced by min() on the map side before any shuffle."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            break
+        now = _mark(new)
         e = new
+        if now == before:
+            break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     top = e.groupBy("u").agg(F.min("v").alias("component"))
