@@ -82,8 +82,12 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", sample: int
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-6) + 1)
     vocab = np.sort(np.array([r.t for r in stats.withColumn("z", z).orderBy(F.desc("z"), "t").limit(vocabulary).select("t").collect()], np.int64))
     m = Machine(vocab)
-    keep = F.array_intersect("t", F.array(*[F.lit(int(x)) for x in vocab])) if len(vocab) else F.col("t")
-    got = docs.orderBy("h").limit(sample).select("y", keep.alias("t")).collect()
+    hold = rows.sparkSession.sparkContext.broadcast(vocab)
+
+    def known(s: pd.Series) -> pd.Series:
+        return pd.Series([np.intersect1d(hold.value, np.asarray(x, np.int64)).tolist() for x in s], dtype=object)
+
+    got = docs.orderBy("h").limit(sample).select("y", F.pandas_udf(known, "array<long>")("t").alias("t")).collect()
     docs.unpersist()
     return m.fit([m.place(np.sort(np.array(r.t, np.int64))) for r in got], np.array([r.y for r in got], float)) if got and len(vocab) else m
 
