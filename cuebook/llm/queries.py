@@ -34,7 +34,7 @@ def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark, sf_dir: str):
     labels = table(spark, sf_dir, "labels").where(_crc(4) != 2).select("doc_id", "toxic")
-    return toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train(table(spark, sf_dir, "documents"), labels)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

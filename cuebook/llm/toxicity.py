@@ -65,29 +65,45 @@ class Machine:
         return self
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", sample: int = 6000, vocabulary: int = 1024) -> Machine:
-    """Machine from rows of text and 0/1 label; rows with another or null label are left out.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, vocabulary: int = 1024) -> Machine:
+    """Machine from the documents that labels marks 0 or 1; other and null labels are left out.
 
-    Term counts cover all rows. sample bounds the rows of the factor fit (smallest hash of text first, repeated texts once), vocabulary the terms."""
-    base = rows.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").withColumn("h", F.xxhash64("text", "y"))
+    Term counts cover all labelled documents; of equal texts with equal labels the one with the smallest key counts (a row repeated under one key counts each
+    time). sample bounds the rows of the factor fit (smallest hash of text first), vocabulary the terms. Texts are never shuffled: hashes of texts meet the labels
+    first, then the terms of the documents chosen."""
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    chosen = base.select("key", "h").join(marks.hint("merge"), "key").groupBy("h", "y").agg(F.min("key").alias("key"))
 
     def hashed(batches):
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "y": b["y"], "t": [terms(t).tolist() for t in b["text"]]})
+            yield pd.DataFrame({"key": b["key"], "h": b["h"], "t": [terms(t).astype(np.int32).tobytes() for t in b["text"]]})
 
-    docs = base.dropDuplicates(["h"]).mapInPandas(hashed, "h long, y int, t array<long>").persist()
+    kind = dict(base.dtypes)["key"]
+    docs = base.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen.hint("merge"), ["key", "h"]).select("h", "y", "t").persist()
     n = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    stats = docs.select(F.explode("t").alias("t"), "y").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where("n >= 5")
+
+    def tally(batches):
+        count, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for t, y in zip(b["t"], b["y"], strict=True):
+                at = np.frombuffer(t, np.int32)  # distinct within a document
+                count[at] += 1
+                pos[at] += y
+        at = np.flatnonzero(count)
+        yield pd.DataFrame({"t": at, "n": count[at], "pos": pos[at]})
+
+    stats = docs.select("t", "y").mapInPandas(tally, "t long, n long, pos long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 5")
     share = n.pos / max(1, n.n)
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-6) + 1)
     vocab = np.sort(np.array([r.t for r in stats.withColumn("z", z).orderBy(F.desc("z"), "t").limit(vocabulary).select("t").collect()], np.int64))
     m = Machine(vocab)
-    hold = rows.sparkSession.sparkContext.broadcast(vocab)
+    hold = base.sparkSession.sparkContext.broadcast(vocab)
 
     def known(s: pd.Series) -> pd.Series:
-        return pd.Series([np.intersect1d(hold.value, np.asarray(x, np.int64)).tolist() for x in s], dtype=object)
+        return pd.Series([np.intersect1d(hold.value, np.frombuffer(x, np.int32).astype(np.int64)).tolist() for x in s], dtype=object)
 
-    got = docs.orderBy("h").limit(sample).select("y", F.pandas_udf(known, "array<long>")("t").alias("t")).collect()
+    got = docs.select("h", "y", F.pandas_udf(known, "array<long>")("t").alias("t")).orderBy("h", "y").limit(sample).select("y", "t").collect()
     docs.unpersist()
     return m.fit([m.place(np.sort(np.array(r.t, np.int64))) for r in got], np.array([r.y for r in got], float)) if got and len(vocab) else m
 
