@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import lowered
+from cuebook.llm.common import cut, lowered
 
 BUCKETS = 4096
+BROADCAST_ROWS = 200_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -63,7 +64,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
     Rows without text or lang are left out. The model holds BUCKETS numbers a language, so what reaches the driver doesn't grow with the rows."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     keys = rows.groupBy("lang", F.pmod("h", F.lit(64)).alias("part"), "h").agg(F.lit(1).alias("one")).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("k") <= per_lang // 64 + 1)
-    chosen = rows.join(keys.select("lang", "h"), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    keys = cut(keys.select("lang", "h"))
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # so that texts that aren't chosen are never shuffled
+    chosen = rows.join(F.broadcast(keys) if few else keys, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
