@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cuebook.functions import scalars
 from cuebook.operators import tasklog, timeline
+from cuebook.plans import segment_catalog
 from cuebook.sources.tables import cues, table, task_log
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES = dict(segment_catalog.QUERIES), dict(segment_catalog.ORACLES)
 LOG = """(SELECT o_orderkey AS task_id, o_orderdate AS requested_at, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status,
  o_totalprice AS cost, CAST(floor(o_totalprice) AS BIGINT) AS tokens, o_orderpriority AS model, o_custkey AS batch_id, o_custkey % 3 = 0 AS is_batch, 'audio_' || o_orderkey || '.mp3' AS filename FROM orders)"""
 CUES = r"""(SELECT conv_id AS file_id, turn AS line_no, turn * 725 + (conv_id % 10) * 10 AS start_cs, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM conversations)"""
