@@ -35,12 +35,13 @@ def with_ends(cues: DataFrame, last_cs: int = 500) -> DataFrame:
 
 
 def document(cues: DataFrame, style: str) -> DataFrame:
-    """One srt, vtt or txt text per file, lines in order."""
+    """One srt, vtt or txt text per file, lines in order. srt blocks are numbered, vtt blocks aren't; both end with a newline."""
     mark, arrow = ("," if style == "srt" else "."), F.lit(" --> ")
-    body = F.col("text") if style == "txt" else F.concat(F.col("line_no").cast("string"), F.lit("\n"), clock(F.col("start_cs"), mark), arrow, clock(F.col("end_cs"), mark), F.lit("\n"), F.col("text"))
+    number = F.concat(F.col("line_no").cast("string"), F.lit("\n")) if style == "srt" else F.lit("")
+    body = F.col("text") if style == "txt" else F.concat(number, clock(F.col("start_cs"), mark), arrow, clock(F.col("end_cs"), mark), F.lit("\n"), F.col("text"), F.lit("\n"))
     rows = F.array_sort(F.collect_list(F.struct("line_no", body.alias("s"))))
-    head, gap = ("WEBVTT\n\n" if style == "vtt" else ""), ("\n" if style == "txt" else "\n\n")
-    return cues.groupBy("file_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["s"]), gap)).alias("content"))
+    head = "WEBVTT\n\n" if style == "vtt" else ""
+    return cues.groupBy("file_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["s"]), "\n")).alias("content"))
 
 
 def runs(flags: DataFrame, key: str, order: list[str], flag: str = "flag") -> DataFrame:

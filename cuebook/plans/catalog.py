@@ -132,10 +132,10 @@ def _document(style: str):
     def run(spark, d):
         return timeline.document(timeline.with_ends(cues(spark, d)), style)
 
-    mark, head, gap = ("," if style == "srt" else "."), ("'WEBVTT' || chr(10) || chr(10) || " if style == "vtt" else ""), ("chr(10)" if style == "txt" else "chr(10) || chr(10)")
-    body = "text" if style == "txt" else f"line_no || chr(10) || {sql_clock('start_cs', mark)} || ' --> ' || {sql_clock('end_cs', mark)} || chr(10) || text"
+    mark, head, number = ("," if style == "srt" else "."), ("'WEBVTT' || chr(10) || chr(10) || " if style == "vtt" else ""), ("line_no || chr(10) || " if style == "srt" else "")
+    body = "text" if style == "txt" else f"{number}{sql_clock('start_cs', mark)} || ' --> ' || {sql_clock('end_cs', mark)} || chr(10) || text || chr(10)"
     QUERIES[f"{style}_document"] = run
-    ORACLES[f"{style}_document"] = f"SELECT file_id, {head}string_agg({body}, {gap} ORDER BY line_no) AS content FROM {ENDS} e GROUP BY file_id"
+    ORACLES[f"{style}_document"] = f"SELECT file_id, {head}string_agg({body}, chr(10) ORDER BY line_no) AS content FROM {ENDS} e GROUP BY file_id"
 
 
 for _style in ("srt", "vtt", "txt"):
