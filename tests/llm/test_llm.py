@@ -91,6 +91,17 @@ def test_pieces_round_trip_and_best_score():
     assert [toy.pieces[i] for i in toy.encode("ab")] == ["▁", "ab"]
 
 
+def test_words_walked_together_as_alone():
+    pytest.importorskip("sentencepiece")
+    m = pieces.Model.load()
+    rng = np.random.default_rng(3)
+    letters = list("abcdefgh e\u00e9\u00df\u6f22\U0001f600\u0001\n'-1") + [pieces.MARK]
+    units = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(400)]
+    assert m.viterbi_many(units) == [m.viterbi(u) for u in units]
+    texts = [None, "", "a b", "x" * 5000, " ".join(units), "\u2581 \u2581"]
+    assert list(m.encode_all(texts)) == [m.encode(t) for t in texts]
+
+
 def test_url_rules_and_redirects(spark):
     link = '<link rel="canonical" href="https://bad.example.org/es/9">'
     rows = [(1, "http://x.org/a", None), (2, "http://a.example.org/es/1#t", ""), (3, "https://n.net/p", link), (4, "http://N.net/p#q", ""), (5, None, None), (6, "no host", ""), (7, "http://example.org/en/12", ""), (8, "http://bad.example.org/es/9", "")]
