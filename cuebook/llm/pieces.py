@@ -8,6 +8,7 @@ The new words of a group of texts walk the trie and the Viterbi lattice together
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain, pairwise
 
 import numpy as np
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 200_000
+MEMO = 50_000
 #: Characters of the texts taken together, and characters from which a word is walked alone.
-GROUP, LONG = 1 << 20, 64
+GROUP, LONG = 1 << 17, 64
+#: Rows given back at a time, so that a task holds the ids of few texts.
+ROWS = 256
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -219,12 +222,15 @@ def encoded(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts have no ids and are intact. A marker character in a text decodes as a blank, so such texts aren't intact."""
     hold = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        m, out = hold.value, []
-        for t, ids in zip(s, m.encode_all(s), strict=True):
-            a = np.array(ids, np.int32)
-            out.append((a, len(ids), int(m.is_byte[a].sum()), m.decode(ids) == (t or "")))
-        return pd.DataFrame(out, columns=["ids", "n_tokens", "n_byte_tokens", "intact"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = hold.value
+        for s in batches:
+            for lo in range(0, len(s), ROWS):
+                part, out = s.iloc[lo : lo + ROWS], []
+                for t, ids in zip(part, m.encode_all(part), strict=True):
+                    a = np.array(ids, np.int32)
+                    out.append((a, len(ids), int(m.is_byte[a].sum()), m.decode(ids) == (t or "")))
+                yield pd.DataFrame(out, columns=["ids", "n_tokens", "n_byte_tokens", "intact"])
 
     r = F.pandas_udf(run, "ids array<int>, n_tokens long, n_byte_tokens long, intact boolean")
     return df.withColumn("_p", r(F.col(text).cast("string"))).select(*df.columns, "_p.ids", "_p.n_tokens", "_p.n_byte_tokens", "_p.intact")
