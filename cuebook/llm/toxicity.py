@@ -1,7 +1,8 @@
 """Operator 5: toxicity by a factorization machine over hashed terms.
 
-Term statistics over all labelled training rows pick the terms (hash buckets) that tell the labels apart; the machine then learns a weight
-and a factor vector per term on a bounded sample of labelled rows, so that pairs of terms count beyond their single weights."""
+Every term (hash bucket) of enough labelled training rows has a weight and a factor vector. Term statistics over all labelled rows give each term's
+pace, by how well it tells the labels apart; the machine then learns on a bounded sample of labelled rows, so that pairs of terms count beyond their
+single weights. A term that no row of the sample has keeps the weight that the statistics give it."""
 
 from __future__ import annotations
 
@@ -21,55 +22,70 @@ def terms(text: str | None) -> np.ndarray:
 
 
 class Machine:
-    def __init__(self, vocab: np.ndarray, factors: int = 4):
+    def __init__(self, vocab: np.ndarray, factors: int = 4, pace: np.ndarray | None = None, start: np.ndarray | None = None):
         rng = np.random.default_rng(7)
-        self.vocab, self.w0 = vocab, -2.0
-        self.w, self.v = np.zeros(len(vocab)), rng.normal(0, 0.05, (len(vocab), factors))
+        self.vocab, self.w0 = vocab.astype(np.int32), -2.0
+        self.w, self.v = np.zeros(len(vocab), np.float32), rng.normal(0, 0.05, (len(vocab), factors)).astype(np.float32)
+        self.pace = np.ones(len(vocab), np.float32) if pace is None else pace.astype(np.float32)
+        self.v *= self.pace[:, None]
+        self.start = None if start is None else start.astype(np.float32)
 
     def place(self, t: np.ndarray) -> np.ndarray:
         """Positions in the vocabulary of the document's terms."""
         if not len(self.vocab) or not len(t):
             return np.empty(0, np.int64)
-        k = np.minimum(np.searchsorted(self.vocab, t), len(self.vocab) - 1)
+        k = np.minimum(np.searchsorted(self.vocab, t.astype(np.int32)), len(self.vocab) - 1)
         return k[self.vocab[k] == t]
 
     def logit(self, k: np.ndarray) -> float:
         """Bias, weights and all pairwise factor products, by the sum-of-squares identity."""
-        f = self.v[k]
-        return self.w0 + self.w[k].sum() + 0.5 * float((f.sum(axis=0) ** 2 - (f * f).sum(axis=0)).sum())
+        f = self.v[k].astype(float)
+        return self.w0 + self.w[k].sum(dtype=float) + 0.5 * float((f.sum(axis=0) ** 2 - (f * f).sum(axis=0)).sum())
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.03, l2: float = 2e-3):
-        """Adam on the logistic loss, in a fixed order of batches."""
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.1, l2: float = 2e-3):
+        """Adagrad on the logistic loss, in a fixed order of batches; a batch reads and moves only the terms of its documents.
+
+        Steps start from an accumulator of 1, so that a term of few documents moves little. Terms in no document take their start weight and lose their factors."""
         rng = np.random.default_rng(11)
-        x = np.zeros((len(docs), len(self.vocab)), np.float32)
-        for i, d in enumerate(docs):
-            x[i, d] = 1
-        p = [np.array([self.w0]), self.w, self.v]
-        m, s, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
+        batch = min(batch, max(16, len(docs) // 24))  # small tables get as many steps as large ones
+        seen = np.zeros(len(self.vocab), bool)
+        for d in docs:
+            seen[d] = True
+        self.v[~seen] = 0
+        if self.start is not None:
+            self.w[~seen] = self.start[~seen]
+        sw, sv, s0 = np.ones_like(self.w), np.ones_like(self.v), 1.0
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                xb = x[at]
-                xv = xb @ p[2]
-                z = p[0][0] + xb @ p[1] + 0.5 * (xv**2 - xb @ (p[2] ** 2)).sum(axis=1)
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / len(at)
-                gw = xb.T @ g
-                grad = [np.array([g.sum()]), gw + l2 * p[1], xb.T @ (g[:, None] * xv) - gw[:, None] * p[2] + l2 * p[2]]
-                step += 1
-                for k in range(3):
-                    m[k] = 0.9 * m[k] + 0.1 * grad[k]
-                    s[k] = 0.999 * s[k] + 0.001 * grad[k] ** 2
-                    p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-        self.w0, self.w, self.v = float(p[0][0]), p[1], p[2]
+                n = np.array([len(docs[i]) for i in at])
+                row = np.repeat(np.arange(len(at)), n)
+                u, k = np.unique(np.concatenate([docs[i] for i in at]), return_inverse=True)
+                w, v = self.w[u].astype(float), self.v[u].astype(float)
+                by_row = lambda x: np.bincount(row, x[k], len(at))  # noqa: B023, E731
+                xv = np.stack([by_row(v[:, f]) for f in range(v.shape[1])], axis=1)
+                z = self.w0 + by_row(w) + 0.5 * ((xv**2).sum(axis=1) - by_row((v * v).sum(axis=1)))
+                g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]
+                gw = np.bincount(k, g[row], len(u))
+                gv = np.stack([np.bincount(k, (g * xv[:, f])[row], len(u)) for f in range(v.shape[1])], axis=1) - gw[:, None] * v
+                gw, gv, g0 = gw + l2 * len(at) * w, gv + l2 * len(at) * v, g.sum()
+                sw[u] += gw**2
+                sv[u] += gv**2
+                s0 += g0**2
+                self.w[u] = w - rate * self.pace[u] * gw / np.sqrt(sw[u])
+                self.v[u] = v - rate * self.pace[u, None] * gv / np.sqrt(sv[u])
+                self.w0 -= rate * g0 / np.sqrt(s0)
+        self.w0, self.pace, self.start = float(self.w0), None, None  # only w0, w and v are sent to executors
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, vocabulary: int = 1024) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, support: int = 5) -> Machine:
     """Machine from the documents that labels marks 0 or 1; other and null labels are left out.
 
     Term counts cover all labelled documents; of equal texts with equal labels the one with the smallest key counts (a row repeated under one key counts each
-    time). sample bounds the rows of the factor fit (smallest hash of text first), vocabulary the terms. Texts are never shuffled: hashes of texts meet the labels
+    time). sample bounds the rows of the factor fit (smallest hash of text first). Every term of support or more rows gets a weight and factors, at most
+    1 << BITS of them. Texts are never shuffled: hashes of texts meet the labels
     first, then the terms of the documents chosen."""
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
@@ -93,19 +109,36 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         at = np.flatnonzero(count)
         yield pd.DataFrame({"t": at, "n": count[at], "pos": pos[at]})
 
-    stats = docs.select("t", "y").mapInPandas(tally, "t long, n long, pos long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 5")
-    share = n.pos / max(1, n.n)
-    z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-6) + 1)
-    vocab = np.sort(np.array([r.t for r in stats.withColumn("z", z).orderBy(F.desc("z"), "t").limit(vocabulary).select("t").collect()], np.int64))
-    m = Machine(vocab)
-    hold = base.sparkSession.sparkContext.broadcast(vocab)
+    def packed(batches):
+        for b in batches:
+            yield pd.DataFrame({"r": [b[["t", "n", "pos"]].to_numpy(np.int64).tobytes()]})
+
+    stats = docs.select("t", "y").mapInPandas(tally, "t long, n long, pos long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= support)
+    got = [np.frombuffer(r.r, np.int64).reshape(-1, 3) for r in stats.mapInPandas(packed, "r binary").collect()]
+    table = np.concatenate([np.empty((0, 3), np.int64), *got])
+    m = Machine(*paces(table[np.argsort(table[:, 0])], n.n, n.pos))
+    at = F.struct("h", "y")
+    last = docs.select(at.alias("at")).orderBy("at").limit(sample).agg(F.max("at").alias("at")).first()["at"]
+    got = []
+    if last is not None:
+        end = F.struct(F.lit(last.h).alias("h"), F.lit(last.y).alias("y"))
+        got = docs.where(at < end).unionByName(docs.where(at == end).limit(sample)).collect()
+    docs.unpersist()
+    got = sorted(got, key=lambda r: (r.h, r.y))[:sample]
+    return m.fit([m.place(np.frombuffer(r.t, np.int32)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
 
-    def known(s: pd.Series) -> pd.Series:
-        return pd.Series([np.intersect1d(hold.value, np.frombuffer(x, np.int32).astype(np.int64)).tolist() for x in s], dtype=object)
 
-    got = docs.select("h", "y", F.pandas_udf(known, "array<long>")("t").alias("t")).orderBy("h", "y").limit(sample).select("y", "t").collect()
-    docs.unpersist()
-    return m.fit([m.place(np.sort(np.array(r.t, np.int64))) for r in got], np.array([r.y for r in got], float)) if got and len(vocab) else m
+def paces(stats: np.ndarray, rows: int, toxic: int):
+    """(vocabulary, factors, pace, start weight) from each term's (bucket, rows, toxic rows).
+
+    pace is 1 from a z value of 6 on and falls with its fourth power below, so that the thousands of terms that tell nothing together move little.
+    The start weight is the log odds ratio moved by three standard errors towards 0, and not past it."""
+    t, n, pos = stats.T
+    share = toxic / max(1, rows)
+    z = np.abs(pos - n * share) / np.sqrt(n * max(share * (1 - share), 1e-6) + 1)
+    odds = np.log((pos + 0.5) / (n - pos + 0.5)) - np.log((toxic + 0.5) / (rows - toxic + 0.5))
+    start = np.sign(odds) * np.maximum(0, np.abs(odds) - 3 * np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5)))
+    return t, 4, np.minimum(1, (z / 6) ** 4), start
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -82,6 +82,33 @@ def test_machine_learns_a_pair():
     assert m.logit(np.array([0, 1])) > 0 > max(m.logit(np.array([0])), m.logit(np.array([1])))
 
 
+def test_machine_keeps_insults_beside_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    plain = [f"w{k}" for k in range(300)]
+    copied = " ".join(f"copied{k}" for k in range(3000))
+    rows = []
+    for i in range(600):
+        words = [*rng.choice(plain, 20), *(["insult"] if i % 10 == 0 else []), *(["group"] if i % 10 == 1 else [])]
+        rows.append((" ".join(words), int(i % 10 == 0)))
+    rows += [(f"{copied} only{i}", 1) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    m = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert len(m.vocab) > 3000 and len(m.w) == len(m.v) == len(m.vocab)
+    asked = spark.createDataFrame([(1, "w1 w2 insult"), (2, "w1 w2 group"), (3, f"{copied} other"), (4, None)], "k long, text string")
+    assert {r.k: r.predicted for r in toxicity.score(asked, m).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_machine_learns_insult_and_group_together(spark):
+    rows = []
+    for i in range(800):
+        words = [f"w{i % 97}", f"w{i % 89}", *(["jab"] if i % 4 in (0, 1) else []), *(["group"] if i % 4 in (0, 2) else [])]
+        rows.append((i, " ".join([*words, f"only{i}"]), int(i % 4 == 0)))
+    docs = spark.createDataFrame([*rows, *[(1000 + i, " ".join(f"copied{k}" for k in range(2000)) + f" only{i}", 1) for i in range(40)]], "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "w1 jab group"), (2, "w1 jab"), (3, "w1 group")], "k long, text string")
+    got = {r.k: r.score for r in toxicity.score(asked, toxicity.train(docs, docs.select("doc_id", "toxic"))).collect()}
+    assert got[1] > 0.5 > max(got[2], got[3])
+
+
 def test_pieces_round_trip_and_best_score():
     pytest.importorskip("sentencepiece")
     m = pieces.Model.load()
