@@ -137,6 +137,18 @@ def test_url_rules_and_redirects(spark):
     assert got[3][2:] == (None, "block") and got[4] == ("n.net", "/p", None, "block") and got[5] == got[6] == ("", "", None, "allow")
 
 
+def test_url_targets_that_are_no_rows_and_relative_links(spark):
+    def link(t):
+        return f'<link rel="canonical" href="{t}">'
+
+    rows = [(1, "http://n.net/p", link("https://bad.example.org/es/9")), (2, "http://a.net/", '<meta http-equiv="refresh" content="0; url=http://x.com/de/1">'), (3, "http://b.net/", link("http://x.com/de/1")), (4, "http://x.com/dir/a.html", link("../de/b?x=1&amp;y=2")), (5, "http://c.net/d/e", link("f.html") + link("http://x.com/de/7")), (6, "http://c.net/d/f.html", ""), (7, "http://d.net/q", link("?z=1")), (8, "http://e.net/q", link("mailto:a@b.c")), (9, "http://f.net/", link("http://x.com/de/1") + link("http://x.org/ok"))]
+    got = {r.page_id: (r.verdict, r.alias_of) for r in url_rules.judge(spark.createDataFrame(rows[:8], "page_id long, url string, html string")).collect()}
+    assert [got[k][0] for k in range(1, 9)] == ["block"] * 6 + ["allow"] * 2
+    assert got[2][1] == got[3][1] == "a.net/" and got[4][1] == "x.com/de/b?x=1&y=2" and got[5][1] == got[6][1] and got[7][1] == "d.net/q" and got[8][1] == "e.net/q"
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == got[3] == got[9] == "allow"
+
+
 def test_targets_and_taken(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = mixing.mix(docs).collect()
