@@ -1,7 +1,8 @@
 """Operator 9: main text of web pages by consensus container paths of their hosts.
 
 Each page scores its containers; the winning tag-class path is a vote of the page for its host. Votes are summed per host and path in
-Spark, and every page is extracted again with its host's winning path, or with its own best container where that path is missing."""
+Spark, and every page is extracted again with its host's winning path, or with its own best container where that path is missing or covers
+clearly less of the page. From the winner the page climbs to the ancestor that adds text outside noise, links aside."""
 
 from __future__ import annotations
 
@@ -39,7 +40,7 @@ def general(name: str) -> str:
 
 
 def parse(page: str):
-    """(blocks, scores): blocks are (chain of container paths, text) in page order; scores are by container path."""
+    """(blocks, scores): blocks are (chain of container paths, text, gain) in page order; scores are by container path."""
     blocks, scores, stack, buf = [], {}, [Part("", "", False, 1.0)], []
     linked = 0
 
@@ -49,8 +50,8 @@ def parse(page: str):
             text = " ".join(entities.unescape("".join(buf)).split())
             if text and not stack[-1].noise:
                 paths = [p.path for p in stack if p.tag in CONTAINER]
-                blocks.append((paths, text))
                 gain = max(0, len(text) - 3 * linked)
+                blocks.append((paths, text, gain))
                 for depth, p in enumerate(reversed([p for p in stack if p.tag in CONTAINER])):
                     scores[p.path] = scores.get(p.path, 0.0) + gain * p.weight * 0.8**depth
             buf.clear()
@@ -82,8 +83,10 @@ def parse(page: str):
                     break
             continue
         if tag in RAW:
+            if attrs.rstrip().endswith("/"):
+                continue
             end = RAW[tag].search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else at
             continue
         if tag in BLOCK or tag in DROP:
             flush()
@@ -124,14 +127,33 @@ def best_path(scores: dict) -> str | None:
     return min(scores, key=lambda p: (-scores[p], p)) if scores else None
 
 
+#: Where a host's path holds less than this share of the gain of the page's own container, the page keeps its own.
+COVERS = 0.8
+
+
+def climbed(blocks: list, path: str) -> str:
+    """The outermost container above the path of which each step adds blocks that are text rather than links."""
+    chain = next((paths for paths, _, _ in blocks if path in paths), [])
+    for up in reversed(chain[: chain.index(path)] if path in chain else []):
+        more = [(t, g) for paths, t, g in blocks if up in paths and path not in paths]
+        if sum(g for _, g in more) < 0.5 * sum(len(t) for t, _ in more):
+            break
+        path = up
+    return path
+
+
 def text_of(page: str | None, path: str | None) -> str:
-    """Blocks under the path, or under the page's own best container where nothing lies under it."""
+    """Blocks under the path, climbed, or under the page's own best container, where that one has clearly more."""
     blocks, scores = parse(page or "")
-    found = [t for paths, t in blocks if path in paths] if path else []
-    if not found:
-        own = best_path(scores)
-        found = [t for paths, t in blocks if own is None or own in paths]
-    return "\n".join(found)
+    under = lambda p: [(t, g) for paths, t, g in blocks if p in paths]
+    own = best_path(scores)
+    if own is None:
+        return "\n".join(t for _, t, _ in blocks)
+    mine = under(climbed(blocks, own))
+    found = under(climbed(blocks, path)) if path else []
+    if not found or sum(g for _, g in found) < COVERS * sum(g for _, g in mine):
+        found = mine
+    return "\n".join(t for t, _ in found)
 
 
 def host(url):

@@ -169,6 +169,19 @@ def test_extract_drops_what_surrounds_the_article():
     assert extract.text_of(None, None) == extract.text_of("", "/x") == ""
 
 
+def test_extract_keeps_the_whole_article():
+    a, b = "first section " * 20, "second part "
+    wrap = f'<body><div class="wrap"><h1>T</h1><div class="entry-content"><p>{a}</p></div><div class="more"><p>{b}</p></div></div><div class="links"><a href="/">one link</a><a href="/2">other link</a></div>'
+    whole = "\n".join(("T", a.strip(), b.strip()))
+    assert extract.text_of(wrap, None) == whole
+    assert extract.text_of(wrap, extract.best_path(extract.parse(wrap)[1])) == whole
+    assert extract.text_of(f'<article><h1>T</h1><div class="container"><div class="row"><div class="content"><p>{a}</p></div></div></div></article>', None) == f"T\n{a.strip()}"
+    other = f'<body><article><p>{a}</p></article><section class="extra"><a href="/">x</a> few</section>'
+    assert extract.text_of(other, "/body/section.extra").startswith(a.strip())
+    assert a.strip() in extract.text_of(f'<article><svg class="x"/><p>{a}</p></article>', None)
+    assert a.strip() in extract.text_of(f"<article><iframe src=x><p>{a}</p></article>", None)
+
+
 def test_license_places_and_edits():
     n, base, first, last, own, every, score, _ = license_scan.scan("Foo. Under the MIT-license, apache License: version 2; mozila public license")
     assert (n, base, first, last, own) == (12, 2, 1, 5, "apache-2,mit") and "mpl" in every and score == 1.0
