@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuebook.llm import language, mixing, ngram_join, pieces, queries, toxicity
+from cuebook.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,20 +18,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language holds 0.4, go."""
-    return language.identify(docs, *queries.language_model(spark, sf_dir)).where("lang_pred <> 'und' and score >= 0.4").select(*docs.columns)
+    """Documents without letters go. Any mixture of languages stays; where no language was learned, letters alone decide."""
+    names, like = queries.language_model(spark, sf_dir)
+    if not names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language.identify(docs, names, like).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with row, a key of its own for each row that is the same in every scan: file number and place in the file; rows of other sources are written first."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    named = docs.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
+    return placed.join(F.broadcast(named), "_file").select(*docs.columns, (F.shiftleft("_n", 40) + F.col("_at")).alias("row"))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays; so does every row without shingles."""
-    found = ngram_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each near-duplicate group stays, the one with the smallest id (null last); so does every row without shingles. Groups are of rows, not of ids."""
+    keyed = with_row(docs)
+    comp = ngram_join.jaccard_components(keyed, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    found = keyed.select("row", "doc_id").join(comp, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return keyed.join(found, "row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as often as the mix takes it, at least once if it takes any of its words; documents without words go."""
-    took = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    met = docs.join(took, "doc_id").withColumn("copy", F.explode(F.expr("sequence(1, times)")))
+    """A document stays as often as the mix takes it, at least once if it takes any of its words; documents without words go. Null ids and sources are met null-safe,
+    and rows of one id that differ in source or size go their own ways."""
+    took = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    took = took.toDF("_id", "_source", "_size", "times")
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    met = docs.join(took, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))).withColumn("copy", F.explode(F.expr("sequence(1, times)")))
     return met.select(*docs.columns)
 
 
