@@ -2,7 +2,7 @@
 
 Slot i of the mix takes the golden-ratio point frac(i * phi) and gives it to the source whose share of the cumulative targets holds it.
 A source's documents, shuffled by hash, lie on a line of words cut into blocks of equal length; the source's r-th slot takes block r, and
-starts again after the last. Only DataFrame functions are used."""
+starts again after the last. mixed() gives these pieces in slots; mix() sums what each document gives in closed form. Only DataFrame functions are used."""
 
 from __future__ import annotations
 
@@ -64,21 +64,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     size counts runs of anything but ASCII white space (null: 0). taken, the words the mix takes with repeats, is at most 2 * size. Null sources are one source.
     Empty documents take 0; an empty table gives no rows. Rows with the same id and size are alike and take what their places on the line give."""
+    d, _, _ = laid(docs, id_col, text, source, block, parts, weights)
+    a = F.col("a")
+    over = F.greatest(F.least(a + F.col("size"), F.col("edge")) - a, F.lit(0))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + over).cast("long").alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
+    """The mix itself, one row for each piece of a document in a slot: slot, source, block, place, doc_id, at, words. Ordered by slot and place it is the mix in schedule
+    order; place is the piece's first word in the block, at in the document. Words summed by document are taken of mix()."""
+    d, plan, block = laid(docs, id_col, text, source, block, parts, weights)
+    first, last = F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)
+    pieces = d.where("size > 0").select("doc_id", "source", "a", "size", "blocks", F.explode(F.sequence(first, last)).alias("block"))
+    lo, hi = F.greatest("a", F.col("block") * block), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block)
+    pieces = pieces.select("doc_id", "source", "block", "blocks", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), (hi - lo).alias("words"))
+    counts = d.where("size > 0").groupBy("source").agg(F.first("blocks").alias("n")).select(F.col("source").alias("s"), "n")
+    turns = ranked(plan).join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("s"))).where("rank < 2 * n").select("slot", "s", (F.col("rank") % F.col("n")).alias("b"))
+    met = turns.join(pieces, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")))
+    return met.select("slot", "source", "block", "place", "doc_id", "at", "words")
+
+
+def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, parts: int, weights):
+    """(documents on the lines of their sources, with first word a and the source's figures; schedule; block length)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     d = cut(d.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(20))).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")))
     sums = cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
     quota = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
     total = sums.agg(F.sum("n")).first()[0] or 0
     block = max(1, min(block, total // 4096))  # at least 4096 slots, so that small tables meet their targets too
-    slots = schedule(quota, block).groupBy("source").agg(F.count("*").alias("slots"))
+    plan = schedule(quota, block)
+    slots = plan.groupBy("source").agg(F.count("*").alias("slots"))
     s2 = slots.select(F.col("source").alias("s"), "slots")
     blocks = F.ceil(F.col("source_size") / F.lit(block))
     q = quota.join(s2, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("slots", F.least(F.coalesce("slots", F.lit(0)), 2 * blocks))
-    q = q.select(F.col("source").alias("s"), "source_size", "target", F.when(blocks > 0, F.floor(F.col("slots") / blocks)).otherwise(0).cast("long").alias("passes"), (F.when(blocks > 0, F.col("slots") % blocks).otherwise(0) * block).cast("long").alias("edge"))
+    q = q.select(F.col("source").alias("s"), "source_size", "target", blocks.cast("long").alias("blocks"), F.when(blocks > 0, F.floor(F.col("slots") / blocks)).otherwise(0).cast("long").alias("passes"), (F.when(blocks > 0, F.col("slots") % blocks).otherwise(0) * block).cast("long").alias("edge"))
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "start").join(q.withColumnRenamed("s", "qs"), F.col("s").eqNullSafe(F.col("qs"))).drop("qs")
     line = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(line), F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    a = F.col("start") + F.col("inner")
-    over = F.greatest(F.least(a + F.col("size"), F.col("edge")) - a, F.lit(0))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + over).cast("long").alias("taken"), "source")
+    return d.withColumn("a", F.col("start") + F.col("inner")), plan, block

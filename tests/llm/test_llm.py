@@ -163,6 +163,21 @@ def test_targets_and_taken(spark):
     assert mixing.mix(odd.where("false")).count() == 0
 
 
+def test_mix_in_schedule_order_gives_what_is_taken(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").dropDuplicates(["doc_id"]).select("doc_id", "text", "source")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "a b c " * 50, None)], docs.schema))
+    want = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    rows = mixing.mixed(docs).orderBy("slot", "place").collect()
+    got, end = {}, {}
+    for r in rows:
+        assert r.place == end.get(r.slot, 0)
+        end[r.slot] = r.place + r.words
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.words
+    assert got == want and -1 in got
+    assert len({(r.slot, r.doc_id) for r in rows}) == len(rows) and len({r.slot for r in rows}) > 1000
+    assert len({(r.slot, r.source, r.block) for r in rows}) == len({r.slot for r in rows})
+
+
 def test_extract_drops_what_surrounds_the_article():
     page = '<html><body><nav>menu</nav><div class="cookie-notice">we use</div><article><h1>T &amp; x</h1><p>one<br>two<p>three <b>four</b></article><div class="comments"><p>hi there</p></div><footer>f</footer>'
     assert extract.text_of(page, None) == "T & x\none two\nthree four"
