@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Fixed odd constants for 64-bit mixing.
 _R = 0x9E3779B97F4A7C15
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -24,14 +28,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a folder of our own only on a local master, where every executor sees it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        set_ = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_ and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written in the shared folder to cut lineage, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.paths = spark, f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}", {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def free(self, *keep: DataFrame) -> None:
+        """Delete the tables other than keep."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path, df in self.paths.items():
+            if df is not None and not any(df is k for k in keep):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+                self.paths[path] = None
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int = 4096) -> DataFrame:
+    """left joined with right, which has one row a key. Rows of a key that left uses more than so many times are dealt by other to copies of right's row."""
+    hubs = left.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_copies")).where("_copies > 1")
+    few = hubs.limit(BROADCAST_ROWS + 1).count()
+    if few == 0:
+        return left.join(right, key)
+    hubs = F.broadcast(hubs) if few <= BROADCAST_ROWS else hubs
+    dealt = left.join(hubs, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = right.join(hubs, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -94,27 +142,29 @@ def shingles(b: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def _mark(e: DataFrame):
-    """Count and two order-free sums of a set of edges: equal marks mean an equal set, but for a 128-bit collision."""
-    h = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
-    return tuple(e.agg(F.count("*"), *h).first())
+    """Count and two order-free marks of a set of edges: equal marks mean an equal set, but for a 128-bit collision."""
+    return tuple(e.agg(F.count("*"), *[F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (1, 2)]).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges. Only nodes with an edge appear.
 
-    Alternating large-star and small-star steps; each step is an aggregate and a join, cut by a checkpoint. Null ends are ignored.
-    Distinct edges only; hubs are reduced by min() on the map side before any shuffle."""
+    Alternating large-star and small-star steps; each step is an aggregate and a join, written to the shared folder, and the one before is deleted. Minima are
+    taken before the shuffle; the neighbours of a much-used node are dealt to copies of its minimum. Null ends are ignored."""
+    keep = Scratch(edges.sparkSession)
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = keep.cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = keep.cut(hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        new = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        small = hub_join(large, low, "u", "v")
+        new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        new = keep.cut(new.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _mark(new)
+        keep.free(new)
         e = new
         if now == before:
             break

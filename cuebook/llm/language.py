@@ -11,10 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import cut, lowered
+from cuebook.llm.common import BROADCAST_ROWS, cut, lowered
 
 BUCKETS = 4096
-BROADCAST_ROWS = 200_000
 
 
 def grams(text: str | None) -> np.ndarray:
