@@ -80,6 +80,14 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int
     return dealt.join(copied, [key, "_salt"]).drop("_salt")
 
 
+def hash_sample(df: DataFrame, col: str, want: int) -> DataFrame:
+    """About want rows of df (all, if fewer), those of the smallest hashes of col: a cut-off by the number of rows, so that no task sorts or gathers them."""
+    n = df.count()
+    if n <= want:
+        return df
+    return df.where(F.xxhash64(F.col(col), F.lit(3)) < F.lit(int(want / n * 2**64) - 2**63)).limit(2 * want)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * _M1

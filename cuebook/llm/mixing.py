@@ -1,11 +1,13 @@
 """Operator 8: mixing sources to target weights with a low-discrepancy schedule.
 
-Slot i of the mix takes the golden-ratio point frac(i * phi) and gives it to the source whose share of the cumulative targets holds it.
-A source's documents, shuffled by hash, lie on a line of words cut into blocks of equal length; the source's r-th slot takes block r, and
-starts again after the last. mixed() gives these pieces in slots; mix() sums what each document gives in closed form. Only DataFrame functions are used."""
+Slot i of the mix takes the i-th golden-ratio point and gives it to the source whose share of the cumulative targets holds it. A source's documents,
+shuffled by hash, lie on a line of words cut into blocks of equal length. Slots are ranked within their source, and the source's r-th slot is joined with
+block r, from the first again after the last. mixed() gives these pieces of documents in slots; mix() sums them by document. Only DataFrame functions are used."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ from cuebook.llm.common import cut
 
 #: Weights by position of the source.
 WEIGHTS = (3, 1, 2)
-GOLDEN = 0.6180339887498949
+#: Words of a block.
+BLOCK = 64
+#: The golden ratio's fraction of 2^31, odd, so that any 2^31 slots in turn meet every point once; whole numbers stay exact at any slot.
+GOLDEN, POINTS = 1327217885, 1 << 31
 CELLS = 4096
 
 
@@ -38,14 +43,14 @@ def schedule(quota: DataFrame, block: int) -> DataFrame:
     """(slot, source): the golden-ratio point of each slot mapped through the cumulative targets. quota has source and target."""
     spark = quota.sparkSession
     total = quota.agg(F.sum("target")).first()[0] or 0.0
-    n = int(round(total / block))
+    n = math.ceil(total / block)
     run = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     hi = F.sum("target").over(run) / F.lit(total or 1.0)
     bounds = quota.where("target > 0").withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0)))
     last = Window.partitionBy(F.lit(1))
     bounds = bounds.withColumn("hi", F.when(F.col("hi") == F.max("hi").over(last), F.lit(2.0)).otherwise(F.col("hi")))
     cells = bounds.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))).alias("cell"))
-    point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
+    point = (F.col("slot") % POINTS * GOLDEN % POINTS) / float(POINTS)
     slots = spark.range(1, n + 1).select(F.col("id").alias("slot")).withColumn("x", point).withColumn("cell", F.floor(F.col("x") * CELLS).cast("int"))
     return slots.join(cells, "cell").where("x >= lo and x < hi").select("slot", "source")
 
@@ -59,47 +64,46 @@ def ranked(slots: DataFrame) -> DataFrame:
     return s.withColumn("here", here).join(b, F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))).select("slot", "source", (F.col("here") + F.col("before")).alias("rank"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
-    """docs' rows as doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
+    """docs' rows as doc_id, size, source_size, target, taken, source.
 
-    size counts runs of anything but ASCII white space (null: 0). taken, the words the mix takes with repeats, is at most 2 * size. Null sources are one source.
-    Empty documents take 0; an empty table gives no rows. Rows with the same id and size are alike and take what their places on the line give."""
-    d, _, _ = laid(docs, id_col, text, source, block, parts, weights)
-    a = F.col("a")
-    over = F.greatest(F.least(a + F.col("size"), F.col("edge")) - a, F.lit(0))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + over).cast("long").alias("taken"), "source")
+    size counts runs of anything but ASCII white space (null: 0). taken, the words of the row in the mix, repeats counted, is at most 2 * size. Null sources are one
+    source. Empty documents take 0; an empty table gives no rows. Repeated rows and null ids keep their rows, each with its own place on the line; rows alike in
+    id, source and size may change places. Other columns are ignored."""
+    d, plan = laid(docs, id_col, text, source, block, parts, weights)
+    taken = pieces(d, plan, block).groupBy("row").agg(F.sum("words").alias("taken"))
+    return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
     """The mix itself, one row for each piece of a document in a slot: slot, source, block, place, doc_id, at, words. Ordered by slot and place it is the mix in schedule
-    order; place is the piece's first word in the block, at in the document. Words summed by document are taken of mix()."""
-    d, plan, block = laid(docs, id_col, text, source, block, parts, weights)
+    order; place is the piece's first word in the block, at in the document. Rows of docs are treated as in mix()."""
+    d, plan = laid(docs, id_col, text, source, block, parts, weights)
+    return pieces(d, plan, block).drop("row")
+
+
+def pieces(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """The ranked slots of the plan joined with the pieces of documents in their blocks; a block is taken twice at most."""
     first, last = F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)
-    pieces = d.where("size > 0").select("doc_id", "source", "a", "size", "blocks", F.explode(F.sequence(first, last)).alias("block"))
+    parts = d.where("size > 0").select("row", "doc_id", "source", "a", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest("a", F.col("block") * block), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.select("doc_id", "source", "block", "blocks", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), (hi - lo).alias("words"))
-    counts = d.where("size > 0").groupBy("source").agg(F.first("blocks").alias("n")).select(F.col("source").alias("s"), "n")
-    turns = ranked(plan).join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("s"))).where("rank < 2 * n").select("slot", "s", (F.col("rank") % F.col("n")).alias("b"))
-    met = turns.join(pieces, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")))
-    return met.select("slot", "source", "block", "place", "doc_id", "at", "words")
+    parts = parts.select("row", "doc_id", "source", "block", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), (hi - lo).alias("words"))
+    counts = d.where("size > 0").groupBy("source").agg(F.ceil(F.first("source_size") / block).alias("n")).select(F.col("source").alias("s"), "n")
+    turns = ranked(plan).join(counts, F.col("source").eqNullSafe(F.col("s"))).where("rank < 2 * n").select("slot", "s", (F.col("rank") % F.col("n")).alias("b"))
+    met = turns.join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")))
+    return met.select("row", "slot", "source", "block", "place", "doc_id", "at", "words")
 
 
 def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, parts: int, weights):
-    """(documents on the lines of their sources, with first word a and the source's figures; schedule; block length)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
-    d = cut(d.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(20))).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")))
+    """(documents on the lines of their sources, with first word a and the source's size and target; schedule)."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    d = cut(d.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", F.lit(20))).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")))
     sums = cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
     quota = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    block = max(1, min(block, total // 4096))  # at least 4096 slots, so that small tables meet their targets too
-    plan = schedule(quota, block)
-    slots = plan.groupBy("source").agg(F.count("*").alias("slots"))
-    s2 = slots.select(F.col("source").alias("s"), "slots")
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
-    q = quota.join(s2, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("slots", F.least(F.coalesce("slots", F.lit(0)), 2 * blocks))
-    q = q.select(F.col("source").alias("s"), "source_size", "target", blocks.cast("long").alias("blocks"), F.when(blocks > 0, F.floor(F.col("slots") / blocks)).otherwise(0).cast("long").alias("passes"), (F.when(blocks > 0, F.col("slots") % blocks).otherwise(0) * block).cast("long").alias("edge"))
+    q = quota.withColumnRenamed("source", "qs")
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "start").join(q.withColumnRenamed("s", "qs"), F.col("s").eqNullSafe(F.col("qs"))).drop("qs")
-    line = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "start").join(q, F.col("s").eqNullSafe(F.col("qs"))).drop("qs")
+    line = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(line), F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return d.withColumn("a", F.col("start") + F.col("inner")), plan, block
+    return cut(d.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("start") + F.col("inner")).alias("a"))), schedule(quota, block)

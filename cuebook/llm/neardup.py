@@ -1,9 +1,9 @@
 """Operator 1: embedding near-duplicates by dual traversal of cover trees, exact at the threshold.
 
-Vectors are spread over blocks by label and nearest pivot, so that a block is compact. Each block carries a cover tree (nested nets
-with halving radii). Blocks of one label whose covering balls are nearer than the threshold distance meet in one task, which walks both
-trees together, drops node pairs whose balls are too far apart, and compares leaf pairs in double precision.
-A block pair returns link counts and a spanning star per local group, never all pairs."""
+Equal vectors of a label are one. The rest are spread over groups of bounded size by label and nearest pivot, so that a group is compact. Groups of one
+label whose covering balls are nearer than the threshold distance meet in one task, which builds a cover tree of each (nested nets with halving radii),
+walks both trees together, drops node pairs whose balls are too far apart, and compares single vectors in double precision.
+A pair of groups returns link counts and a spanning star per local component, never all pairs."""
 
 from __future__ import annotations
 
@@ -14,14 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import components, cut
+from cuebook.llm.common import Scratch, components, hub_join
 
-BLOCK = 1024
-LEAF = 64
-
-
-def usable(v) -> bool:
-    return v is not None and len(v) > 0 and not any(x is None for x in v) and bool(np.isfinite(v := np.asarray(v, float)).all()) and bool((v != 0).any())
+#: Vectors of a block (one row of the shuffle), blocks of a group, rows of a node that isn't split further, and rows of a distance matrix made at once.
+BLOCK, BLOCKS, LEAF, STRIP = 1024, 8, 32, 512
+FINE = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -30,113 +27,175 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit rows, good to about 1e-7."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+
+
+def net(x: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, owner, distance): rows more than spacing apart, the first row among them, such that every row lies within spacing of one; each row goes to the nearest."""
+    near, owner, centres = np.full(len(x), np.inf), np.zeros(len(x), np.int64), []
+    at = 0
+    while at < len(x):
+        some = at + np.flatnonzero(near[at : at + STRIP] > spacing)
+        at += STRIP
+        inner, fresh = apart(x[some], x[some]), []
+        for k in range(len(some)):
+            if not fresh or inner[k, fresh].min() > spacing:
+                fresh.append(k)
+        if not fresh:
+            continue
+        picked = some[fresh]
+        for lo in range(0, len(x), 4 * STRIP):
+            d = apart(x[lo : lo + 4 * STRIP], x[picked])
+            least, best = d.min(axis=1), d.argmin(axis=1)
+            closer = least < near[lo : lo + 4 * STRIP]
+            near[lo : lo + 4 * STRIP][closer] = least[closer]
+            owner[lo : lo + 4 * STRIP][closer] = len(centres) + best[closer]
+        centres += picked.tolist()
+    centres = np.array(centres)
+    near[centres], owner[centres] = 0.0, np.arange(len(centres))
+    return centres, owner, near
+
+
 class Node:
-    __slots__ = ("rows", "centre", "radius", "children")
-
-    def __init__(self, rows, x, scale):
-        """Rows under one centre: children are a greedy net at half the scale, each taking the rows nearest to it."""
-        self.rows, self.centre, self.children = rows, x[rows[0]], []
-        d = np.sqrt(((x[rows] - self.centre) ** 2).sum(axis=1))
-        self.radius = float(d.max())
-        if len(rows) <= LEAF or self.radius < 1e-9:
-            return
-        while scale > self.radius:
+    """A ball of rows. heads are the centres of its children, radii their covering radii, kids the children that are no single rows."""
+
+    __slots__ = ("rows", "radius", "heads", "radii", "kids")
+
+    def __init__(self, rows: np.ndarray, x: np.ndarray, scale: float):
+        """Children are a net of half the scale, which the first row begins; scales that the first row covers alone are passed over."""
+        self.rows = rows
+        far = apart(x[rows], x[rows[:1]])[:, 0]
+        self.radius = float(far.max()) + 1e-7
+        while scale / 2 >= self.radius:
             scale /= 2
-        owner, near = np.zeros(len(rows), int), d
-        centres = [0]
-        while near.max() > scale / 2 and len(centres) < len(rows):
-            i = int(near.argmax())
-            far = np.sqrt(((x[rows] - x[rows[i]]) ** 2).sum(axis=1))
-            owner[far < near] = len(centres)
-            near = np.minimum(near, far)
-            centres.append(i)
-            if len(centres) > 2 * math.isqrt(len(rows)):  # no structure at this scale: leaves of bounded size below
+        if len(rows) <= LEAF or scale < 1e-6:
+            self.heads, self.radii, self.kids = rows, np.zeros(len(rows)), {}
+            return
+        centres, owner, _ = net(x[rows], scale / 2)
+        order = owner.argsort(kind="stable")
+        edge = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+        self.heads, self.radii, self.kids = rows[centres], np.zeros(len(centres)), {}
+        for k in np.flatnonzero(np.diff(edge) > 1):
+            mine = order[edge[k] : edge[k + 1]]
+            mine = np.r_[centres[k], mine[mine != centres[k]]]
+            self.kids[int(k)] = kid = Node(rows[mine], x, scale / 2)
+            self.radii[k] = kid.radius
+
+    def some(self, at: np.ndarray):
+        """A node of the given children, those that are no single rows one level down."""
+        out = Node.__new__(Node)
+        plain = at[self.radii[at] == 0]
+        heads, radii, kids, n = [self.heads[plain]], [np.zeros(len(plain))], {}, len(plain)
+        for k in at[self.radii[at] > 0].tolist():
+            kid = self.kids[k]
+            heads.append(kid.heads)
+            radii.append(kid.radii)
+            kids.update((n + i, x) for i, x in kid.kids.items())
+            n += len(kid.heads)
+        out.heads, out.radii, out.kids = np.concatenate(heads), np.concatenate(radii), kids
+        return out
+
+
+class Links:
+    """Link counts and components of rows."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.count, self.up = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        top = self.up[rows]
+        while True:
+            more = self.up[top]
+            if (more == top).all():
+                return top
+            top = more
+
+    def add(self, r: np.ndarray, s: np.ndarray, near: np.ndarray, both: bool) -> None:
+        """Links of the rows r with the rows s where near; both: count them for s too."""
+        i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(i):
+            return
+        r, s, near = r[i], s[j], near[np.ix_(i, j)]
+        self.count[r] += near @ self.weight[s]
+        if both:
+            self.count[s] += self.weight[r] @ near
+        one, two = self.roots(r), self.roots(s)
+        low, high = one.copy(), two.copy()
+        top = np.iinfo(np.int64).max
+        if near.all():
+            low[:] = high[:] = min(low.min(), high.min())
+        while not near.all():  # smallest root of each local component
+            new = np.minimum(low, np.where(near, high[None], top).min(axis=1))
+            other = np.minimum(high, np.where(near, new[:, None], top).min(axis=0))
+            if (new == low).all() and (other == high).all():
                 break
-        for k, c in enumerate(centres):
-            mine = np.flatnonzero(owner == k)
-            if len(mine) == len(rows):
-                return
-            mine = np.r_[c, mine[mine != c]]
-            self.children.append(Node(rows[mine], x, scale / 2))
+            low, high = new, other
+        for a, b in np.unique(np.c_[np.r_[one, two], np.r_[low, high]], axis=0).tolist():
+            while self.up[a] != a:
+                a = int(self.up[a])
+            while self.up[b] != b:
+                b = int(self.up[b])
+            self.up[max(a, b)] = min(a, b)
 
 
-def traverse(p: Node, q: Node, reach: float):
-    """Leaf pairs (row arrays) whose balls come within reach; each unordered pair once when p is q."""
+def traverse(p: Node, q: Node, x: np.ndarray, threshold: float, found: Links) -> None:
+    """Walk two trees (or one with itself) and add every link between their rows once."""
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     stack = [(p, q)]
     while stack:
         a, b = stack.pop()
-        if a is not b and math.sqrt(((a.centre - b.centre) ** 2).sum()) - a.radius - b.radius > reach:
-            continue
-        if not a.children and not b.children:
-            yield a.rows, b.rows, a is b
-        elif a is b:
-            stack += [(c, d) for i, c in enumerate(a.children) for d in a.children[i:]]
-        elif a.children and (not b.children or a.radius >= b.radius):
-            stack += [(c, b) for c in a.children]
-        else:
-            stack += [(a, c) for c in b.children]
-
-
-class Union:
-    def __init__(self, n):
-        self.up = list(range(n))
-
-    def find(self, i):
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i, j):
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def links(ids_a, x, ids_b, y, same: bool, threshold: float):
-    """(id, links found here, local root id) for every row with a link."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    ta = Node(np.arange(len(x)), x, 2.0)
-    tb = ta if same else Node(np.arange(len(y)), y, 2.0)
-    ids = ids_a if same else np.concatenate([ids_a, ids_b])
-    shift = 0 if same else len(x)
-    count, u = np.zeros(len(ids), np.int64), Union(len(ids))
-    for r, s, own in traverse(ta, tb, reach):
-        near = x[r] @ y[s].T >= threshold
-        if own:
-            near &= ~np.eye(len(r), dtype=bool)
-        if not near.any():
-            continue
-        count[r] += near.sum(axis=1)
-        if not own:
-            count[s + shift] += near.sum(axis=0)
-        done = set()
-        for i in np.flatnonzero(near.any(axis=1)):
-            row = near[i]
-            if (k := row.tobytes()) in done and own:  # a repeated row of links joins through its first partner alone
-                u.join(int(r[i]), int(s[row.argmax()]) + shift)
-                continue
-            done.add(k)
-            for j in np.flatnonzero(row):
-                u.join(int(r[i]), int(s[j]) + shift)
-    hit = np.flatnonzero(count)
-    roots: dict[int, int] = {}
-    for i in hit:
-        k = u.find(int(i))
-        roots[k] = min(roots.get(k, int(ids[i])), int(ids[i]))
-    return ids[hit], count[hit], np.array([roots[u.find(int(i))] for i in hit], np.int64)
+        for lo in range(0, len(a.heads), STRIP):
+            r = a.heads[lo : lo + STRIP]
+            g = x[r] @ x[b.heads].T
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * g))
+            meet = d <= a.radii[lo : lo + STRIP, None] + b.radii[None] + reach
+            if a is b:
+                meet &= np.arange(len(b.heads))[None] >= (lo + np.arange(len(r)))[:, None]
+            plain = (a.radii[lo : lo + STRIP, None] == 0) & (b.radii[None] == 0)
+            near = meet & plain & (g >= threshold)
+            if a is b:
+                near &= r[:, None] != b.heads[None]
+            found.add(r, b.heads, near, True)
+            rest = meet & ~plain
+            with_kids = a.radii[lo : lo + STRIP] > 0
+            if a is b:
+                for i in np.flatnonzero(with_kids).tolist():
+                    stack.append((a.kids[lo + i], a.kids[lo + i]))
+                    rest[i, lo + i] = False
+            stack += [(a.kids[lo + i], b.some(np.flatnonzero(rest[i]))) for i in np.flatnonzero(with_kids & rest.any(axis=1)).tolist()]
+            rest &= ~with_kids[:, None]
+            stack += [(b.kids[j], a.some(lo + np.flatnonzero(rest[:, j]))) for j in np.flatnonzero(rest.any(axis=0)).tolist()]
+
+
+def links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, size: int, threshold: float):
+    """(id, links found here, local root id) for every row with a link. The first size rows are one group and the others, if any, its partner."""
+    found = Links(weight)
+    one = Node(np.arange(size), x, 2.0)
+    two = one if size == len(x) else Node(np.arange(size, len(x)), x, 2.0)
+    traverse(one, two, x, threshold, found)
+    hit = np.flatnonzero(found.count)
+    top = found.roots(hit)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, top, ids[hit])
+    return ids[hit], found.count[hit], least[top]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, pivots: int = 64) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept.
+    """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link when labels are equal and not null and their cosine reaches the threshold (above 0). Vectors that are null, zero or hold null or non-finite
-    components link with nothing, and keep a row with 0 links. Ids must be integers; repeated ids count as separate vectors for n_links and share the row's component.
-    Vectors of different lengths are compared only within equal length. pivots: size of the bounded sample of vectors that only decides the layout."""
+    components link with nothing, and keep a row with 0 links; so do rows with a null id or label. Ids must be integers; rows that repeat an id count as separate
+    vectors for n_links and share the smaller component. Vectors of different lengths are compared only within equal length. Other columns are ignored.
+    pivots: size of the bounded sample of vectors that only decides the layout."""
     spark = df.sparkSession
+    keep = Scratch(spark)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
-    fine = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    good = base.where(fine).where("label is not null and id is not null")
+    able = F.expr(FINE) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    key = F.when(able, F.concat_ws(":", F.hex(F.xxhash64("v", F.lit(1))), F.hex(F.xxhash64("v", F.lit(2))), F.size("v").cast("string"), "label"))
+    base = base.withColumn("key", key)
+    good = keep.cut(base.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()))
     sample = [r.v for r in good.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(pivots).collect()]
     size = max((len(v) for v in sample), default=0)
     pivot = unit(np.array([v for v in sample if len(v) == size])) if sample else np.zeros((0, 1))
@@ -151,56 +210,64 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                 if d == size:
                     s = x @ pivot.T
                     cell[at], dist[at] = s.argmax(axis=1), s.max(axis=1)
-            yield pd.DataFrame({"label": b["label"] + "/" + dims.astype(str), "cell": cell, "dist": dist, "id": b["id"], "v": b["v"]})
+            yield pd.DataFrame({"label": b["label"] + "/" + dims.astype(str), "cell": cell, "dist": dist, "cid": b["cid"], "copies": b["copies"], "v": b["v"]})
 
-    placed = good.select("label", "id", "v").mapInPandas(place, "label string, cell long, dist double, id long, v array<double>")
-    ordered = placed.repartitionByRange("label", "cell", "dist", F.xxhash64("id")).sortWithinPartitions("label", "cell", "dist", "id")
+    placed = good.select("label", "cid", "copies", "v").mapInPandas(place, "label string, cell long, dist double, cid long, copies long, v array<double>")
+    ordered = placed.repartitionByRange("label", "cell", "dist", F.xxhash64("cid")).sortWithinPartitions("label", "cell", "dist", "cid")
 
     def pack(batches):
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
+        group, name, blocks, rows = TaskContext.get().partitionId() << 32, None, 0, []
 
-        def block(name, ids, vs):
-            x = unit(np.array(vs, float))
+        def block():
+            x = unit(np.array([r[2] for r in rows], float))
             c = unit(x.mean(axis=0, keepdims=True) + 1e-12)[0]
-            r = float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())
-            return {"label": name, "block": part * 1_000_000 + n, "centre": c, "radius": r, "ids": np.array(ids, np.int64).tobytes(), "x": x.tobytes(), "dim": x.shape[1]}
+            radius = float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())
+            return {"label": name, "group": group, "block": blocks, "centre": c, "radius": radius, "ids": np.array([r[0] for r in rows], np.int64).tobytes(), "weight": np.array([r[1] for r in rows], np.int64).tobytes(), "x": x.tobytes(), "dim": x.shape[1]}
 
-        name, ids, vs = None, [], []
         for b in batches:
             out = []
-            for lab, i, v in zip(b["label"], b["id"], b["v"], strict=True):
-                if ids and (lab != name or len(ids) == BLOCK):
-                    out.append(block(name, ids, vs))
-                    ids, vs, n = [], [], n + 1
-                name = lab
-                ids.append(i)
-                vs.append(v)
+            for row in zip(b["label"], b["cid"], b["copies"], b["v"], strict=True):
+                if rows and (row[0] != name or len(rows) == BLOCK):
+                    out.append(block())
+                    blocks, rows = blocks + 1, []
+                    if row[0] != name or blocks == BLOCKS:
+                        group, blocks = group + 1, 0
+                name = row[0]
+                rows.append(row[1:])
             if out:
                 yield pd.DataFrame(out)
-        if ids:
-            yield pd.DataFrame([block(name, ids, vs)])
+        if rows:
+            yield pd.DataFrame([block()])
 
-    blocks = cut(ordered.select("label", "id", "v").mapInPandas(pack, "label string, block long, centre array<double>, radius double, ids binary, x binary, dim int"))
+    schema = "label string, group long, block int, centre array<double>, radius double, ids binary, weight binary, x binary, dim int"
+    blocks = keep.cut(ordered.select("label", "cid", "copies", "v").mapInPandas(pack, schema))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    head = blocks.select("label", "block", "centre", "radius")
-    one, two = head.toDF("label", "a", "ca", "ra"), head.toDF("label", "b", "cb", "rb")
-    gap = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t)) - F.col("ra") - F.col("rb")
-    pairs = one.join(two, "label").where("a <= b").where((F.col("a") == F.col("b")) | (gap <= reach)).select("a", "b")
-    width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    data = blocks.select("block", "ids", "x", "dim")
-    met = pairs.join(data.toDF("a", "ids_a", "xa", "dim"), "a").join(data.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("x").alias("xb")), "b").repartition(width, F.xxhash64("a", "b"))
-
-    def compare(batches):
-        for b in batches:
-            for r in b.itertuples():
-                x, y = (np.frombuffer(k, float).reshape(-1, r.dim) for k in (r.xa, r.xb))
-                ids, n, root = links(np.frombuffer(r.ids_a, np.int64), x, np.frombuffer(r.ids_b, np.int64), y, r.a == r.b, threshold)
-                yield pd.DataFrame({"id": ids, "n": n, "root": root})
-
-    found = cut(met.mapInPandas(compare, "id long, n long, root long"))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    group = components(found, "id", "root")
-    out = base.select("id").join(counts, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    head = blocks.groupBy("label", "group").agg(F.collect_list(F.struct("centre", "radius")).alias("balls"))  # BLOCKS at most
+    gap = lambda s, t: F.sqrt(F.aggregate(F.zip_with(s["centre"], t["centre"], lambda m, n: (m - n) * (m - n)), F.lit(0.0), lambda m, n: m + n)) - s["radius"] - t["radius"]
+    close = F.exists("balls_a", lambda s: F.exists("balls_b", lambda t: gap(s, t) <= reach))
+    pairs = head.toDF("label", "a", "balls_a").join(head.toDF("label", "b", "balls_b"), "label").where((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) & close)).select("a", "b")
+    pairs = keep.cut(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("pair", F.col("a").alias("group"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("pair", F.col("b").alias("group"), F.lit(1).alias("side")))
+    met = sides.join(blocks.select("group", "block", "ids", "weight", "x", "dim"), "group")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["side", "block"])
+        ids, weight = (np.concatenate([np.frombuffer(z, np.int64) for z in g[c]]) for c in ("ids", "weight"))
+        x = np.concatenate([np.frombuffer(z, float) for z in g["x"]]).reshape(-1, int(g["dim"].iloc[0]))
+        one = sum(len(z) // 8 for z, s in zip(g["ids"], g["side"], strict=True) if s == 0)
+        got, n, root = links(ids, weight, x, one, threshold)
+        return pd.DataFrame({"cid": got, "n": n, "root": root})
+
+    found = keep.cut(met.groupBy("pair").applyInPandas(compare, "cid long, n long, root long"))
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    group = components(found, "cid", "root").withColumnRenamed("node", "cid")
+    each = keep.cut(good.select("key", "cid", "id", "copies").join(counts, "cid", "left").join(group, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    least = each.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = keep.cut(each.join(least, "component").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id"))
+    rows = base.select("id", "key")
+    out = hub_join(rows.where("key is not null"), named, "key", "id").select("id", "n", "component_id")
+    out = out.unionByName(rows.where("key is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id")))
+    keep.free(named)
+    return out.select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))

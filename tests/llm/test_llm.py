@@ -66,6 +66,51 @@ def test_multi_index_exact_when_all_cells_are_probed(spark):
     assert multi_index.neighbours(df.where("false"), df).count() == 0
 
 
+def test_multi_index_recall_at_its_own_setting(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    p = df.toPandas()
+    x, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
+    found, total = 0, 0
+    got = {}
+    for r in multi_index.neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        found, total = found + len(set(mine) & set(want.tolist())), total + 10
+    assert len(got) == (ids % 20 == 0).sum() and found >= 0.9 * total
+
+
+def test_cover_trees_of_near_copies_and_spread_vectors():
+    rng = np.random.default_rng(0)
+    for y in (np.ones((1, 64)) + rng.normal(size=(5000, 64)) * 0.1, rng.normal(size=(1500, 16)), np.r_[rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(9, 8)), 60, axis=0) + rng.normal(size=(540, 8)) * 0.15]):
+        x, ids = neardup.unit(y), np.arange(len(y))
+        for size in (len(x), len(x) // 3):
+            got, n, root = neardup.links(ids, np.ones(len(x), np.int64), x, size, 0.93)
+            near = x @ x.T >= 0.93
+            np.fill_diagonal(near, False)
+            if size < len(x):
+                near[:size, :size] = near[size:, size:] = False
+            want = near.sum(axis=1)
+            assert dict(zip(got.tolist(), n.tolist())) == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+            lowest = ids.copy()
+            while True:
+                new = np.minimum(lowest, np.where(near, lowest[None], len(x)).min(axis=1))
+                if (new == lowest).all():
+                    break
+                lowest = new
+            assert root.tolist() == lowest[got].tolist()
+
+
+def test_neardup_of_equal_vectors_and_odd_rows(spark):
+    rows = [(i, [1.0, 2.0], "a") for i in range(40)] + [(50, [2.0, 4.0], "a"), (51, [1.0, 2.0], "b"), (51, [1.0, 2.0], "b"), (None, [1.0, 2.0], "a"), (60, [], "a"), (61, [1.0, None], "a"), (62, [1.0, 2.0, 0.0], "a"), (63, [float("inf"), 1.0], "a")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label string, key int, n_links int")
+    got = sorted(((r.vec_id if r.vec_id is not None else -1), r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == sorted([(i, 40, 0) for i in range(40)] + [(50, 40, 0), (51, 1, 51), (51, 1, 51), (-1, 0, None), (60, 0, 60), (61, 0, 61), (62, 0, 62), (63, 0, 63)])
+    assert neardup.near_duplicates(df.where("false")).count() == 0
+
+
 def test_mixture_prefers_one_language_and_odd_texts_are_und(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     names, like = language.train(docs)
