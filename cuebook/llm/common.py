@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that may be broadcast.
@@ -80,6 +81,29 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int
     return dealt.join(copied, [key, "_salt"]).drop("_salt")
 
 
+class Shared:
+    """A value broadcast as bytes that carry its classes along, so that executors need no copy of this package; unpacked once a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held, self.value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def get(self):
+        if self.value is None:
+            self.value = cloudpickle.loads(self.held.value)
+        return self.value
+
+
+def with_fields(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """df with the named fields of the struct made; columns of df that have these names, whatever their case, give way."""
+    low = {n.lower() for n in names}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kept = [c for c in df.columns if c.lower() not in low]
+    held = "_made"
+    while held in (c.lower() for c in kept):
+        held += "_"
+    return df.select(*map(quoted, kept), made.alias(held)).select(*map(quoted, kept), *[F.col(held)[n].alias(n) for n in names])
+
+
 def hash_sample(df: DataFrame, col: str, want: int) -> DataFrame:
     """About want rows of df (all, if fewer), those of the smallest hashes of col: a cut-off by the number of rows, so that no task sorts or gathers them."""
     n = df.count()
@@ -166,9 +190,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = keep.cut(hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = hub_join(large, low, "u", "v")
+        small = large.join(low, "u")  # a row for each smaller neighbour's component: no hub is left on this side
         new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         new = keep.cut(new.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _mark(new)

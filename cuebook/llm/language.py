@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, cut, lowered
+from cuebook.llm.common import BROADCAST_ROWS, Shared, cut, lowered, with_fields
 
 BUCKETS = 4096
 
@@ -84,11 +84,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
     return names, like / like.sum(axis=0, keepdims=True) if table else like
 
 
-def identify(df: DataFrame, names: list[str], like: np.ndarray, text: str = "text") -> DataFrame:
-    """df with lang_pred, score and langs (each chosen language and its share, largest first).
-
-    A text that is null or has no letter is `und` with score 0, as are all texts where no language was learned. Ties go to the smaller name."""
-    hold = df.sparkSession.sparkContext.broadcast(like)
+def predicted(spark, text, names: list[str], like: np.ndarray):
+    """Column of a text column's lang_pred, score and langs."""
+    hold = Shared(spark, like)
 
     def predict(s: pd.Series) -> pd.DataFrame:
         out = []
@@ -96,10 +94,16 @@ def identify(df: DataFrame, names: list[str], like: np.ndarray, text: str = "tex
             if not names or t is None or t.isascii() and t.upper() == t.lower() or not any(map(str.isalpha, t)) or not (c := grams(t)).any():
                 out.append(("und", 0.0, ""))
                 continue
-            pi = mixture(c, hold.value)
+            pi = mixture(c, hold.get())
             best = int(pi.argmax())
             out.append((names[best], float(min(1.0, pi[best])), ",".join(f"{names[k]}:{pi[k]:.3f}" for k in np.argsort(-pi, kind="stable") if pi[k] > 0)))
         return pd.DataFrame(out, columns=["lang_pred", "score", "langs"])
 
-    run = F.pandas_udf(predict, "lang_pred string, score double, langs string")
-    return df.withColumn("_p", run(F.col(text).cast("string"))).select(*df.columns, "_p.lang_pred", "_p.score", "_p.langs")
+    return F.pandas_udf(predict, "lang_pred string, score double, langs string")(text.cast("string"))
+
+
+def identify(df: DataFrame, names: list[str], like: np.ndarray, text: str = "text") -> DataFrame:
+    """df with lang_pred, score and langs (each chosen language and its share, largest first), in place of columns of these names.
+
+    A text that is null or has no letter is `und` with score 0, as are all texts where no language was learned. Ties go to the smaller name."""
+    return with_fields(df, predicted(df.sparkSession, F.col(text), names, like), ["lang_pred", "score", "langs"])

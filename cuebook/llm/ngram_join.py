@@ -3,7 +3,7 @@
 1. One scan gives each document its set size, a digest of the set and a parity bitmap of the shingles. Equal sets are one class.
 2. A second scan deals shortened shingle hashes, many to a row, into buckets that count them; each doc gets back the hashes it doesn't own alone. Ordered
    by rarity, two sets at the threshold share a hash in the first fifth of both. A document whose own hashes fill its first fifth links with nothing and goes.
-3. Star rounds: of the classes that share a prefix hash, each meets the one with the fewest hashes of its own, a linear number of pairs. This joins groups
+3. Star pass: of the classes that share a prefix hash, each meets the one with the fewest hashes of its own, a linear number of pairs. This joins groups
    of near copies without forming their pairs.
 4. Tile pass: prefix hashes whose classes still lie in different components are dealt into tiles of hash, size band and chunk pair.
 In both passes the bit count of two signatures' difference bounds the overlap from above before the exact intersection of the sorted arrays.
@@ -24,7 +24,6 @@ from cuebook.llm.common import BROADCAST_ROWS, Scratch, components, hub_join, lo
 CHUNK = 512
 #: Shingles (and documents) of a task dealt out together, shingles a bucket, and uses within a task's portion from which a hash counts as common.
 PORTION, MOST_DOCS, BUCKET, COMMON = 4_000_000, 60_000, 8_000_000, 32
-STARS = 2
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -256,7 +255,7 @@ def tile_pairs(live: DataFrame, percent: int, keep: Scratch) -> DataFrame:
 def bounded(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and signatures leave room for the similarity."""
     side = cand.select("cid", "n", "sig")
-    met = hub_join(pairs.join(side.toDF("a", "na", "sa"), "a").where("na > 0"), side.toDF("b", "nb", "sb"), "b", "a")
+    met = hub_join(pairs, side.toDF("b", "nb", "sb"), "b", "a").join(side.toDF("a", "na", "sa"), "a")
     met = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def check(batches):
@@ -282,7 +281,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 
     read = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(arrays, "n long, key binary, s binary")
     s = keep.cut(read.join(need.select("cid", "n", "key"), ["n", "key"]).groupBy("cid").agg(F.first("s").alias("s")))
-    met = hub_join(pairs.join(s.toDF("a", "sa"), "a"), s.toDF("b", "sb"), "b", "a")
+    met = hub_join(pairs, s.toDF("b", "sb"), "b", "a").join(s.toDF("a", "sa"), "a")
 
     def check(batches):
         for b in batches:
@@ -313,31 +312,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     one = prefixes(docs.where("id is not null"), percent, n_words, total).join(classes.select("n", "key", "cid", "sig"), ["n", "key"])
     cand = keep.cut(one.groupBy("cid", "n").agg(F.first("sig").alias("sig"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix")))
-    comp, links, tokens = None, [], cand.select("cid", "n", "alone", F.explode("prefix").alias("token"))
-    for turn in range(STARS + 1):
-        known = cand.select("cid", F.col("cid").alias("comp")) if comp is None else cand.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-        known = known if comp is None else keep.cut(known)
-        uses = tokens.join(known, "cid")
+    comp, links = None, None
+    for turn in ("star", "tile"):
+        known = cand.withColumn("comp", F.col("cid")) if comp is None else cand.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        uses = known.select("cid", "comp", "n", "alone", F.explode("prefix").alias("token"))
         marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-        live = uses.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("alone", "n", "cid")).alias("hub"), *marks).where("lo <> hi")
-        live = keep.cut(live.dropDuplicates(["m", "mark1", "mark2", "hub"]).select("token", "m", F.col("hub.cid").alias("b")))  # hashes with the same classes are one
+        hub = F.min(F.struct("alone", "n", "cid", "comp")).alias("hub")
+        live = uses.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub, *marks).where("lo <> hi")
+        live = keep.cut(live.dropDuplicates(["m", "mark1", "mark2", "hub"]).select("token", F.col("hub.cid").alias("b"), F.col("hub.comp").alias("hub_comp")))  # hashes with the same classes are one
         few = live.limit(BROADCAST_ROWS + 1).count()
         if few == 0:
             break
         met = uses.join(F.broadcast(live), "token") if few <= BROADCAST_ROWS else hub_join(uses, live, "token", "cid")
-        if turn < STARS:  # each class meets the hub that it shares most hashes with
-            star = met.join(known.toDF("b", "hub_comp"), "b").where("comp <> hub_comp").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("k"))
-            pairs = star.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        if turn == "star":  # each class meets the hub that it shares most hashes with
+            star = met.where("comp <> hub_comp").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("k"))
+            pairs = keep.cut(bounded(keep.cut(star.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))), cand, percent))
         else:
-            pairs = tile_pairs(met.select("token", "cid", "comp", "n").join(cand.select("cid", "sig"), "cid"), percent, keep)
-        pairs = keep.cut(bounded(pairs, cand, percent) if turn < STARS else pairs)
+            pairs = keep.cut(tile_pairs(met.select("token", "cid", "comp", "n").join(cand.select("cid", "sig"), "cid"), percent, keep))
         if pairs.isEmpty():
             continue
-        links.append(keep.cut(verified(docs, classes, pairs, percent, n_words, keep)))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        comp = components(edges)
+        more = keep.cut(verified(docs, classes, pairs, percent, n_words, keep))
+        links = more if links is None else links.unionByName(more)
+        comp = components(links)
 
     reps = classes.select("n", "key", "rep", "cid", "copies")
     if comp is None:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebook.llm.common import Shared, with_fields
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 50_000
@@ -217,13 +219,14 @@ class Model:
 
 
 def encoded(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with ids, n_tokens, n_byte_tokens and intact (decoding gives the text back).
+    """df with ids, n_tokens, n_byte_tokens and intact (decoding gives the text back), in place of columns of these names.
 
-    Null and empty texts have no ids and are intact. A marker character in a text decodes as a blank, so such texts aren't intact."""
-    hold = df.sparkSession.sparkContext.broadcast(model)
+    Null and empty texts have no ids and are intact. A marker character in a text decodes as a blank, so such texts aren't intact. Texts of any length are walked
+    whole; repeated rows get equal ids; of equal scores the segmentation with the longer last piece is taken."""
+    hold = Shared(df.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = hold.value
+        m = hold.get()
         for s in batches:
             for lo in range(0, len(s), ROWS):
                 part, out = s.iloc[lo : lo + ROWS], []
@@ -233,14 +236,14 @@ def encoded(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pd.DataFrame(out, columns=["ids", "n_tokens", "n_byte_tokens", "intact"])
 
     r = F.pandas_udf(run, "ids array<int>, n_tokens long, n_byte_tokens long, intact boolean")
-    return df.withColumn("_p", r(F.col(text).cast("string"))).select(*df.columns, "_p.ids", "_p.n_tokens", "_p.n_byte_tokens", "_p.intact")
+    return with_fields(df, r(F.col(text).cast("string")), ["ids", "n_tokens", "n_byte_tokens", "intact"])
 
 
 def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
-    """df with the text of its ids; null ids give null."""
-    hold = df.sparkSession.sparkContext.broadcast(model)
+    """df with decoded, the text of its ids, in place of a column of this name; null ids give null."""
+    hold = Shared(df.sparkSession, model)
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else hold.value.decode(x) for x in s], dtype=object)
+        return pd.Series([None if x is None else hold.get().decode(x) for x in s], dtype=object)
 
-    return df.withColumn("decoded", F.pandas_udf(run, "string")(ids))
+    return with_fields(df, F.struct(F.pandas_udf(run, "string")(ids).alias("decoded")), ["decoded"])

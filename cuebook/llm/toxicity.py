@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import lowered, word_hashes
+from cuebook.llm.common import Shared, hash_sample, lowered, with_fields, word_hashes
 
 BITS = 20
 
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Machine from the documents that labels marks 0 or 1; other and null labels are left out.
 
     Term counts cover all labelled documents; of equal texts with equal labels the one with the smallest key counts (a row repeated under one key counts each
-    time). sample bounds the rows of the factor fit (smallest hash of text first). Every term of support or more rows gets a weight and factors, at most
+    time). About sample rows (of the smallest hashes of text) take part in the factor fit. Every term of support or more rows gets a weight and factors, at most
     1 << BITS of them. Texts are never shuffled: hashes of texts meet the labels
     first, then the terms of the documents chosen."""
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
@@ -117,14 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = [np.frombuffer(r.r, np.int64).reshape(-1, 3) for r in stats.mapInPandas(packed, "r binary").collect()]
     table = np.concatenate([np.empty((0, 3), np.int64), *got])
     m = Machine(*paces(table[np.argsort(table[:, 0])], n.n, n.pos))
-    at = F.struct("h", "y")
-    last = docs.select(at.alias("at")).orderBy("at").limit(sample).agg(F.max("at").alias("at")).first()["at"]
-    got = []
-    if last is not None:
-        end = F.struct(F.lit(last.h).alias("h"), F.lit(last.y).alias("y"))
-        got = docs.where(at < end).unionByName(docs.where(at == end).limit(sample)).collect()
+    got = hash_sample(docs, "h", sample).collect()
     docs.unpersist()
-    got = sorted(got, key=lambda r: (r.h, r.y))[:sample]
+    got = sorted(got, key=lambda r: (r.h, r.y))
     return m.fit([m.place(np.frombuffer(r.t, np.int32)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
 
 
@@ -141,13 +136,20 @@ def paces(stats: np.ndarray, rows: int, toxic: int):
     return t, 4, np.minimum(1, (z / 6) ** 4), start
 
 
-def score(df: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """df with score (0 to 1) and predicted (1 from the threshold on). Null and empty texts get the score of a text without known terms."""
-    hold = df.sparkSession.sparkContext.broadcast(machine)
+def probability(spark, text, machine: Machine):
+    """Column of the probability of label 1 of a text column; null and empty texts get that of a text without known terms."""
+    hold = Shared(spark, machine)
 
     def run(s: pd.Series) -> pd.Series:
-        m = hold.value
+        m = hold.get()
         return pd.Series([1 / (1 + np.exp(-np.clip(m.logit(m.place(terms(t))), -30, 30))) for t in s], dtype=float)
 
-    p = F.pandas_udf(run, "double")(F.col(text).cast("string"))
-    return df.withColumn("score", p).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return F.pandas_udf(run, "double")(text.cast("string"))
+
+
+def score(df: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """df with score (0 to 1) and predicted (1 from the threshold on), in place of columns of these names. Null and empty texts get the score of a text without
+    known terms. Rows are scored each by itself, so that repeated rows and ties get equal scores."""
+    made = F.struct(probability(df.sparkSession, F.col(text), machine).alias("score"))
+    out = with_fields(df, made, ["score"])
+    return with_fields(out, F.struct((F.col("score") >= threshold).cast("int").alias("predicted")), ["predicted"])
