@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: a speaker's label at the start of a text.
+SPEAKER = r"^\s*Speaker\s+[A-Z]:\s*"
+#: Fixed value: what names an overloaded service in an error message.
+BUSY = "429|503|resource_exhausted|unavailable"
+
+
+def trimmed(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def tier(header: Column, guess: Column) -> Column:
     """The tier the service names, where it is a known one, else the one asked for."""
     h = F.lower(header)
@@ -14,7 +25,7 @@ def tier(header: Column, guess: Column) -> Column:
 
 def error_class(code: Column, message: Column) -> Column:
     """`transient` for overload codes or messages, else `permanent`."""
-    busy = F.lower(F.coalesce(message, F.lit(""))).rlike("429|503|resource_exhausted|unavailable")
+    busy = F.lower(F.coalesce(message, F.lit(""))).rlike(BUSY)
     return F.when(F.coalesce(code.isin(429, 503), F.lit(False)) | busy, "transient").otherwise("permanent")
 
 
@@ -51,7 +62,7 @@ def estimate(megabytes: Column) -> dict[str, Column]:
 
 def without_speaker(text: Column) -> Column:
     """A text without a leading label of one speaker letter."""
-    return F.regexp_replace(text, r"^\s*Speaker\s+[A-Z]:\s*", "")
+    return F.regexp_replace(text, SPEAKER, "")
 
 
 def threshold(loudest: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuebook.functions.labels import trimmed
+
 #: States of a batch and the changes between them.
 LIVE = ("UPLOADING", "POLLING", "RECOVERING")
 MOVES = {"UPLOADING": ("POLLING", "FAILED"), "POLLING": ("COMPLETED", "FAILED", "RECOVERING"), "RECOVERING": ("POLLING", "COMPLETED", "FAILED"), "COMPLETED": ("RETRIEVED",), "FAILED": ("RECOVERING",), "RETRIEVED": ()}
@@ -26,8 +28,8 @@ def transcripts(log: DataFrame, jobs: DataFrame, task: str = "task_id", batch: s
 
 
 def nonblank(text: Column) -> Column:
-    """The text, or null where it holds white space only."""
-    return F.when(text.rlike(r"(?U)\S"), text)
+    """The text without white space at its ends, or null where nothing is left."""
+    return F.nullif(trimmed(text), F.lit(""))
 
 
 def positional(left: DataFrame, right: DataFrame, key: str, left_order: str | Column, right_order: str | Column) -> DataFrame:
@@ -53,6 +55,22 @@ def liveness(status: Column, known: Column, elapsed_s: Column, limit_s: int = 30
     return F.when(status.isin(*LIVE), F.when(known.isNotNull(), known).when(elapsed_s > limit_s, F.lit(False)))
 
 
+def task_rows(jobs: DataFrame, known: Column, elapsed_s: Column) -> DataFrame:
+    """jobs as tasks: is_alive, names of the files in the order of their numbers, files (file_count, or the number of names where it is 0 or null), and the session,
+    which is the batch itself where none is named. Broken JSON names no files."""
+    entries = F.map_entries(F.from_json("file_mapping_json", "map<string, struct<file_uid: string, original_filename: string>>"))
+    placed = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"]["original_filename"].alias("name"))))
+    names = F.transform(placed, lambda e: e["name"])
+    count = F.coalesce(F.nullif("file_count", F.lit(0)), F.greatest(F.size(names), F.lit(0)))
+    session = F.coalesce(F.nullif("session_id", F.lit("")), F.col("batch_id").cast("string"))
+    return jobs.select("batch_id", "status", liveness(F.col("status"), known, elapsed_s).alias("is_alive"), count.alias("files"), names.alias("names"), session.alias("session_id"))
+
+
+def seeded(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """rows, or the seeds where there are no rows."""
+    return rows.unionByName(seeds) if rows.isEmpty() else rows
+
+
 def state_changes(events: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
     """events with before, the key's state until then, and valid: a first state, the same again, or a change that MOVES lists."""
     d = events.withColumn("before", F.lag(status).over(Window.partitionBy(key).orderBy(*order)))
@@ -63,8 +81,10 @@ def state_changes(events: DataFrame, key: str, order: list[str], status: str = "
 
 
 def session_tasks(batches: DataFrame, singles: DataFrame) -> DataFrame:
-    """Batches (session_id, started_at, file_count) and single tasks (session_id, started_at) as one row per session: its kinds, files and earliest start."""
-    both = batches.select("session_id", "started_at", F.lit("batch").alias("kind"), F.coalesce("file_count", F.lit(0)).alias("n"))
+    """Batches (session_id, started_at, file_count, and files, an array) and single tasks (session_id, started_at) as one row per session: its kinds, files and
+    earliest start. A file_count of 0 or null gives way to the number of files."""
+    listed = F.greatest(F.size("files"), F.lit(0)) if "files" in batches.columns else F.lit(0)
+    both = batches.select("session_id", "started_at", F.lit("batch").alias("kind"), F.coalesce(F.nullif("file_count", F.lit(0)), listed).alias("n"))
     both = both.unionByName(singles.select("session_id", "started_at", F.lit("single").alias("kind"), F.lit(1).alias("n")))
     return both.groupBy("session_id").agg(F.count("*").alias("tasks"), F.sum("n").cast("long").alias("files"), F.count(F.when(F.col("kind") == "batch", 1)).alias("batches"), F.min("started_at").alias("started_at"))
 

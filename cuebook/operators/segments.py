@@ -61,7 +61,18 @@ def speech_ratio(segments: DataFrame, totals: DataFrame, key: str = "file_id", b
     return totals.join(spoken, key, "left").select(key, ratio.alias("ratio"), (ratio < below).alias("use_speech"))
 
 
-def joined_results(parts: DataFrame, key: str, order: str, text: str = "text", tokens: tuple[str, ...] = ("tokens",), flex: str = "flex") -> DataFrame:
-    """One row per task of its parts: summed tokens, whether all were flex, and their texts in order (ties by text) joined by newlines."""
+def levels(frames: DataFrame, column: str) -> DataFrame:
+    """frames with loudest, the largest magnitude, and mean_square."""
+    x = F.transform(column, lambda v: F.abs(v.cast("double")))
+    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    return frames.withColumn("loudest", F.array_max(x)).withColumn("mean_square", F.try_divide(square, F.size(column)))
+
+
+def joined_results(parts: DataFrame, key: str, order: str, text: str = "text", tokens: tuple[str, ...] = ("tokens",), flex: str = "flex", failed: str | None = None) -> DataFrame:
+    """One row per task of its parts: summed tokens, whether all were flex, and their texts in order (ties by text) joined by newlines. With failed, a flag of
+    parts, a task of which any part failed has no result."""
+    if failed is not None:
+        bad = F.bool_or(F.coalesce(failed, F.lit(False))).alias("_bad")
+        return joined_results(parts, key, order, text, tokens, flex).join(parts.groupBy(key).agg(bad).where("not _bad").drop("_bad"), key)
     rows = F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("s"))))
     return parts.groupBy(key).agg(*[F.sum(t).alias(t) for t in tokens], F.bool_and(flex).alias("all_flex"), F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("text"))

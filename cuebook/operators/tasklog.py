@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def matching(log: DataFrame, status: str | None = None, is_batch: bool | None = None, since=None, until=None, keyword: str | None = None) -> DataFrame:
-    """Rows that meet every given condition; a null column meets none. Keyword is matched without case, with % and _ taken literally."""
+    """Rows that meet every given condition; a null column meets none. Empty texts are no condition. keyword is a pattern of file name or title, without case: %
+    and _ are wildcards, and a backslash before one of them, or before itself, takes it literally."""
     out = log
-    if status is not None:
+    if status:
         out = out.where(F.col("status") == status)
     if is_batch is not None:
         out = out.where(F.col("is_batch") == is_batch)
-    if since is not None:
+    if since:
         out = out.where(F.col("requested_at") >= F.to_timestamp_ntz(F.lit(since)))
-    if until is not None:
+    if until:
         out = out.where(F.col("requested_at") <= F.to_timestamp_ntz(F.lit(until)))
-    if keyword is not None:
-        out = out.where(F.lower("filename").contains(keyword.lower()))
+    if keyword:
+        safe = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in ("%", "_", "\\") and m[1] else "\\\\" + m[1], keyword)
+        out = out.where(F.col("filename").ilike(f"%{safe}%") | F.col("title").ilike(f"%{safe}%"))
     return out
 
 
 def page(log: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of the newest-first list; null times come first."""
+    """One page (from 1) of 1 to 100 rows of the newest-first list; null times come first."""
+    number, size = max(1, number), min(100, max(1, size))
     return log.orderBy(F.col("requested_at").desc_nulls_first(), F.col("task_id").desc()).offset((number - 1) * size).limit(size)
 
 
+def page_counts(log: DataFrame, size: int) -> DataFrame:
+    """total rows and pages, one page for no rows."""
+    return log.agg(F.count("*").alias("total")).select("total", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long").alias("pages"))
+
+
 def stats(log: DataFrame, *keys: str) -> DataFrame:
-    """Counts, success rate over all rows, and sums over completed rows; an empty table gives zeros."""
+    """Counts, success rate over all rows, and sums over all rows; processing is the mean of completed rows. An empty table gives zeros."""
     done = F.col("status") == "COMPLETED"
     total, ok = F.count("*"), F.count(F.when(done, 1))
     aggs = [
@@ -37,23 +47,48 @@ def stats(log: DataFrame, *keys: str) -> DataFrame:
         F.count(F.when(F.col("status") == "FAILED", 1)).alias("failed"),
         F.coalesce(F.round(ok * 100.0 / F.nullif(total, F.lit(0)), 1), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum(F.col("cost").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("cost"),
+        F.coalesce(F.round(F.sum(F.col("cost").cast("decimal(24,9)")), 6), F.lit(0)).cast("double").alias("cost"),
+        F.coalesce(F.round(F.sum("duration"), 1), F.lit(0.0)).alias("duration"),
+        F.coalesce(F.round(F.avg(F.when(done, F.col("processing"))), 1), F.lit(0.0)).alias("processing"),
     ]
     return log.groupBy(*keys).agg(*aggs) if keys else log.agg(*aggs)
 
 
 def active(log: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
-    """Tasks in progress, and those asked for within the last hours (the bound included)."""
+    """Single tasks in progress, and finished or failed ones asked for within the last hours (the bound included). A null is_batch is not single."""
     edge = F.to_timestamp_ntz(F.lit(as_of)) - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return log.where((F.col("status") == "PROCESSING") | (F.col("requested_at") >= edge))
+    return log.where(~F.col("is_batch") & ((F.col("status") == "PROCESSING") | (F.col("status").isin("COMPLETED", "FAILED") & (F.col("requested_at") >= edge))))
 
 
 def archived(log: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """log with completed rows older than the given hours (strictly) set to RETRIEVED."""
+    """log with completed rows older than the given hours (strictly) set to RETRIEVED. changed() counts them."""
     old = (F.col("status") == "COMPLETED") & (F.col("requested_at") < F.to_timestamp_ntz(F.lit(as_of)) - F.expr(f"INTERVAL {int(hours)} HOURS"))
     return log.withColumn("status", F.when(old, "RETRIEVED").otherwise(F.col("status")))
 
 
+def changed(before: DataFrame, after: DataFrame, key: str, column: str = "status") -> DataFrame:
+    """n, the rows whose column differs from before."""
+    old = before.select(key, F.col(column).alias("_old"))
+    return after.join(old, key).agg(F.count(F.when(~F.col(column).eqNullSafe(F.col("_old")), 1)).alias("n"))
+
+
+def with_status(log: DataFrame, key: str, value, status: str) -> DataFrame:
+    """log with the status of one key set."""
+    return log.withColumn("status", F.when(F.col(key) == value, status).otherwise(F.col("status")))
+
+
+def lookup(log: DataFrame, key: str, value: str | None) -> DataFrame:
+    """The row of a key given as text, one at most; text that isn't a key of this type finds nothing."""
+    return log.where(F.col(key) == F.lit(value).try_cast(dict(log.dtypes)[key])).limit(1)
+
+
+def response(log: DataFrame) -> DataFrame:
+    """log's rows for a client: times as text, nulls kept, has_transcript for a transcript column that isn't null."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    plain = [c for c in log.columns if c not in ("requested_at", "completed_at", "lrc_content", "transcript")]
+    return log.select(text("requested_at"), text("completed_at"), *plain, F.col("transcript").isNotNull().alias("has_transcript"))
+
+
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The newest row per key: a partial aggregate before the shuffle, no sort."""
     rest = [c for c in rows.columns if c != key]

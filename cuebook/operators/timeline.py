@@ -5,45 +5,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuebook.functions.labels import trimmed, without_speaker
 
-def clock(cs: Column, mark: str) -> Column:
-    """hh:mm:ss and milliseconds after the mark, from centiseconds."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    s = F.floor(cs / 100).cast("long")
-    return F.concat(two(F.floor(s / 3600).cast("long")), F.lit(":"), two(F.floor(s / 60).cast("long") % 60), F.lit(":"), two(s % 60), F.lit(mark), F.lpad((cs % 100 * 10).cast("string"), 3, "0"))
 
+#: Fixed value: a timed line, exactly two digits of minutes and seconds, two or three of the fraction.
+LINE = r"^\[(\d{2}):(\d{2})\.(\d{2,3})\]([^\n]*)"
 
-def lrc(cs: Column) -> Column:
-    """[mm:ss.cc] of a time in centiseconds."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(F.lit("["), two(F.floor(cs / 6000).cast("long")), F.lit(":"), two(F.floor(cs / 100).cast("long") % 60), F.lit("."), two(cs % 100), F.lit("]"))
+
+def padded(number: Column, width: int) -> Column:
+    """A whole number with zeros in front; longer ones stay whole."""
+    text = number.cast("long").cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def clock(ms: Column, mark: str) -> Column:
+    """hh:mm:ss and milliseconds after the mark, from milliseconds; negative times are 0, fractions are cut off."""
+    t = F.greatest(ms, F.lit(0)).cast("long")
+    at = lambda n, m: F.floor(t / n) % m
+    return F.concat(padded(F.floor(t / 3600000), 2), F.lit(":"), padded(at(60000, 60), 2), F.lit(":"), padded(at(1000, 60), 2), F.lit(mark), padded(t % 1000, 3))
+
+
+def stamp(ms: Column) -> Column:
+    """[mm:ss.cc] of a time in milliseconds, cut off to centiseconds."""
+    return F.concat(F.lit("["), padded(F.floor(ms / 60000), 2), F.lit(":"), padded(F.floor(ms / 1000) % 60, 2), F.lit("."), padded(F.floor(ms % 1000 / 10), 2), F.lit("]"))
+
+
+def line_ms(line: Column) -> Column:
+    """Milliseconds of a timed line."""
+    part = lambda i: F.regexp_extract(line, LINE, i)
+    return (part(1).cast("long") * 60 + part(2).cast("long")) * 1000 + F.rpad(part(3), 3, "0").cast("long")
+
+
+def line_text(line: Column) -> Column:
+    """Text of a timed line, trimmed, without a speaker's label."""
+    return without_speaker(trimmed(F.regexp_extract(line, LINE, 4)))
 
 
 def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Lines of the form [mm:ss.cc] text, with start_cs and text; other lines go."""
-    m = r"^\[(\d{2}):(\d{2})\.(\d{2,3})\](.*)$"
-    part = lambda i: F.regexp_extract(column, m, i)
-    kept = lines.where(F.col(column).rlike(m))
-    cs = (part(1).cast("long") * 60 + part(2).cast("long")) * 100 + F.substring(part(3), 1, 2).cast("long")
-    return kept.withColumn("start_cs", cs).withColumn("text", F.trim(part(4)))
+    """Timed lines with start_ms and text; other lines go."""
+    return lines.where(F.col(column).rlike(LINE)).withColumn("start_ms", line_ms(F.col(column))).withColumn("text", line_text(F.col(column)))
 
 
-def with_ends(cues: DataFrame, last_cs: int = 500) -> DataFrame:
-    """cues with end_cs: the next line's start in line order, or the start plus last_cs."""
+def with_ends(cues: DataFrame, last_ms: int = 5000) -> DataFrame:
+    """cues with end_ms: the next line's start in line order, or the start plus last_ms; and number, their place (from 1) among the file's cues."""
     w = Window.partitionBy("file_id").orderBy("line_no")
-    return cues.withColumn("end_cs", F.coalesce(F.lead("start_cs").over(w), F.col("start_cs") + last_cs))
+    return cues.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), F.col("start_ms") + last_ms)).withColumn("number", F.row_number().over(w))
 
 
 def document(cues: DataFrame, style: str) -> DataFrame:
     """One srt, vtt or txt text per file, lines in order. srt blocks are numbered, vtt blocks aren't; both end with a newline."""
     mark, arrow = ("," if style == "srt" else "."), F.lit(" --> ")
-    number = F.concat(F.col("line_no").cast("string"), F.lit("\n")) if style == "srt" else F.lit("")
-    body = F.col("text") if style == "txt" else F.concat(number, clock(F.col("start_cs"), mark), arrow, clock(F.col("end_cs"), mark), F.lit("\n"), F.col("text"), F.lit("\n"))
+    number = F.concat(F.col("number").cast("string"), F.lit("\n")) if style == "srt" else F.lit("")
+    body = F.col("text") if style == "txt" else F.concat(number, clock(F.col("start_ms"), mark), arrow, clock(F.col("end_ms"), mark), F.lit("\n"), F.col("text"), F.lit("\n"))
     rows = F.array_sort(F.collect_list(F.struct("line_no", body.alias("s"))))
     head = "WEBVTT\n\n" if style == "vtt" else ""
     return cues.groupBy("file_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["s"]), "\n")).alias("content"))
 
 
+def converted(text: Column, last_ms: int = 5000) -> Column:
+    """Struct of lrc, srt, vtt and txt of a whole timed text, row by row without a shuffle. A blank or null text gives four empty ones, one without a timed line
+    itself and three empty ones."""
+    lines = F.filter(F.split(trimmed(text), "\n"), lambda x: x.rlike(LINE))
+    cues = F.transform(lines, lambda x: F.struct(line_ms(x).alias("ms"), line_text(x).alias("s")))
+
+    def blocks(mark: str, numbered: bool) -> Column:
+        def block(c, i):
+            end = F.coalesce(F.get(cues, i + 1)["ms"], c["ms"] + last_ms)
+            number = F.concat((i + 1).cast("string"), F.lit("\n")) if numbered else F.lit("")
+            return F.concat(number, clock(c["ms"], mark), F.lit(" --> "), clock(end, mark), F.lit("\n"), c["s"], F.lit("\n"))
+
+        return F.array_join(F.transform(cues, block), "\n")
+
+    none = F.size(lines) <= 0
+    kept = F.when(text.isNull() | (trimmed(text) == ""), "").otherwise(text)
+    made = {"srt": blocks(",", True), "vtt": F.concat(F.lit("WEBVTT\n\n"), blocks(".", False)), "txt": F.array_join(F.transform(cues, lambda c: c["s"]), "\n")}
+    return F.struct(kept.alias("lrc"), *[F.when(text.isNull() | none, "").otherwise(c).alias(n) for n, c in made.items()])
+
+
+def shifted(text: Column, offset_s: float) -> Column:
+    """A timed text with its times moved, seconds in two decimals; other lines stay as they are, and so does the whole text for an offset of 0."""
+    if offset_s == 0:
+        return text
+
+    def move(x):
+        t = line_ms(x) / 1000 + F.lit(float(offset_s))
+        minutes = (t / 60).cast("long")
+        seconds = F.format_string("%05.2f", t - F.floor(t / 60) * 60)
+        return F.when(x.rlike(LINE), F.concat(F.lit("["), padded(minutes, 2), F.lit(":"), seconds, F.lit("]"), F.regexp_extract(x, LINE, 4))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(trimmed(text), "\n"), move), "\n")
+
+
+def remapped_text(cues: DataFrame, segments: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, lrc): the cues (line_no, start_cs, text) of speech-only audio printed at their times in the whole file, labels stripped; '' where none is left."""
+    from cuebook.operators import segments as parts
+
+    at = parts.remapped(cues, segments, key)
+    line = F.concat(stamp(F.col("start_cs") * 10), without_speaker(trimmed(F.col("text"))))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", line.alias("s"))))
+    text = at.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("lrc"))
+    return cues.select(key).distinct().join(text, key, "left").select(key, F.coalesce("lrc", F.lit("")).alias("lrc"))
+
+
 def runs(flags: DataFrame, key: str, order: list[str], flag: str = "flag") -> DataFrame:
     """Maximal runs of equal flags: key, run (from 1), flag, first and last place (from 1), length."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -71,6 +134,36 @@ def merged(intervals: DataFrame, key: str, start: str = "start", end: str = "end
     return d.groupBy(key, "g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("g")
 
 
+def chunked_lag(rows: DataFrame, time: str, columns: list[str], order: list[str], chunk_seconds: int) -> DataFrame:
+    """rows with _<column>, each column's value in the row before in one order over all rows that begins with time. Rows are ordered within chunks of time, and
+    only the last row of each chunk is ordered over all, so that no task holds all rows."""
+    d = rows.withColumn("_chunk", F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (chunk_seconds * 1000000)))
+    here = Window.partitionBy("_chunk").orderBy(*order)
+    last = d.groupBy("_chunk").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    before = last.select("_chunk", F.lag("_last").over(Window.orderBy("_chunk")).alias("_before"))
+    d = d.withColumn("_first", F.row_number().over(here) == 1)
+    for c in columns:
+        d = d.withColumn(f"_{c}", F.lag(c).over(here))
+    d = d.join(before, "_chunk")
+    for c in columns:
+        d = d.withColumn(f"_{c}", F.when(F.col("_first"), F.col("_before")[c]).otherwise(F.col(f"_{c}")))
+    return d.drop("_before")
+
+
+def clusters(rows: DataFrame, time: str, kind: str, tie: str, gap_seconds: int = 600, chunk_seconds: int = 86400) -> DataFrame:
+    """rows with cluster (from 1), over all rows in order of time: a row joins the cluster before it if it is at most the gap later and of the same kind. A row
+    without a time, or from 1970's first instant, begins its own; these come first. Null kinds are ''."""
+    d = rows.withColumn(time, F.coalesce(F.col(time).cast("timestamp"), F.timestamp_micros(F.lit(0)))).withColumn(kind, F.coalesce(kind, F.lit("")))
+    d = chunked_lag(d, time, [time, kind], [time, tie], chunk_seconds)
+    seconds = (F.unix_micros(time) - F.unix_micros(f"_{time}")) / 1e6
+    joins = F.col(f"_{time}").isNotNull() & (F.unix_micros(time) > 0) & (seconds <= gap_seconds) & (F.col(kind) == F.col(f"_{kind}"))
+    d = d.withColumn("_new", F.when(joins, 0).otherwise(1))
+    sums = d.groupBy("_chunk").agg(F.sum("_new").alias("_n"))
+    earlier = sums.select("_chunk", F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    here = F.sum("_new").over(Window.partitionBy("_chunk").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_here", here).join(earlier, "_chunk").withColumn("cluster", F.col("_here") + F.col("_earlier")).drop("_chunk", "_first", "_new", "_here", "_earlier", f"_{time}", f"_{kind}")
+
+
 def sessions(rows: DataFrame, key: str, time: str, kind: str, tie: str, gap_seconds: int = 600) -> DataFrame:
     """rows with session (from 1): a new one starts when the gap is exceeded or the kind changes."""
     w = Window.partitionBy(key).orderBy(time, tie)

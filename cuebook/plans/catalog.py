@@ -6,16 +6,12 @@ from pyspark.sql import functions as F
 
 from cuebook.functions import scalars
 from cuebook.operators import tasklog, timeline
-from cuebook.plans import segment_catalog
-from cuebook.sources.tables import cues, table, task_log
-
-QUERIES, ORACLES = dict(segment_catalog.QUERIES), dict(segment_catalog.ORACLES)
-LOG = """(SELECT o_orderkey AS task_id, o_orderdate AS requested_at, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status,
- o_totalprice AS cost, CAST(floor(o_totalprice) AS BIGINT) AS tokens, o_orderpriority AS model, o_custkey AS batch_id, o_custkey % 3 = 0 AS is_batch, 'audio_' || o_orderkey || '.mp3' AS filename FROM orders)"""
-CUES = r"""(SELECT conv_id AS file_id, turn AS line_no, turn * 725 + (conv_id % 10) * 10 AS start_cs, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM conversations)"""
-ENDS = f"(SELECT *, coalesce(lead(start_cs) OVER (PARTITION BY file_id ORDER BY line_no), start_cs + 500) AS end_cs FROM {CUES} c)"
-STATS = """count(*) AS total, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'FAILED') AS failed,
- coalesce(round(count(*) FILTER (WHERE status = 'COMPLETED') * CAST(100 AS DOUBLE) / nullif(count(*), 0), 1), 0.0) AS success_rate, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(CAST(cost AS DECIMAL(18,2))), 0) AS DOUBLE) AS cost"""
+from cuebook.plans import history_catalog, queue_catalog, segment_catalog
+from cuebook.plans.shared_sql import CUES, ENDS, LOG, STATS
+from cuebook.sources.tables import cues, lyrics, table, task_log
+
+from_ = (segment_catalog, history_catalog, queue_catalog)
+QUERIES, ORACLES = {k: v for c in from_ for k, v in c.QUERIES.items()}, {k: v for c in from_ for k, v in c.ORACLES.items()}
 AS_OF = "1998-08-01 00:00:00"
 
 
@@ -29,8 +25,9 @@ def query(sql: str | None = None):
     return keep
 
 
-def sql_clock(cs: str, mark: str) -> str:
-    return f"lpad(CAST({cs} // 360000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({cs} // 6000) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({cs} // 100) % 60 AS VARCHAR), 2, '0') || '{mark}' || lpad(CAST({cs} % 100 * 10 AS VARCHAR), 3, '0')"
+def sql_clock(ms: str, mark: str) -> str:
+    two = lambda x: f"CASE WHEN {x} < 100 THEN lpad(CAST({x} AS VARCHAR), 2, '0') ELSE CAST({x} AS VARCHAR) END"
+    return f"{two(f'{ms} // 3600000')} || ':' || {two(f'({ms} // 60000) % 60')} || ':' || {two(f'({ms} // 1000) % 60')} || '{mark}' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
 
 
 @query(f"SELECT {STATS} FROM {LOG} l")
@@ -48,6 +45,16 @@ def stats_by_month(spark, d):
     return tasklog.stats(task_log(spark, d).withColumn("month", F.date_format("requested_at", "yyyy-MM")), "month")
 
 
+@query(f"SELECT strftime(requested_at, '%Y-%m-%d') AS day, {STATS} FROM {LOG} l GROUP BY 1")
+def stats_by_day(spark, d):
+    return tasklog.stats(task_log(spark, d).withColumn("day", F.date_format("requested_at", "yyyy-MM-dd")), "day")
+
+
+@query(f"SELECT dayofweek(requested_at) AS weekday, {STATS} FROM {LOG} l GROUP BY 1")
+def stats_by_weekday(spark, d):
+    return tasklog.stats(task_log(spark, d).withColumn("weekday", (F.dayofweek("requested_at") - 1).cast("long")), "weekday")
+
+
 @query(f"SELECT model, count(*) AS n, round(count(*) * CAST(100 AS DOUBLE) / sum(count(*)) OVER (), 2) AS share FROM {LOG} l GROUP BY model")
 def stats_share_by_model(spark, d):
     return tasklog.share(task_log(spark, d), "model")
@@ -68,12 +75,27 @@ def filter_date_range(spark, d):
     return tasklog.matching(task_log(spark, d), since="1995-01-01 00:00:00", until="1995-12-31 00:00:00").select("task_id", "requested_at")
 
 
-@query(f"SELECT task_id, filename FROM {LOG} l WHERE contains(lower(filename), 'audio_12')")
+@query(f"SELECT task_id, filename FROM {LOG} l WHERE contains(lower(filename), 'audio_12') OR lower(filename) LIKE '%audio_12%'")
 def keyword_search(spark, d):
     return tasklog.matching(task_log(spark, d), keyword="Audio_12").select("task_id", "filename")
 
 
-@query(f"SELECT task_id FROM {LOG} l WHERE status = 'COMPLETED' AND is_batch = false AND contains(lower(filename), '7') AND requested_at >= TIMESTAMP '1994-01-01'")
+@query(f"SELECT task_id FROM {LOG} l WHERE filename ILIKE '%o_1_5%' OR title ILIKE '%o_1_5%'")
+def keyword_wildcard(spark, d):
+    return tasklog.matching(task_log(spark, d), keyword="O_1_5").select("task_id")
+
+
+@query(f"SELECT task_id FROM {LOG} l WHERE contains(lower(title), 'k 12%') OR contains(lower(filename), 'k 12%')")
+def keyword_literal(spark, d):
+    return tasklog.matching(task_log(spark, d), keyword="k 12\\%").select("task_id")
+
+
+@query(f"SELECT count(*) AS n FROM {LOG} l")
+def empty_filters(spark, d):
+    return tasklog.matching(task_log(spark, d), status="", since="", until="", keyword="").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT task_id FROM {LOG} l WHERE status = 'COMPLETED' AND is_batch = false AND (contains(lower(filename), '7') OR contains(title, '7')) AND requested_at >= TIMESTAMP '1994-01-01'")
 def combined_filters(spark, d):
     return tasklog.matching(task_log(spark, d), "COMPLETED", False, "1994-01-01 00:00:00", keyword="7").select("task_id")
 
@@ -83,7 +105,7 @@ def page_two(spark, d):
     return tasklog.page(task_log(spark, d), 2, 20).select("task_id", "requested_at")
 
 
-@query(f"SELECT task_id, requested_at, status FROM {LOG} l WHERE status = 'PROCESSING' OR requested_at >= TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR")
+@query(f"SELECT task_id, requested_at, status FROM {LOG} l WHERE is_batch = false AND (status = 'PROCESSING' OR (status IN ('COMPLETED', 'FAILED') AND requested_at >= TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR))")
 def active_tasks(spark, d):
     return tasklog.active(task_log(spark, d), AS_OF).select("task_id", "requested_at", "status")
 
@@ -104,9 +126,15 @@ def delete_keys(spark, d):
     return tasklog.without(task_log(spark, d), gone, "batch_id").select("task_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(f"SELECT count(*) AS n FROM {LOG} l WHERE status = 'COMPLETED' AND requested_at < TIMESTAMP '1995-01-01' - INTERVAL 24 HOUR")
+def archive_count(spark, d):
+    log = task_log(spark, d)
+    return tasklog.changed(log, tasklog.archived(log, "1995-01-01 00:00:00"), "task_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphan_batches(spark, d):
-    used = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return tasklog.without(table(spark, d, "customer").select("c_custkey"), used, "c_custkey")
 
 
@@ -116,24 +144,49 @@ def price_totals(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("model")).agg(F.count("*").alias("items"), F.round(F.sum(cost), 4).alias("cost"))
 
 
-@query(f"SELECT file_id, line_no, {sql_clock('start_cs', ',')} AS begins, {sql_clock('end_cs', ',')} AS ends FROM {ENDS} e")
+@query(f"SELECT file_id, line_no, {sql_clock('start_ms', ',')} AS begins, {sql_clock('end_ms', ',')} AS ends FROM {ENDS} e")
 def cue_srt_rows(spark, d):
     c = timeline.with_ends(cues(spark, d))
-    return c.select("file_id", "line_no", timeline.clock(F.col("start_cs"), ",").alias("begins"), timeline.clock(F.col("end_cs"), ",").alias("ends"))
+    return c.select("file_id", "line_no", timeline.clock(F.col("start_ms"), ",").alias("begins"), timeline.clock(F.col("end_ms"), ",").alias("ends"))
+
 
+#: lyrics() of the reader, in SQL, as lines.
+LINES = rf"""(SELECT file_id, line_no, start_ms, CASE WHEN line_no % 5 = 4 THEN 'note ' || text ELSE '[' || lpad(CAST(start_ms // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || '.'
+ || CASE WHEN line_no % 2 = 0 THEN lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') ELSE lpad(CAST(start_ms % 1000 // 10 AS VARCHAR), 2, '0') END || ']' || CASE WHEN line_no % 2 = 0 THEN ' Speaker A: ' ELSE ' ' END || text END AS line,
+ CASE WHEN line_no % 2 = 0 THEN start_ms ELSE start_ms // 10 * 10 END AS ms, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM {CUES} c)"""
+TIMED = f"(SELECT *, coalesce(lead(ms) OVER w, ms + 5000) AS end_ms, row_number() OVER w AS number FROM {LINES} l WHERE line_no % 5 <> 4 WINDOW w AS (PARTITION BY file_id ORDER BY line_no))"
 
-@query(f"SELECT file_id, line_no, start_cs FROM {CUES} c WHERE start_cs < 600000")
+
+@query(f"SELECT file_id, number, ms AS start_ms, text FROM {TIMED} t")
 def cue_parse(spark, d):
-    lines = cues(spark, d).select("file_id", "line_no", F.concat(timeline.lrc(F.col("start_cs")), F.lit(" "), F.col("text")).alias("line"))
-    return timeline.parse_lines(lines).select("file_id", "line_no", "start_cs")
+    lines = lyrics(spark, d).select("file_id", F.posexplode(F.split("lrc", "\n")).alias("line_no", "line"))
+    return timeline.with_ends(timeline.parse_lines(lines)).select("file_id", F.col("number").cast("long").alias("number"), "start_ms", "text")
+
+
+def sql_blocks(mark: str, number: str) -> str:
+    return f"string_agg({number}{sql_clock('ms', mark)} || ' --> ' || {sql_clock('end_ms', mark)} || chr(10) || text || chr(10), chr(10) ORDER BY line_no)"
+
+
+@query(f"""SELECT l.file_id, string_agg(line, chr(10) ORDER BY line_no) AS lrc, coalesce(srt, '') AS srt, coalesce(vtt, '') AS vtt, coalesce(txt, '') AS txt FROM {LINES} l LEFT JOIN
+ (SELECT file_id, {sql_blocks(',', 'number || chr(10) || ')} AS srt, 'WEBVTT' || chr(10) || chr(10) || {sql_blocks('.', '')} AS vtt, string_agg(text, chr(10) ORDER BY line_no) AS txt FROM {TIMED} t GROUP BY file_id) m
+ ON l.file_id = m.file_id GROUP BY l.file_id, srt, vtt, txt""")
+def convert_formats(spark, d):
+    return lyrics(spark, d).select("file_id", timeline.converted(F.col("lrc")).alias("r")).select("file_id", "r.*")
+
+
+@query(f"""SELECT file_id, string_agg(CASE WHEN line_no % 5 = 4 THEN line ELSE '[' || lpad(CAST((ms + 65500) // 60000 AS VARCHAR), 2, '0') || ':' || printf('%05.2f', ((ms + 65500) / 1000 + 0e0) - 60 * ((ms + 65500) // 60000)) || ']'
+ || substr(line, strpos(line, ']') + 1) END, chr(10) ORDER BY line_no) AS lrc FROM (SELECT file_id, line_no, line, ms - ms % 10 AS ms FROM {LINES} x) l GROUP BY file_id""")
+def shift_times(spark, d):
+    even = F.regexp_replace("lrc", r"(?m)^(\[\d\d:\d\d\.\d\d)\d\]", "$1]")  # two digits, so that no rounding of a half is asked for
+    return lyrics(spark, d).select("file_id", timeline.shifted(even, 65.5).alias("lrc"))
 
 
 def _document(style: str):
     def run(spark, d):
         return timeline.document(timeline.with_ends(cues(spark, d)), style)
 
-    mark, head, number = ("," if style == "srt" else "."), ("'WEBVTT' || chr(10) || chr(10) || " if style == "vtt" else ""), ("line_no || chr(10) || " if style == "srt" else "")
-    body = "text" if style == "txt" else f"{number}{sql_clock('start_cs', mark)} || ' --> ' || {sql_clock('end_cs', mark)} || chr(10) || text || chr(10)"
+    mark, head, number = ("," if style == "srt" else "."), ("'WEBVTT' || chr(10) || chr(10) || " if style == "vtt" else ""), ("number || chr(10) || " if style == "srt" else "")
+    body = "text" if style == "txt" else f"{number}{sql_clock('start_ms', mark)} || ' --> ' || {sql_clock('end_ms', mark)} || chr(10) || text || chr(10)"
     QUERIES[f"{style}_document"] = run
     ORACLES[f"{style}_document"] = f"SELECT file_id, {head}string_agg({body}, chr(10) ORDER BY line_no) AS content FROM {ENDS} e GROUP BY file_id"
 
@@ -153,7 +206,10 @@ def speech_runs(spark, d):
     return timeline.runs(_flags(spark, d), "user_id", ["ts", "event_id"]).drop("run")
 
 
-@query()
+@query(f"""WITH c AS (SELECT *, CASE WHEN flag = lag(flag) OVER w THEN 0 ELSE 1 END AS turn FROM {FLAGS} f WINDOW w AS (PARTITION BY user_id ORDER BY place)),
+ n AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY place) AS run FROM c), r AS (SELECT user_id, run, flag, min(place) AS first, max(place) AS last, count(*) AS length FROM n GROUP BY 1, 2, 3),
+ s AS (SELECT *, flag OR (length < 2 AND run < max(run) OVER (PARTITION BY user_id)) AS "on" FROM r), t AS (SELECT *, CASE WHEN "on" = lag("on") OVER (PARTITION BY user_id ORDER BY run) THEN 0 ELSE 1 END AS turn FROM s),
+ g AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY run) AS g FROM t) SELECT user_id, "on", min(first) AS first, max(last) AS last FROM g GROUP BY user_id, "on", g""")
 def silence_fill(spark, d):
     return timeline.filled(_flags(spark, d), "user_id", ["ts", "event_id"], gap=2)
 

@@ -1,9 +1,15 @@
-"""Structured Streaming twins of the event operators."""
+"""Structured Streaming twins of the event operators: counts, state by file, routing and expiry."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+STATE = "file_uid string, status string, text string, at timestamp"
 
 
 def status_events(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -15,3 +21,45 @@ def counts_by_hour(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events per hour and type; state of an hour goes once the watermark has passed it. Also runs on a batch frame."""
     timed = events.withWatermark("at", late) if events.isStreaming else events
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+def file_states(events: DataFrame, late: str = "1 hour", expire_after: str = "24 hours") -> DataFrame:
+    """Stream of each file's state as its events (file_uid, status, text, at, seq) change it.
+
+    COMPLETED and FAILED hold: what comes later for the file changes nothing. Events of a batch of files are taken in order of seq. A completed file is given out
+    once more as RETRIEVED when the watermark is expire_after past its end, and its state goes; so a file that comes back later starts anew."""
+    wait = int(pd.Timedelta(expire_after).total_seconds() * 1000)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            if row is not None and row[0] == "COMPLETED":
+                yield pd.DataFrame([(key[0], "RETRIEVED", row[1], pd.Timestamp(row[2] + wait, unit="ms"))], columns=["file_uid", "status", "text", "at"])
+            return
+        before = row
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            if row is None or row[0] not in ("COMPLETED", "FAILED"):
+                row = (r.status, r.text, int(pd.Timestamp(r.at).timestamp() * 1000))
+        state.update(row)
+        state.setTimeoutTimestamp(max(row[2] + wait, state.getCurrentWatermarkMs() + 1))
+        if row != before:
+            yield pd.DataFrame([(key[0], row[0], row[1], pd.Timestamp(row[2], unit="ms"))], columns=["file_uid", "status", "text", "at"])
+
+    timed = events.where("file_uid is not null").withWatermark("at", late)
+    return timed.groupBy("file_uid").applyInPandasWithState(fold, STATE, "status string, text string, at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def upserted_states(states: DataFrame, folder: str, checkpoint: str):
+    """Query, started, that appends each change of file_states() under folder with the number of its trigger; current() reads the newest change of each file."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("trigger", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/trigger={number:012d}.d")
+
+    return states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest state of each file that upserted_states() has written."""
+    rows = spark.read.option("recursiveFileLookup", "true").schema(f"{STATE}, trigger int").parquet(folder)
+    return rows.groupBy("file_uid").agg(F.max_by(F.struct("status", "text", "at"), "trigger").alias("r")).select("file_uid", "r.*")
