@@ -1,4 +1,6 @@
-"""Corpus pipeline: toxicity, language, near-duplicates, mixing, encoding. Each stage is written as Parquet and read again."""
+"""Corpus pipeline: toxicity, language, near-duplicates, mixing, encoding. Each stage is written as Parquet and read again.
+
+Every stage but the last returns the columns that it was given, extra ones too, whatever their names; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -9,54 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuebook.llm import language, mixing, ngram_join, pieces, queries, toxicity
-from cuebook.llm.common import cut
+from cuebook.llm.common import BROADCAST_ROWS, cut, shared_folder
+
+#: Name of the key of rows; no column of a document has it.
+ROW = "row of the pipeline"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.3 or more go."""
-    return toxicity.score(docs, queries.toxicity_model(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    """Documents scored 0.3 or more go. Null and empty texts are scored as texts without known terms; repeated rows share their fate."""
+    return docs.where(toxicity.probability(spark, F.col("text"), queries.toxicity_model(spark, sf_dir)) < 0.3)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go. Any mixture of languages stays; where no language was learned, letters alone decide."""
+    """Documents without letters, null and empty texts among them, go. Any mixture of languages stays; where no language was learned, letters alone decide."""
     names, like = queries.language_model(spark, sf_dir)
     if not names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.identify(docs, names, like).where("lang_pred <> 'und'").select(*docs.columns)
+    return docs.where(language.predicted(spark, F.col("text"), names, like)["lang_pred"] != "und")
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """docs with row, a key of its own for each row that is the same in every scan: file number and place in the file; rows of other sources are written first."""
+    """docs with ROW, a key of its own for each row that is the same in every scan: file number and place in the file; rows of other sources are written first."""
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{ROW} file"), F.col("_metadata.row_index").alias(f"{ROW} at"))
     except AnalysisException:
-        return cut(docs.withColumn("row", F.monotonically_increasing_id()))
-    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
-    named = docs.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
-    return placed.join(F.broadcast(named), "_file").select(*docs.columns, (F.shiftleft("_n", 40) + F.col("_at")).alias("row"))
+        return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    files = sorted(r[0] for r in placed.select(f"{ROW} file").distinct().collect())
+    named = docs.sparkSession.createDataFrame(list(enumerate(files)), f"`{ROW} number` long, `{ROW} file` string")
+    named = F.broadcast(named) if len(files) <= BROADCAST_ROWS else named
+    return placed.join(named, f"{ROW} file").withColumn(ROW, F.shiftleft(F.col(f"{ROW} number"), 40) + F.col(f"{ROW} at")).drop(f"{ROW} file", f"{ROW} number", f"{ROW} at")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, the one with the smallest id (null last); so does every row without shingles. Groups are of rows, not of ids."""
+    """One row of each near-duplicate group stays, the one with the smallest id (null last; of rows that share it the first); so does every row without shingles.
+    Groups are of rows, not of ids: a repeated row is a copy, and two texts under one id are two documents."""
     keyed = with_row(docs)
-    comp = ngram_join.jaccard_components(keyed, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    found = keyed.select("row", "doc_id").join(comp, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
-    return keyed.join(found, "row", "left_semi").select(*docs.columns)
+    comp = ngram_join.jaccard_components(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(f"{ROW} group"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    found = keyed.select(ROW, "doc_id").join(comp, ROW).groupBy(f"{ROW} group").agg(first).select(F.col("first")[ROW].alias(ROW))
+    return keyed.join(found, ROW, "left_semi").drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as often as the mix takes it, at least once if it takes any of its words; documents without words go. Null ids and sources are met null-safe,
-    and rows of one id that differ in source or size go their own ways."""
-    took = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    took = took.toDF("_id", "_source", "_size", "times")
-    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    met = docs.join(took, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))).withColumn("copy", F.explode(F.expr("sequence(1, times)")))
-    return met.select(*docs.columns)
+    """A row stays as often as the mix takes its whole text, a part counted as one more time; a row of which the mix takes no word goes, as do those without words.
+    Rows are met by a key of their own, so that null ids, null sources and repeated rows each get what their place in the mix gives."""
+    keyed = with_row(docs)
+    took = mixing.mix(keyed, id_col=ROW).where("taken > 0").select(F.col("doc_id").alias(ROW), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(f"{ROW} times"))
+    return keyed.join(took, ROW).withColumn(f"{ROW} copy", F.explode(F.sequence(F.lit(1), F.col(f"{ROW} times")))).drop(ROW, f"{ROW} times", f"{ROW} copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document in place of its text, with n_tokens, n_byte_tokens and intact; columns of these names give way. Null and empty texts have no ids."""
     return pieces.encoded(docs, pieces.Model.load()).drop("text")
 
 
@@ -66,12 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    top = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
