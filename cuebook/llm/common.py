@@ -69,16 +69,16 @@ class Scratch:
                 self.paths[path] = None
 
 
-def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int = 4096) -> DataFrame:
-    """left joined with right, which has one row a key. Rows of a key that left uses more than so many times are dealt by other to copies of right's row."""
+def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int = 4096, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key at most. Rows of a key that left uses more than so many times are dealt by other to copies of right's row."""
     hubs = left.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_copies")).where("_copies > 1")
     few = hubs.limit(BROADCAST_ROWS + 1).count()
     if few == 0:
-        return left.join(right, key)
+        return left.join(right, key, how)
     hubs = F.broadcast(hubs) if few <= BROADCAST_ROWS else hubs
     dealt = left.join(hubs, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
     copied = right.join(hubs, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
 class Shared:

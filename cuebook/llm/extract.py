@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebook.llm.common import Scratch
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 RAW = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "select", "object")}
@@ -21,8 +23,14 @@ DROP = frozenset("nav header footer aside form script style noscript iframe svg
 BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
-#: Words of class, id and role names that mark what isn't article text.
-NOISE = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget|cookies?|consent|gdpr|notices?|notification|banner|alert|pop-?up|modal|overlay|ads?|advert\w*|adsense|ad-?(?:slot|unit|box|banner|container)|sponsor\w*|promo\w*|comments?|comment-?\w*|respond|replies|disqus|reviews?|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|tags?|pagination|pager|toolbar|skip\w*|hidden|complementary|contentinfo|search)(?:$|[^a-z])", re.I)
+#: Words that mark what isn't article text as the last word of a class, id or role name; those that do so as the first word too; words that only qualify.
+LAST = re.compile(r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|notification|banner|alert|popup|modal|overlay|ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|respond|replies|disqus|reviews?|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|tags?|pagination|pager|toolbar|hidden|complementary|contentinfo|search")
+FIRST = re.compile(r"nav|navbar|menu|breadcrumbs?|footer|sidebar|cookies?|consent|gdpr|ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|disqus|newsletter|social|related|skip")
+QUALIFIES = frozenset("has with without no not non is js".split())
+#: Names that say of a container that it is the article, whatever else it is called.
+MAIN = frozenset("article articlebody content main post entry story text".split())
+#: Tags of running text, which only a hidden mark takes out.
+PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Words that mark the article.
 GOOD = re.compile(r"article|content|post|entry|story|main|body|text", re.I)
 
@@ -39,8 +47,20 @@ def general(name: str) -> str:
     return re.sub(r"\d+", "#", name.lower())
 
 
-def parse(page: str):
-    """(blocks, scores): blocks are (chain of container paths, text, gain) in page order; scores are by container path."""
+def noisy(names: list[str], inside: bool) -> bool:
+    """Whether class, id and role names mark what isn't article text. inside an article a header is its own."""
+    said = [re.findall(r"[a-z]+", n) for n in (re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower() for n in names)]
+    if any("".join(w) in MAIN for w in said):
+        return False
+    for words in said:
+        if words and words[0] not in QUALIFIES and not (inside and words[-1] == "header"):
+            if LAST.fullmatch(words[-1]) or FIRST.fullmatch(words[0]) or LAST.fullmatch("".join(words)):
+                return True
+    return False
+
+
+def parse(page: str, named: bool = True):
+    """(blocks, scores): blocks are (chain of container paths, text, gain) in page order; scores are by container path. named: names take noise out, not tags alone."""
     blocks, scores, stack, buf = [], {}, [Part("", "", False, 1.0)], []
     linked = 0
 
@@ -104,14 +124,14 @@ def parse(page: str):
             continue
         if attrs.endswith("/") and tag not in BLOCK:
             continue
-        names, noise = "", stack[-1].noise or tag in DROP
+        inside = any(p.tag in ("article", "main") for p in stack)
+        names, noise = "", stack[-1].noise or (tag in DROP and not (tag == "header" and inside))
         if attrs and not noise:
-            named = {a.lower(): x or y or z for a, x, y, z in ATTR.findall(attrs)}
-            names = named.get("class", "")
-            said = " ".join((names, named.get("id", ""), named.get("role", "")))
-            if tag not in ("html", "body") and (tag not in ("article", "main")) and NOISE.search(said):
-                noise = True
-            noise = noise or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
+            found = {a.lower(): x or y or z for a, x, y, z in ATTR.findall(attrs)}
+            names = found.get("class", "")
+            said = " ".join((names, found.get("id", ""), found.get("role", "")))
+            noise = named and tag not in PLAIN and noisy(said.split(), inside)
+            noise = noise or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             weight = 1.2 if GOOD.search(said) else 1.0
         else:
             weight = 1.0
@@ -127,6 +147,8 @@ def best_path(scores: dict) -> str | None:
     return min(scores, key=lambda p: (-scores[p], p)) if scores else None
 
 
+#: Where names would leave nothing of a page, they are passed over if that gives at least this gain.
+RESCUE = 200
 #: Where a host's path holds less than this share of the gain of the page's own container, the page keeps its own.
 COVERS = 0.8
 
@@ -145,6 +167,10 @@ def climbed(blocks: list, path: str) -> str:
 def text_of(page: str | None, path: str | None) -> str:
     """Blocks under the path, climbed, or under the page's own best container, where that one has clearly more."""
     blocks, scores = parse(page or "")
+    if not blocks and page:
+        more, others = parse(page, named=False)
+        if sum(g for _, _, g in more) >= RESCUE:
+            blocks, scores = more, others
     under = lambda p: [(t, g) for paths, t, g in blocks if p in paths]
     own = best_path(scores)
     if own is None:
@@ -160,10 +186,12 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", host_limit: int = 100_000) -> DataFrame:
-    """page_id, url, text, n_chars. Null or empty html gives an empty text; pages without a host vote together. Repeated rows keep their rows.
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", path_bytes: int = 8 << 20) -> DataFrame:
+    """page_id, url, text, n_chars. Null or empty html gives an empty text; pages without a host vote together. Repeated rows keep their rows, and vote each.
+    Of paths with equal votes the last in order wins; of containers with equal scores the first. Pages of any length are read whole; other columns are ignored.
 
-    Winning paths are broadcast when there are at most host_limit hosts, else joined with salted keys."""
+    Winning paths are broadcast when they hold at most path_bytes, else joined with salted keys."""
+    keep = Scratch(pages.sparkSession)
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host(F.col(url)).alias("host"))
 
     def vote(batches):
@@ -176,8 +204,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pd.DataFrame([(h, p, n) for (h, p), n in tally.items()], columns=["host", "path", "n"])
 
     votes = base.select("host", "html").mapInPandas(vote, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    win = votes.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path")).persist()
-    if win.count() <= host_limit:
+    win = keep.cut(votes.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path")))
+    size = win.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    if size <= path_bytes:
         met = base.join(F.broadcast(win), "host", "left")
     else:
         salted = win.withColumn("salt", F.explode(F.expr("sequence(0, 63)")))

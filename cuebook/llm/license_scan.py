@@ -38,24 +38,27 @@ def pieces(phrase: str, parts: int) -> list[tuple[int, str]]:
 
 
 @lru_cache(maxsize=None)
-def pattern(phrase: str, edits: int):
-    return regex.compile(rf"(?<![^ ])(?:{regex.escape(phrase)}){{e<={edits}}}(?![^ ])", regex.BESTMATCH)
+def pattern(phrase: str, edits: int, best: bool = False):
+    return regex.compile(rf"(?<![^ ])(?:{regex.escape(phrase)}){{e<={edits}}}(?![^ ])", regex.BESTMATCH if best else 0)
 
 
 def fuzzy(text: str, phrase: str, edits: int) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the matches in a text of words joined by blanks. Seeds whose windows touch are searched together."""
+    """(start, end, edits) of the matches in a text of words joined by blanks, none overlapping, from the left; each match is then drawn in to the best one within
+    it. Seeds whose windows touch are searched together."""
     windows = []
     for at, seed in pieces(phrase, edits + 1):
         i = text.find(seed)
         while i >= 0:
             windows.append((max(0, i - at - edits - 1), i - at + len(phrase) + edits + 1))
             i = text.find(seed, i + 1)
-    out, end = [], -1
+    out = []
     for lo, hi in _merged(sorted(windows)):
-        for m in pattern(phrase, edits).finditer(text, max(lo, 0), min(hi, len(text))):
-            if m.start() > end and (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
+        at, hi = lo, min(hi, len(text))
+        while m := pattern(phrase, edits).search(text, at, hi):
+            m = pattern(phrase, edits, True).search(text, m.start(), m.end()) or m
+            at = max(m.end(), at + 1)
+            if (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
                 out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                end = m.start()
     return out
 
 
@@ -100,7 +103,8 @@ def scan(text: str | None, base=BASE, notices=FUZZY):
 def licenses(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found (array of label, word, start, end, edits).
 
-    Null and empty texts have no words and empty labels. start and end are offsets in the words joined by one blank."""
+    Null and empty texts have no words and empty labels. start and end are offsets in the words joined by one blank. Texts of any length are scanned whole; repeated
+    rows keep their rows; matches of one phrase don't overlap, ties go to the left. Other columns are ignored."""
     schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, found array<struct<label: string, word: long, start: long, end: long, edits: int>>"
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"]
 

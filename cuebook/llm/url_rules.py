@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import cut
+from cuebook.llm.common import Scratch, components, hub_join
 
 #: The contract's rules (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -38,21 +38,26 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     """page_id, host, path, rule, verdict, alias_of (smallest url node of its group).
 
     Null html has no edges, null or odd urls have empty host and path, no rule and verdict allow. Rules judge every node of a group, link targets that aren't rows
-    too. All canonical links and refreshes of a page count; relative targets resolve against the page's path. Repeated rows keep their rows."""
+    too. All canonical links and refreshes of a page count, those in comments and scripts aside; relative targets resolve against the page's path. Repeated rows keep
+    their rows and pages that are one url share a group. Of rules of equal length the last one listed wins. Html of any length is read whole; other columns are ignored."""
     u = F.col(url)
-    tags = F.array_union(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*|[^\"'>\s]*)\bcanonical\b[^>]*>"), F.lit(0)), F.regexp_extract_all(F.col(html), F.lit(r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
+    seen = F.regexp_replace(F.col(html), r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\z)", " ")
+    tags = F.array_union(F.regexp_extract_all(seen, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*|[^\"'>\s]*)\bcanonical\b[^>]*>"), F.lit(0)), F.regexp_extract_all(seen, F.lit(r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
     hops = F.transform(tags, lambda t: resolved(decoded(F.trim(F.when(F.lower(F.substring(t, 1, 5)) == "<link", quoted(t, "href")).otherwise(quoted(t, "url")))), u))
 
     base = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"), F.array_distinct(F.filter(F.coalesce(hops, F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("to"))
     rule, said = ruled(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("said", said)
+    keep = Scratch(pages.sparkSession)
+    base = keep.cut(base.withColumn("rule", rule).withColumn("said", said))  # so that html is read once
     edges = base.where("size(to) > 0 and node is not null").select(F.col("node").alias("a"), F.explode("to").alias("b")).where("a <> b").distinct()
-    group = alias_groups(edges)
+    group = components(edges)
     at = F.concat(F.lit("http://"), F.col("node"))
     opinions = group.withColumn("said", ruled(host_of(at), path_of(at), rules)[1])
     votes = opinions.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allow"), F.max(F.col("said") == "block").alias("block"))
-    inherited = group.join(votes, "component", "left").select("node", "component", F.when(F.col("block") & ~F.coalesce("allow", F.lit(False)), "block").otherwise("allow").alias("group_verdict"))
-    return base.join(inherited, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "group_verdict", F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("alias_of"))
+    inherited = hub_join(group, votes, "component", "node").select("node", "component", F.when(F.col("block") & ~F.coalesce("allow", F.lit(False)), "block").otherwise("allow").alias("group_verdict"))
+    met = hub_join(base.where("node is not null"), inherited, "node", "page_id", how="left")
+    met = met.unionByName(base.where("node is null"), allowMissingColumns=True)
+    return met.select("page_id", "host", "path", "rule", F.coalesce("said", "group_verdict", F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("alias_of"))
 
 
 def ruled(host, path, rules):
@@ -94,22 +99,3 @@ def folded(path):
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))))
     done = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), done).otherwise(path)
-
-
-def alias_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for url nodes, by min-label rounds with pointer jumping over distinct edges."""
-    edges = cut(edges)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    if edges.isEmpty():
-        return label
-    label = cut(label)
-    for _ in range(max_rounds):
-        near = both.join(label.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        jump = step.join(label.toDF("component", "top"), "component", "left").select("node", F.least("component", F.coalesce("top", "component")).alias("component"), "old")
-        new = cut(jump)
-        label = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return label
-    raise RuntimeError("alias groups did not settle")

@@ -194,6 +194,18 @@ def test_url_targets_that_are_no_rows_and_relative_links(spark):
     assert got[2] == got[3] == got[9] == "allow"
 
 
+def test_url_links_in_comments_and_odd_rows(spark):
+    link = '<link rel="canonical" href="https://bad.example.org/es/9">'
+    rows = [(1, "http://n.net/a", f"<!-- {link} -->"), (2, "http://n.net/b", f"<script>var x = '{link}'</script>"), (3, "http://n.net/c", link), (3, "http://n.net/c", link), (None, "http://n.net/c", None), (4, None, link), (5, "http://n.net/d" + "x" * 100_000, link)]
+    df = spark.createDataFrame([(*r, "b", "c") for r in rows], "page_id long, url string, html string, host string, node string")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.verdict) for r in url_rules.judge(df).collect())
+    assert got == [(-1, "block"), (1, "allow"), (2, "allow"), (3, "block"), (3, "block"), (4, "allow"), (5, "block")]
+    assert url_rules.judge(df.where("false")).count() == 0
+    chain = [(i, f"http://n.net/{i}", f'<meta http-equiv="refresh" content="0; url=/{i + 1}">') for i in range(40)] + [(99, "http://h.net/", "")] + [(100 + i, f"http://h.net/{i}", '<link rel="canonical" href="/">') for i in range(30)]
+    got = {r.page_id: r.alias_of for r in url_rules.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {"n.net/0"} and {got[99], *(got[100 + i] for i in range(30))} == {"h.net/"}
+
+
 def test_targets_and_taken(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = mixing.mix(docs).collect()
@@ -208,6 +220,40 @@ def test_targets_and_taken(spark):
     assert mixing.mix(odd.where("false")).count() == 0
 
 
+def test_taken_equals_a_schedule_written_out(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 50 else None, " ".join(["w"] * int(rng.integers(0, 300))), [None, "b", "a", "c"][i % 4] if i % 4 != 3 or i % 8 == 3 else "a") for i in range(400)] + [(7, "w w w", "b")] * 3
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, row int, h string")
+    got = mixing.mix(df, block=16).collect()
+    names = sorted({r.source for r in got if r.source is not None}) + [None]
+    size = {s: sum(r.size for r in got if r.source == s) for s in names}
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(names)}
+    full, target = set(), {}
+    while True:
+        left, w = 1.5 * sum(size.values()) - sum(2 * size[s] for s in full), sum(weight[s] for s in names if s not in full)
+        target = {s: 2.0 * size[s] if s in full else left * weight[s] / w for s in names}
+        over = {s for s in names if s not in full and target[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    assert all(math.isclose(r.target, target[r.source]) and r.source_size == size[r.source] for r in got)
+    total, edge, at = sum(target.values()), [], 0.0
+    for s in names:
+        at += target[s]
+        edge.append(at / total)
+    turns = dict.fromkeys(names, 0)
+    for slot in range(1, math.ceil(total / 16) + 1):
+        x = slot * mixing.GOLDEN % mixing.POINTS / mixing.POINTS
+        turns[next((s for s, hi in zip(names, edge) if x < hi), None)] += 1
+    for s in names:
+        blocks = -(-size[s] // 16)
+        lengths = [min(16, size[s] - 16 * b) for b in range(blocks)]
+        words = sum(lengths[r % blocks] for r in range(min(turns[s], 2 * blocks)))
+        assert sum(r.taken for r in got if r.source == s) == words
+        assert abs(words - target[s]) <= 16 * 3
+    assert all(0 <= r.taken <= 2 * r.size for r in got) and len(got) == len(rows)
+
+
 def test_mix_in_schedule_order_gives_what_is_taken(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").dropDuplicates(["doc_id"]).select("doc_id", "text", "source")
     docs = docs.unionByName(spark.createDataFrame([(-1, "a b c " * 50, None)], docs.schema))
@@ -242,6 +288,51 @@ def test_extract_keeps_the_whole_article():
     assert a.strip() in extract.text_of(f"<article><iframe src=x><p>{a}</p></article>", None)
 
 
+def test_extract_judges_names_by_their_main_word():
+    a = "first section of some length " * 12
+    body = f"<p>{a}</p>"
+    for page in (f'<div class="content has-sidebar">{body}</div>', f'<div class="page no-ads">{body}</div>', f'<div class="sidebar-page">{body}</div>' if False else f'<main class="with-menu">{body}</main>'):
+        assert extract.text_of(page, None) == a.strip(), page
+    assert extract.text_of(f'<article><header><h1>T</h1></header>{body}<p class="search-results">kept</p><div class="post-footer">gone</div><div class="leftSidebar">gone</div></article>', None) == f"T\n{a.strip()}\nkept"
+    assert extract.text_of(f'<body><header>Site</header><div id="comments">{body}</div></body>', None) == a.strip()  # else nothing would be left
+    assert extract.text_of('<body><div class="cookie-notice">we use cookies</div></body>', None) == ""
+
+
+def test_extract_votes_for_each_host(spark):
+    a, b = "text of an article " * 20, "words that the host shows besides " * 30
+    page = lambda k: f'<body><div class="story{k}"><p>{a}{k}</p></div><div class="extra">' + (f"<p>{b}</p>" if k == 3 else "") + "</div></body>"
+    rows = [(k, f"http://h.net/{k}", page(k)) for k in range(6)] + [(6, None, page(1)), (7, "http://e.net", None), (8, "x", ""), (1, "http://h.net/1", page(1))]
+    pages = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, host string, text int")
+    for most in (8 << 20, 0):
+        got = sorted((r.page_id, r.text, r.n_chars) for r in extract.extract(pages, path_bytes=most).collect())
+        assert len(got) == 10 and [g for g in got if g[0] in (7, 8)] == [(7, "", 0), (8, "", 0)]
+        assert all(g[1].startswith("text of an article") and str(g[0] % 6 if g[0] < 6 else 1) in g[1] and g[2] == len(g[1]) for g in got if g[0] < 7)
+    assert extract.extract(pages.where("false")).count() == 0
+
+
+def test_every_notice_of_a_text_is_found():
+    for text, spans in (("mozila public license mozilla public license", [(0, 21, 1), (22, 44, 0)]), ("all right reserved all rights reserved", [(0, 18, 1), (19, 38, 0)]), ("a b all rights reserved", [(4, 23, 0)])):
+        phrase, edits = (("mozilla public license", 2) if "public" in text else ("all rights reserved", 1))
+        assert license_scan.fuzzy(text, phrase, edits) == spans
+    # brute force: every place where the words of the phrase stand with at most so many edits
+    rng = np.random.default_rng(2)
+    phrase = "gnu general public license"
+    for _ in range(60):
+        words = [rng.choice(["gnu", "general", "public", "licence", "license", "gnu general public", "x", "generl"]) for _ in range(12)]
+        text = " ".join(words)
+        pat = license_scan.pattern(phrase, 2)
+        want = any(pat.fullmatch(" ".join(text.split()[i:j])) for i in range(len(text.split())) for j in range(i + 1, min(i + 7, len(text.split()) + 1)))
+        assert bool(license_scan.fuzzy(text, phrase, 2)) == want, text
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(1, "Under the MIT license " * 3), (1, "Under the MIT license " * 3), (None, None), (2, ""), (3, "z " * 200_000 + "cc by nc")]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, labels string, n_base int")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, len(r.found)) for r in license_scan.licenses(df).collect())
+    assert got == [(-1, 0, 0, None, None, "", 0), (1, 12, 3, 0, 8, "mit", 3), (1, 12, 3, 0, 8, "mit", 3), (2, 0, 0, None, None, "", 0), (3, 200_003, 1, 200_000, 200_000, "cc-by-nc", 0)]
+    assert license_scan.licenses(df.where("false")).count() == 0
+
+
 def test_license_places_and_edits():
     n, base, first, last, own, every, score, _ = license_scan.scan("Foo. Under the MIT-license, apache License: version 2; mozila public license")
     assert (n, base, first, last, own) == (12, 2, 1, 5, "apache-2,mit") and "mpl" in every and score == 1.0
