@@ -20,6 +20,8 @@ BLOCK = 64
 #: The golden ratio's fraction of 2^31, odd, so that any 2^31 slots in turn meet every point once; whole numbers stay exact at any slot.
 GOLDEN, POINTS = 1327217885, 1 << 31
 CELLS = 4096
+#: A source's line is ordered by hash; its parts, each summed in a task of its own, are the hashes that share so many hexadecimal digits.
+PART_DIGITS = 3
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,21 +66,21 @@ def ranked(slots: DataFrame) -> DataFrame:
     return s.withColumn("here", here).join(b, F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))).select("slot", "source", (F.col("here") + F.col("before")).alias("rank"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
     """docs' rows as doc_id, size, source_size, target, taken, source.
 
     size counts runs of anything but ASCII white space (null: 0). taken, the words of the row in the mix, repeats counted, is at most 2 * size. Null sources are one
     source. Empty documents take 0; an empty table gives no rows. Repeated rows and null ids keep their rows, each with its own place on the line; rows alike in
     id, source and size may change places. Other columns are ignored."""
-    d, plan = laid(docs, id_col, text, source, block, parts, weights)
+    d, plan = laid(docs, id_col, text, source, block, weights)
     taken = pieces(d, plan, block).groupBy("row").agg(F.sum("words").alias("taken"))
     return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, parts: int = 4096, weights=WEIGHTS) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
     """The mix itself, one row for each piece of a document in a slot: slot, source, block, place, doc_id, at, words. Ordered by slot and place it is the mix in schedule
     order; place is the piece's first word in the block, at in the document. Rows of docs are treated as in mix()."""
-    d, plan = laid(docs, id_col, text, source, block, parts, weights)
+    d, plan = laid(docs, id_col, text, source, block, weights)
     return pieces(d, plan, block).drop("row")
 
 
@@ -94,11 +96,12 @@ def pieces(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
     return met.select("row", "slot", "source", "block", "place", "doc_id", "at", "words")
 
 
-def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, parts: int, weights):
+def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, weights):
     """(documents on the lines of their sources, with first word a and the source's size and target; schedule)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
-    d = cut(d.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", F.lit(20))).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")))
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
+    d = cut(d.withColumn("row", F.monotonically_increasing_id()).withColumn("h", h).withColumn("part", F.substring("h", 1, PART_DIGITS)))
     sums = cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
     quota = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
     q = quota.withColumnRenamed("source", "qs")
