@@ -81,6 +81,15 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int
     return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second bytes, and so on, which the shuffle's compression shortens."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def numbers(b: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Shared:
     """A value broadcast as bytes that carry its classes along, so that executors need no copy of this package; unpacked once a task."""
 
@@ -150,15 +159,25 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(b: np.ndarray, terms: bool = False) -> np.ndarray:
-    """64-bit hash of each word of the bytes, in order; terms takes [0-9A-Za-z and non-ASCII] runs instead."""
-    starts, ends = spans(_TERM[b] if terms else ~_SPACE[b])
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of the bytes; spans of equal bytes have equal hashes wherever they stand."""
     if not len(starts):
         return np.empty(0, np.uint64)
     up, down = _Powers.upto(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_TABLE[b] * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) + np.uint64(salt))
+
+
+def word_hashes(b: np.ndarray, terms: bool = False, prefix: int = 0) -> np.ndarray:
+    """64-bit hash of each word of the bytes, in order; terms takes [0-9A-Za-z and non-ASCII] runs instead. With prefix, those of the first so many bytes of the
+    longer words follow."""
+    starts, ends = spans(_TERM[b] if terms else ~_SPACE[b])
+    h = span_hashes(b, starts, ends)
+    if prefix:
+        long = ends - starts > prefix
+        h = np.r_[h, span_hashes(b, starts[long], starts[long] + prefix, 1 << 32)]
+    return h
 
 
 def shingles(b: np.ndarray, n: int = 5) -> np.ndarray:

@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, Scratch, components, hub_join, lowered, shingles
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, components, hub_join, lowered, numbers, planes, shingles
 
 CHUNK = 512
 #: Shingles (and documents) of a task dealt out together, shingles a bucket, and uses within a task's portion from which a hash counts as common.
-PORTION, MOST_DOCS, BUCKET, COMMON = 4_000_000, 60_000, 8_000_000, 32
+PORTION, MOST_DOCS, BUCKET, COMMON = 2_000_000, 60_000, 8_000_000, 32
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -82,15 +82,6 @@ def sets(docs: DataFrame, n_words: int = 5) -> DataFrame:
     return docs.mapInPandas(scan, schema)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second bytes, and so on, which the shuffle's compression shortens."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def numbers(b: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values of a sorted array."""
     at = np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1] if len(x) else np.empty(0, np.int64)

@@ -11,14 +11,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import Shared, hash_sample, lowered, with_fields, word_hashes
+from cuebook.llm.common import Shared, hash_sample, lowered, numbers, planes, with_fields, word_hashes
 
 BITS = 20
+#: Bytes of a word's beginning that are a term of their own, so that forms of one stem share it.
+STEM = 5
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Distinct hash buckets of the words (ASCII letters and digits, lower-cased, and non-ASCII runs)."""
-    return np.unique(word_hashes(lowered(text), terms=True) >> np.uint64(64 - BITS)).astype(np.int64)
+    """Distinct hash buckets of the words (ASCII letters and digits, lower-cased, and non-ASCII runs) and of longer words' beginnings, in order."""
+    return np.unique(word_hashes(lowered(text), terms=True, prefix=STEM) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def packed(t: np.ndarray) -> bytes:
+    """terms() as differences in byte planes."""
+    return planes(np.diff(t, prepend=0).astype(np.int32))
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(numbers(b, np.int32), dtype=np.int64)
 
 
 class Machine:
@@ -42,7 +53,7 @@ class Machine:
         f = self.v[k].astype(float)
         return self.w0 + self.w[k].sum(dtype=float) + 0.5 * float((f.sum(axis=0) ** 2 - (f * f).sum(axis=0)).sum())
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.1, l2: float = 2e-3):
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.1, l2: float = 5e-4):
         """Adagrad on the logistic loss, in a fixed order of batches; a batch reads and moves only the terms of its documents.
 
         Steps start from an accumulator of 1, so that a term of few documents moves little. Terms in no document take their start weight and lose their factors."""
@@ -93,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def hashed(batches):
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "h": b["h"], "t": [terms(t).astype(np.int32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"key": b["key"], "h": b["h"], "t": [packed(terms(t)) for t in b["text"]]})
 
     kind = dict(base.dtypes)["key"]
     docs = base.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen.hint("merge"), ["key", "h"]).select("h", "y", "t").persist()
@@ -103,24 +114,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         count, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for b in batches:
             for t, y in zip(b["t"], b["y"], strict=True):
-                at = np.frombuffer(t, np.int32)  # distinct within a document
+                at = unpacked(t)  # distinct within a document
                 count[at] += 1
                 pos[at] += y
         at = np.flatnonzero(count)
         yield pd.DataFrame({"t": at, "n": count[at], "pos": pos[at]})
 
-    def packed(batches):
+    def gathered(batches):
         for b in batches:
             yield pd.DataFrame({"r": [b[["t", "n", "pos"]].to_numpy(np.int64).tobytes()]})
 
     stats = docs.select("t", "y").mapInPandas(tally, "t long, n long, pos long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= support)
-    got = [np.frombuffer(r.r, np.int64).reshape(-1, 3) for r in stats.mapInPandas(packed, "r binary").collect()]
+    got = [np.frombuffer(r.r, np.int64).reshape(-1, 3) for r in stats.mapInPandas(gathered, "r binary").collect()]
     table = np.concatenate([np.empty((0, 3), np.int64), *got])
     m = Machine(*paces(table[np.argsort(table[:, 0])], n.n, n.pos))
     got = hash_sample(docs, "h", sample).collect()
     docs.unpersist()
     got = sorted(got, key=lambda r: (r.h, r.y))
-    return m.fit([m.place(np.frombuffer(r.t, np.int32)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
+    return m.fit([m.place(unpacked(r.t)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
 
 
 def paces(stats: np.ndarray, rows: int, toxic: int):
