@@ -62,24 +62,23 @@ def document(cues: DataFrame, style: str) -> DataFrame:
     return cues.groupBy("file_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["s"]), "\n")).alias("content"))
 
 
-def converted(text: Column, last_ms: int = 5000) -> Column:
-    """Struct of lrc, srt, vtt and txt of a whole timed text, row by row without a shuffle. A blank or null text gives four empty ones, one without a timed line
-    itself and three empty ones."""
-    lines = F.filter(F.split(trimmed(text), "\n"), lambda x: x.rlike(LINE))
-    cues = F.transform(lines, lambda x: F.struct(line_ms(x).alias("ms"), line_text(x).alias("s")))
+def converted(rows: DataFrame, text: str, last_ms: int = 5000) -> DataFrame:
+    """rows with lrc, srt, vtt and txt of a whole timed text, row by row without a shuffle. A blank or null text gives four empty ones, one without a timed line
+    itself and three empty ones. The cues are a column of their own, so that a text is parsed once."""
+    clean = trimmed(F.coalesce(text, F.lit("")))
+    lines = F.filter(F.split(clean, "\n"), lambda x: x.rlike(LINE))
+    cues = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), line_ms(x).alias("ms"), line_text(x).alias("s")))
 
     def blocks(mark: str, numbered: bool) -> Column:
-        def block(c, i):
-            end = F.coalesce(F.get(cues, i + 1)["ms"], c["ms"] + last_ms)
-            number = F.concat((i + 1).cast("string"), F.lit("\n")) if numbered else F.lit("")
-            return F.concat(number, clock(c["ms"], mark), F.lit(" --> "), clock(end, mark), F.lit("\n"), c["s"], F.lit("\n"))
+        def block(c, after):
+            number = F.concat(c["n"].cast("string"), F.lit("\n")) if numbered else F.lit("")
+            return F.concat(number, clock(c["ms"], mark), F.lit(" --> "), clock(F.coalesce(after["ms"], c["ms"] + last_ms), mark), F.lit("\n"), c["s"], F.lit("\n"))
 
-        return F.array_join(F.transform(cues, block), "\n")
+        return F.array_join(F.zip_with("_cues", F.slice("_cues", F.lit(2), F.size("_cues")), block), "\n")
 
-    none = F.size(lines) <= 0
-    kept = F.when(text.isNull() | (trimmed(text) == ""), "").otherwise(text)
-    made = {"srt": blocks(",", True), "vtt": F.concat(F.lit("WEBVTT\n\n"), blocks(".", False)), "txt": F.array_join(F.transform(cues, lambda c: c["s"]), "\n")}
-    return F.struct(kept.alias("lrc"), *[F.when(text.isNull() | none, "").otherwise(c).alias(n) for n, c in made.items()])
+    d = rows.withColumn("_cues", cues).withColumn("lrc", F.when(clean == "", "").otherwise(F.col(text)))
+    d = d.withColumn("srt", blocks(",", True)).withColumn("vtt", F.when(F.size("_cues") > 0, F.concat(F.lit("WEBVTT\n\n"), blocks(".", False))).otherwise(""))
+    return d.withColumn("txt", F.array_join(F.transform("_cues", lambda c: c["s"]), "\n")).drop("_cues")
 
 
 def shifted(text: Column, offset_s: float) -> Column:

@@ -171,7 +171,7 @@ def sql_blocks(mark: str, number: str) -> str:
  (SELECT file_id, {sql_blocks(',', 'number || chr(10) || ')} AS srt, 'WEBVTT' || chr(10) || chr(10) || {sql_blocks('.', '')} AS vtt, string_agg(text, chr(10) ORDER BY line_no) AS txt FROM {TIMED} t GROUP BY file_id) m
  ON l.file_id = m.file_id GROUP BY l.file_id, srt, vtt, txt""")
 def convert_formats(spark, d):
-    return lyrics(spark, d).select("file_id", timeline.converted(F.col("lrc")).alias("r")).select("file_id", "r.*")
+    return timeline.converted(lyrics(spark, d), "lrc")
 
 
 @query(f"""SELECT file_id, string_agg(CASE WHEN line_no % 5 = 4 THEN line ELSE '[' || lpad(CAST((ms + 65500) // 60000 AS VARCHAR), 2, '0') || ':' || printf('%05.2f', ((ms + 65500) / 1000 + 0e0) - 60 * ((ms + 65500) // 60000)) || ']'

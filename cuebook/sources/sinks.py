@@ -31,7 +31,7 @@ def bundle(log: DataFrame, folder: str, fmt: str) -> None:
     from cuebook.operators.queue import downloadable
     from cuebook.operators.timeline import converted
 
-    done = downloadable(log, F.lit(fmt), "transcript").withColumn("text", converted(F.col("transcript"))[fmt.lower()])
+    done = converted(downloadable(log, F.lit(fmt), "transcript"), "transcript").withColumn("text", F.col(fmt.lower()))
     texts(done.where("text <> ''"), folder, "filename")
 
 

@@ -27,7 +27,8 @@ def test_clock_cuts_and_clamps(spark):
 
 
 def test_conversion_of_odd_texts(spark):
-    got = [tuple(r.r) for r in spark.createDataFrame([(0, None), (1, " \n"), (2, "plain\nlines"), (3, "  [00:01.00]a\nx\n[00:02.50] b \n")], "k int, t string").orderBy("k").select(timeline.converted(F.col("t")).alias("r")).collect()]
+    rows = spark.createDataFrame([(0, None), (1, " \n"), (2, "plain\nlines"), (3, "  [00:01.00]a\nx\n[00:02.50] b \n")], "k int, t string")
+    got = [(r.lrc, r.srt, r.vtt, r.txt) for r in timeline.converted(rows, "t").orderBy("k").collect()]
     assert got[0] == got[1] == ("", "", "", "") and got[2] == ("plain\nlines", "", "", "")
     assert got[3][1] == "1\n00:00:01,000 --> 00:00:02,500\na\n\n2\n00:00:02,500 --> 00:00:07,500\nb\n"
     assert got[3][2].startswith("WEBVTT\n\n00:00:01.000 --> ") and got[3][3] == "a\nb"
