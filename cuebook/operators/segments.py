@@ -38,10 +38,15 @@ def with_offsets(segments: DataFrame, key: str = "file_id", order: str = "seg_no
 def remapped(cues: DataFrame, segments: DataFrame, key: str = "file_id", time: str = "start_cs") -> DataFrame:
     """cues of speech-only audio with their times in the whole file; those past the last segment go.
 
-    A range join inside an equality on the file, so that it is hashed or sorted by file and never a nested loop over all pairs of files."""
-    s = with_offsets(segments).select(F.col(key).alias("_f"), "start", "before", (F.col("end") - F.col("start")).alias("_len"))
-    inside = (F.col(key) == F.col("_f")) & (F.col(time) >= F.col("before")) & (F.col(time) < F.col("before") + F.col("_len"))
-    return cues.join(s, inside).withColumn(time, F.col("start") + F.col(time) - F.col("before")).drop("_f", "start", "before", "_len")
+    Segments and cues of a file lie in one order of time, in which each cue takes the last segment begun: linear in both, with no pairs formed."""
+    length = F.col("end") - F.col("start")
+    s = with_offsets(segments).select(key, F.col("before").alias("_at"), F.struct("start", "before", length.alias("len")).alias("_seg"), length.alias("_len"))
+    names = [F.col(c) for c in cues.columns]
+    c = cues.select(F.col(key), F.col(time).alias("_at"), F.struct(*names).alias("_cue"))
+    w = Window.partitionBy(key).orderBy("_at", F.col("_cue").isNotNull(), "_len").rowsBetween(Window.unboundedPreceding, 0)
+    d = s.unionByName(c, allowMissingColumns=True).withColumn("_seg", F.last("_seg", ignorenulls=True).over(w)).where("_cue is not null and _at >= _seg.before and _at < _seg.before + _seg.len")
+    moved = F.col("_seg.start") + F.col("_at") - F.col("_seg.before")
+    return d.select(*[moved.alias(time) if n == time else F.col("_cue")[n].alias(n) for n in cues.columns])
 
 
 def split_points(segments: DataFrame, totals: DataFrame, key: str = "file_id", order: str = "seg_no", least: int = 100) -> DataFrame:
