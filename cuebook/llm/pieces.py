@@ -84,11 +84,17 @@ class Model:
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
+        """Pieces of a model file. Scores that are all whole numbers are ranks, -r for the r-th merge, not log scores; by Zipf's law the r-th piece has a probability
+        in proportion to 1 / r, whose logarithm is then its score."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], [i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)])
+        scores = np.array([sp.get_score(i) for i in range(n)])
+        if (scores == np.round(scores)).all():
+            share = 1.0 / np.maximum(1.0, 1.0 - scores)
+            scores = np.log(share / share.sum())
+        return cls([(sp.id_to_piece(i), float(s)) for i, s in enumerate(scores)], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], [i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)])
 
     def viterbi(self, unit: str) -> tuple[int, ...]:
         """Ids of the best segmentation; of equal scores the one whose last piece is longer."""

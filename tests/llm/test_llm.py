@@ -163,6 +163,36 @@ def test_pieces_round_trip_and_best_score():
     assert [toy.pieces[i] for i in toy.encode("ab")] == ["▁", "ab"]
 
 
+def test_pieces_are_the_best_of_all_segmentations():
+    pytest.importorskip("sentencepiece")
+    m = pieces.Model.load()
+    score = {p: s for p, s in zip(m.pieces, m.scores)}
+
+    def best(word):
+        top = [0.0] + [-np.inf] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                part = word[i:j]
+                gain = score.get(part, m.unknown * len(part.encode()) if j - i == 1 else -np.inf)
+                top[j] = max(top[j], top[i] + gain)
+        return top[-1]
+
+    cost = lambda ids: sum(m.scores[i] if not m.is_byte[i] else m.unknown for i in ids)
+    for word in ("international", "\u6f22\u5b57x", "na\u00efve", "aaaaaaa", "<s>", "retitioning", "\U0001f600\U0001f600"):
+        assert math.isclose(cost(m.encode(word)), best(pieces.MARK + word), rel_tol=1e-9)
+
+
+def test_encoding_odd_rows(spark):
+    pytest.importorskip("sentencepiece")
+    m = pieces.Model.load()
+    rows = [(1, None), (2, ""), (3, " a  b\n"), (3, " a  b\n"), (None, "x" * 100_000), (4, "word " * 50_000)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, ids int, _p int")
+    out = pieces.decoded(pieces.encoded(df, m), m)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "_p", "ids", "n_tokens", "n_byte_tokens", "intact", "decoded"])
+    assert all(r.intact and r.decoded == (r.text or "") and len(r.ids) == r.n_tokens for r in out.collect()) and out.count() == len(rows)
+    assert pieces.encoded(df.where("false"), m).count() == 0
+
+
 def test_words_walked_together_as_alone():
     pytest.importorskip("sentencepiece")
     m = pieces.Model.load()
