@@ -197,8 +197,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     base = base.withColumn("key", key)
     good = keep.cut(base.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()))
     sample = [r.v for r in good.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(pivots).collect()]
-    size = max((len(v) for v in sample), default=0)
-    pivot = unit(np.array([v for v in sample if len(v) == size])) if sample else np.zeros((0, 1))
+    if not sample:  # no vector can link
+        keep.free()
+        return base.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    size = max(len(v) for v in sample)
+    pivot = unit(np.array([v for v in sample if len(v) == size]))
 
     def place(batches):
         for b in batches:
@@ -270,4 +273,4 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     out = hub_join(rows.where("key is not null"), named, "key", "id").select("id", "n", "component_id")
     out = out.unionByName(rows.where("key is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id")))
     keep.free(named)
-    return out.select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))

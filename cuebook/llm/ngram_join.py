@@ -299,7 +299,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     every = keep.cut(sets(docs, n_words))
     full = every.where("n > 0 and id is not null")
     classes = keep.cut(full.groupBy("n", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()))
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total = classes.agg(F.sum("n")).first()[0]
+    if total is None:  # no text has a word
+        keep.free(every)
+        return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
 
     one = prefixes(docs.where("id is not null"), percent, n_words, total).join(classes.select("n", "key", "cid", "sig"), ["n", "key"])
     cand = keep.cut(one.groupBy("cid", "n").agg(F.first("sig").alias("sig"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix")))
