@@ -94,8 +94,18 @@ def upserted(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """files with stored_name: the k-th upload of a name from the second on is stem(k-1).ext."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+def numbered(rows: DataFrame, key: str, order: str, chunk: Column) -> DataFrame:
+    """rows with place (from 1) in the order of their key. chunk grows with order; rows are ordered within a key's chunks, and the chunks' counts are summed before,
+    so that a key that holds many rows isn't ordered in one task."""
+    d = rows.withColumn("_chunk", chunk)
+    counts = d.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order))
+    return d.withColumn("_here", here).join(counts.select(key, "_chunk", before.alias("_before")), [key, "_chunk"]).withColumn("place", F.col("_here") + F.col("_before")).drop("_chunk", "_here", "_before")
+
+
+def unique_names(files: DataFrame, name: str, order: str, span: int = 1_000_000) -> DataFrame:
+    """files with stored_name: the k-th upload of a name from the second on is stem(k-1).ext. order is a number; span is how much of it one task orders."""
     ext = F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    return files.withColumn("_k", k).withColumn("stored_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("("), F.col("_k").cast("string"), F.lit(")"), ext))).drop("_k")
+    stored = F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("("), (F.col("place") - 1).cast("string"), F.lit(")"), ext)
+    return numbered(files, name, order, F.floor(F.col(order) / span)).withColumn("stored_name", F.when(F.col("place") == 1, F.col(name)).otherwise(stored)).drop("place")

@@ -120,7 +120,7 @@ def upsert_rows(spark, d):
 @query("""SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]+$', '') || '(' || k || ').mp3' END AS stored_name FROM (SELECT p_partkey, p_brand || '.mp3' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)""")
 def stored_names(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(".mp3")).alias("name"))
-    return batches.unique_names(p, "name", "p_partkey").select("p_partkey", "stored_name")
+    return batches.unique_names(p, "name", "p_partkey", 500).select("p_partkey", "stored_name")
 
 
 @query("""SELECT event_id, CASE WHEN s < 60 THEN CASE WHEN s <= 0 THEN '' ELSE '<1m' END WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS ago,
