@@ -173,7 +173,7 @@ def json_fallback(spark, d):
 
 
 @query("""SELECT page_id, contains(url, 'youtube.com') OR contains(url, 'youtu.be') OR page_id % 4 = 0 AS video, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 86400000 * (page_id % 300) END AS ms, page_id % 3 = 0 AS family,
- round(CASE WHEN page_id % 2 = 0 THEN page_id + 0.25 ELSE page_id + 0.75 END - 0.05 * (CASE WHEN page_id % 2 = 0 THEN 1 ELSE -1 END), 1) AS even, 'session-' || (86400000 * (page_id % 300)) || '-z' AS client FROM pages""")
+ CAST(CASE WHEN page_id % 2 = 0 THEN page_id + 0.2 ELSE page_id + 0.8 END AS DOUBLE) AS even, 'session-' || (86400000 * (page_id % 300)) || '-z' AS client FROM pages""")
 def odd_scalars(spark, d):
     k = F.col("page_id")
     url = F.when(k % 4 == 0, "https://youtu.be/x").otherwise(F.col("url"))

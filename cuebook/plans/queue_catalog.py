@@ -115,14 +115,14 @@ def queue_totals(spark, d):
     return queue.queue_totals(rows).withColumn("cost", F.round("cost", 2))
 
 
-@query(f"SELECT count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 5) AS cost, round(sum(duration), 3) AS duration, count(DISTINCT coalesce(session_id, '')) AS groups FROM {LOG} l")
+@query(f"SELECT count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 7) AS cost, round(sum(duration), 3) AS duration, count(DISTINCT coalesce(session_id, '')) AS groups FROM {LOG} l")
 def result_summary(spark, d):
-    return task_log(spark, d).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 5).alias("cost"), F.round(F.sum("duration"), 3).alias("duration"), F.countDistinct(F.coalesce("session_id", F.lit(""))).alias("groups"))
+    return task_log(spark, d).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 7).alias("cost"), F.round(F.sum("duration"), 3).alias("duration"), F.countDistinct(F.coalesce("session_id", F.lit(""))).alias("groups"))
 
 
-@query(f"SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 5) AS cost FROM {LOG} l GROUP BY 1")
+@query(f"SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 7) AS cost FROM {LOG} l GROUP BY 1")
 def group_totals(spark, d):
-    return task_log(spark, d).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 5).alias("cost"))
+    return task_log(spark, d).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 7).alias("cost"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey > 0 THEN CAST(round(s_suppkey % 30 * 100.0 / s_nationkey) AS BIGINT) END AS percent, coalesce(round(s_suppkey % 30 * 100.0 / nullif(s_nationkey, 0)) > 80, false) AS high FROM supplier")
