@@ -64,4 +64,46 @@ OP8 = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce
  took AS (SELECT id, sum((least(a + size, (p.block + 1) * 64) - greatest(a, p.block * 64)) * times) AS taken FROM parts p JOIN uses u ON p.k = u.k AND p.block = u.block GROUP BY id)
  SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM line LEFT JOIN took USING (id)"""
 
-ORACLES = {"op1_embedding_neardup": OP1, "op3_ngram_jaccard": OP3, "op6_url_filters": OP6, "op8_source_mix": OP8}
+def _crc_table() -> list[int]:
+    """CRC-32 of the numbers 0 to 15, by its polynomial."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, half a byte a step."""
+    digits = f"string_split(hex(encode({text})), '')"
+    halves = f"list_transform(generate_series(0, octet_length(encode({text})) * 2 - 1), lambda i: CAST(strpos('0123456789ABCDEF', {digits}[xor(i, 1) + 1]) - 1 AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {halves}), lambda c, x: xor(c >> 4, CAST({_crc_table()} AS BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295)"
+
+
+BITS = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+#: Cells of the key as the rounds see them: the number read and its shift, in order; the last is one row.
+LEVELS = ", ".join(f"({i}, {w}, {s})" for i, (w, s) in enumerate((w, s) for w in (0, 1) for s in (48, 38, 28, 18, 8, 0)))
+OP11 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ d AS (SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, {crc32('text')} AS text_crc32, {BITS.format('text')} AS h, {BITS.format('CAST(doc_id AS VARCHAR)')} AS r FROM t),
+ k AS (SELECT *, CAST(sum(size) OVER (ORDER BY h, r) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total FROM d),
+ goals AS (SELECT g, h, r, total FROM k, generate_series(1, 15) t(g) WHERE (upto - size) * 16 <= g * total AND upto * 16 > g * total),
+ edges AS (SELECT g, l.i, any_value(goals.total) AS total, min(k.upto - k.size) AS lo, max(k.upto) AS hi FROM goals, (VALUES {LEVELS}) l(i, w, s), k
+  WHERE CASE WHEN w = 0 THEN k.h >> s = goals.h >> s ELSE k.h = goals.h AND k.r >> s = goals.r >> s END GROUP BY g, l.i),
+ tried AS (SELECT g, i, total, CASE WHEN g * total - lo * 16 <= hi * 16 - g * total THEN lo ELSE hi END AS cut FROM edges),
+ cuts AS (SELECT g, cut FROM tried WHERE abs(cut * 16 - g * total) * 1000 <= total OR i = 11 QUALIFY row_number() OVER (PARTITION BY g ORDER BY i) = 1),
+ s AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cut <= upto - size) AS INTEGER) AS shard FROM k)
+ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, r) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+WORDS = "regexp_extract_all(" + LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS id, {WORDS} AS words FROM documents),
+ full_ AS (SELECT doc_id, id, CAST(len(words) AS BIGINT) AS n, words FROM d WHERE len(words) > 0),
+ a AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM full_),
+ q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL),
+ p AS (SELECT id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT id, unnest(words) AS term FROM full_) SEMI JOIN q USING (term) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term, docs),
+ i AS (SELECT id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact FROM p JOIN full_ USING (id) JOIN w USING (term), a),
+ s AS (SELECT item_id, id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(times * impact) > 0)
+ SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 20"""
+
+ORACLES = {"op1_embedding_neardup": OP1, "op3_ngram_jaccard": OP3, "op6_url_filters": OP6, "op8_source_mix": OP8, "op11_sharding": OP11, "op13_lexical_search": OP13}

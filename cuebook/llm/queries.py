@@ -78,3 +78,21 @@ def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     from cuebook.llm import pieces
 
     return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Model.load()).drop("text")
+
+
+def op11_sharding(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import sharding
+
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import periodic
+
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_lexical_search(spark, sf_dir: str) -> DataFrame:
+    from cuebook.llm import lexical
+
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
