@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuebook.functions.labels import trimmed
+from cuebook.operators.ordered import MOST, Ordered, place, previous
 
 #: States of a batch and the changes between them.
 LIVE = ("UPLOADING", "POLLING", "RECOVERING")
@@ -32,9 +33,9 @@ def nonblank(text: Column) -> Column:
     return F.nullif(trimmed(text), F.lit(""))
 
 
-def positional(left: DataFrame, right: DataFrame, key: str, left_order: str | Column, right_order: str | Column) -> DataFrame:
+def positional(left: DataFrame, right: DataFrame, key: str, left_order: str | Column, right_order: str | Column, most: int = MOST) -> DataFrame:
     """Rows of a key joined by their place in order; what the longer side has beyond the shorter goes."""
-    at = lambda d, o: d.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(o)))
+    at = lambda d, o: Ordered(d, key, [o], most).scan(place=place()).rows()
     return at(left, left_order).join(at(right, right_order), [key, "place"])
 
 
@@ -71,9 +72,9 @@ def seeded(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.unionByName(seeds) if rows.isEmpty() else rows
 
 
-def state_changes(events: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
+def state_changes(events: DataFrame, key: str, order: list[str], status: str = "status", most: int = MOST) -> DataFrame:
     """events with before, the key's state until then, and valid: a first state, the same again, or a change that MOVES lists."""
-    d = events.withColumn("before", F.lag(status).over(Window.partitionBy(key).orderBy(*order)))
+    d = Ordered(events, key, order, most).scan(before=previous(status)).rows()
     allowed = F.lit(False)
     for state, nexts in MOVES.items():
         allowed = allowed | ((F.col("before") == state) & F.col(status).isin(*nexts)) if nexts else allowed
@@ -92,20 +93,3 @@ def session_tasks(batches: DataFrame, singles: DataFrame) -> DataFrame:
 def upserted(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """base with the rows of changes put in by key; changes win, and must hold a key once."""
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
-
-
-def numbered(rows: DataFrame, key: str, order: str, chunk: Column) -> DataFrame:
-    """rows with place (from 1) in the order of their key. chunk grows with order; rows are ordered within a key's chunks, and the chunks' counts are summed before,
-    so that a key that holds many rows isn't ordered in one task."""
-    d = rows.withColumn("_chunk", chunk)
-    counts = d.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    here = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order))
-    return d.withColumn("_here", here).join(counts.select(key, "_chunk", before.alias("_before")), [key, "_chunk"]).withColumn("place", F.col("_here") + F.col("_before")).drop("_chunk", "_here", "_before")
-
-
-def unique_names(files: DataFrame, name: str, order: str, span: int = 1_000_000) -> DataFrame:
-    """files with stored_name: the k-th upload of a name from the second on is stem(k-1).ext. order is a number; span is how much of it one task orders."""
-    ext = F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    stored = F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("("), (F.col("place") - 1).cast("string"), F.lit(")"), ext)
-    return numbered(files, name, order, F.floor(F.col(order) / span)).withColumn("stored_name", F.when(F.col("place") == 1, F.col(name)).otherwise(stored)).drop("place")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuebook.operators.ordered import MOST, Ordered, place
+
 #: States of tasks that count as running or done, and the formats of a download.
 RUNNING, DONE = ("POLLING", "UPLOADING", "RECOVERING"), ("COMPLETED", "RETRIEVED")
 FORMATS = ("lrc", "srt", "vtt", "txt")
@@ -147,6 +149,6 @@ def delays(rows: DataFrame, n: Column, base: float, factor: float, most: float)
     return rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("delay", back_off(F.col("attempt"), base, factor, most))
 
 
-def by_number(rows: DataFrame, key: str, text: str) -> DataFrame:
+def by_number(rows: DataFrame, key: str, text: str, most: int = MOST) -> DataFrame:
     """rows with place (from 1), the order of their text read as a whole number within the key; text that is no number comes first."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.expr(f"try_cast(`{text}` as bigint)"), text)))
+    return Ordered(rows, key, [F.col(text).try_cast("bigint"), text], most).scan(place=place()).rows()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuebook.operators import timeline
+from cuebook.operators.ordered import MOST, Ordered, following, latest, total_before
 
 
 def frames(samples: str, width: int) -> Column:
@@ -21,39 +22,37 @@ def frames(samples: str, width: int) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), rms))
 
 
-def padded_runs(flags: DataFrame, key: str, order: list[str], frame_ms: int = 50, pad_ms: int = 300, least: int = 2) -> DataFrame:
+def padded_runs(flags: DataFrame, key: str, order: list[str], frame_ms: int = 50, pad_ms: int = 300, least: int = 2, most: int = MOST) -> DataFrame:
     """Runs of at least `least` true flags as (key, start_ms, end_ms), widened by pad_ms within the file; a run that reaches the end ends there."""
     total = flags.groupBy(key).agg((F.count("*") * frame_ms).alias("total"))
-    r = timeline.runs(flags, key, order).where(F.col("flag") & (F.col("length") >= least)).join(total, key)
+    r = timeline.runs(flags, key, order, most=most).where(F.col("flag") & (F.col("length") >= least)).join(total, key)
     start = F.greatest(F.lit(0), (F.col("first") - 1) * frame_ms - pad_ms)
     return r.select(key, start.cast("long").alias("start_ms"), F.least("total", F.col("last") * frame_ms + pad_ms).cast("long").alias("end_ms"))
 
 
-def with_offsets(segments: DataFrame, key: str = "file_id", order: str = "seg_no") -> DataFrame:
+def with_offsets(segments: DataFrame, key: str = "file_id", order: str = "seg_no", most: int = MOST) -> DataFrame:
     """segments (start, end) with before, the summed length of the earlier segments of the file."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0)))
+    return Ordered(segments, key, [order], most).scan(before=total_before(F.col("end") - F.col("start"))).rows()
 
 
-def remapped(cues: DataFrame, segments: DataFrame, key: str = "file_id", time: str = "start_cs") -> DataFrame:
+def remapped(cues: DataFrame, segments: DataFrame, key: str = "file_id", time: str = "start_cs", most: int = MOST) -> DataFrame:
     """cues of speech-only audio with their times in the whole file; those past the last segment go.
 
     Segments and cues of a file lie in one order of time, in which each cue takes the last segment begun: linear in both, with no pairs formed."""
     length = F.col("end") - F.col("start")
-    s = with_offsets(segments).select(key, F.col("before").alias("_at"), F.struct("start", "before", length.alias("len")).alias("_seg"), length.alias("_len"))
+    s = with_offsets(segments, key, most=most).select(key, F.col("before").alias("_at"), F.struct("start", "before", length.alias("len")).alias("_seg"), length.alias("_len"))
     names = [F.col(c) for c in cues.columns]
     c = cues.select(F.col(key), F.col(time).alias("_at"), F.struct(*names).alias("_cue"))
-    w = Window.partitionBy(key).orderBy("_at", F.col("_cue").isNotNull(), "_len").rowsBetween(Window.unboundedPreceding, 0)
-    d = s.unionByName(c, allowMissingColumns=True).withColumn("_seg", F.last("_seg", ignorenulls=True).over(w)).where("_cue is not null and _at >= _seg.before and _at < _seg.before + _seg.len")
+    d = Ordered(s.unionByName(c, allowMissingColumns=True), key, ["_at", F.col("_cue").isNotNull(), "_len"], most).scan(_seg=latest("_seg")).rows()
+    d = d.where("_cue is not null and _at >= _seg.before and _at < _seg.before + _seg.len")
     moved = F.col("_seg.start") + F.col("_at") - F.col("_seg.before")
     return d.select(*[moved.alias(time) if n == time else F.col("_cue")[n].alias(n) for n in cues.columns])
 
 
-def split_points(segments: DataFrame, totals: DataFrame, key: str = "file_id", order: str = "seg_no", least: int = 100) -> DataFrame:
+def split_points(segments: DataFrame, totals: DataFrame, key: str = "file_id", order: str = "seg_no", least: int = 100, most: int = MOST) -> DataFrame:
     """(key, split_at): the middle of the gap of at least `least` between neighbours that is nearest to half of the total; ties take the
     earliest, no gap takes half of the total. totals has key and total."""
-    w = Window.partitionBy(key).orderBy(order)
-    g = segments.withColumn("next", F.lead("start").over(w)).where(F.col("next") - F.col("end") >= least)
+    g = Ordered(segments, key, [order], most).scan(next=following("start")).rows().where(F.col("next") - F.col("end") >= least)
     g = g.join(totals, key).withColumn("mid", (F.col("end") + F.col("next")) / 2)
     best = g.groupBy(key).agg(F.min_by("mid", F.struct(F.abs(F.col("mid") - F.col("total") / 2), order)).alias("mid"))
     return totals.join(best, key, "left").select(key, F.coalesce("mid", F.col("total") / 2).alias("split_at"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuebook.functions.labels import trimmed, without_speaker
+from cuebook.operators.ordered import MOST, Ordered, following, place, previous, top_before, total
 
 
 #: Fixed value: a timed line, exactly two digits of minutes and seconds, two or three of the fraction.
@@ -46,10 +47,10 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.where(F.col(column).rlike(LINE)).withColumn("start_ms", line_ms(F.col(column))).withColumn("text", line_text(F.col(column)))
 
 
-def with_ends(cues: DataFrame, last_ms: int = 5000) -> DataFrame:
+def with_ends(cues: DataFrame, last_ms: int = 5000, most: int = MOST) -> DataFrame:
     """cues with end_ms: the next line's start in line order, or the start plus last_ms; and number, their place (from 1) among the file's cues."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    return cues.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), F.col("start_ms") + last_ms)).withColumn("number", F.row_number().over(w))
+    d = Ordered(cues, "file_id", ["line_no"], most).scan(end_ms=following("start_ms"), number=place()).rows()
+    return d.withColumn("end_ms", F.coalesce("end_ms", F.col("start_ms") + last_ms)).withColumn("number", F.col("number").cast("int"))
 
 
 def document(cues: DataFrame, style: str) -> DataFrame:
@@ -106,69 +107,45 @@ def remapped_text(cues: DataFrame, segments: DataFrame, key: str = "file_id") ->
     return cues.select(key).distinct().join(text, key, "left").select(key, F.coalesce("lrc", F.lit("")).alias("lrc"))
 
 
-def runs(flags: DataFrame, key: str, order: list[str], flag: str = "flag") -> DataFrame:
+def runs(flags: DataFrame, key: str, order: list[str], flag: str = "flag", most: int = MOST) -> DataFrame:
     """Maximal runs of equal flags: key, run (from 1), flag, first and last place (from 1), length."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = flags.withColumn("place", F.row_number().over(w).cast("long")).withColumn("turn", F.when(F.col(flag).eqNullSafe(F.lag(flag).over(w)) & (F.col("place") > 1), 0).otherwise(1))
-    d = d.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = Ordered(flags, key, order, most).scan(place=place(), _before=previous(flag))
+    d = d.with_column("turn", F.when(F.col(flag).eqNullSafe(F.col("_before")) & (F.col("place") > 1), 0).otherwise(1)).scan(run=total("turn")).rows()
     return d.groupBy(key, "run", flag).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("length"))
 
 
-def filled(flags: DataFrame, key: str, order: list[str], flag: str = "flag", gap: int = 20) -> DataFrame:
+def filled(flags: DataFrame, key: str, order: list[str], flag: str = "flag", gap: int = 20, most: int = MOST) -> DataFrame:
     """Runs after silent runs shorter than gap are set, a leading one too but the last run never; then joined with their neighbours."""
-    r = runs(flags, key, order, flag)
-    last = F.max("run").over(Window.partitionBy(key))
-    set_ = r.withColumn("on", F.col(flag) | ((F.col("length") < gap) & (F.col("run") < last)))
-    w = Window.partitionBy(key).orderBy("run")
-    g = set_.withColumn("g", F.sum(F.when(F.col("on") == F.coalesce(F.lag("on").over(w), ~F.col("on")), 0).otherwise(1)).over(w))
+    d = Ordered(runs(flags, key, order, flag, most), key, ["run"], most).scan(_next=following("run"))
+    d = d.with_column("on", F.col(flag) | ((F.col("length") < gap) & F.col("_next").isNotNull())).scan(_on=previous("on"))
+    g = d.with_column("turn", F.when(F.col("on") == F.coalesce("_on", ~F.col("on")), 0).otherwise(1)).scan(g=total("turn")).rows()
     return g.groupBy(key, "g", "on").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
 
 
-def merged(intervals: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+def merged(intervals: DataFrame, key: str, start: str = "start", end: str = "end", most: int = MOST) -> DataFrame:
     """Overlapping or touching intervals of a key as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = intervals.withColumn("new", F.when(top.isNull() | (F.col(start) > top), 1).otherwise(0))
-    d = d.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = Ordered(intervals, key, [start, end], most).scan(_top=top_before(end))
+    d = d.with_column("new", F.when(F.col("_top").isNull() | (F.col(start) > F.col("_top")), 1).otherwise(0)).scan(g=total("new")).rows()
     return d.groupBy(key, "g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("g")
 
 
-def chunked_lag(rows: DataFrame, time: str, columns: list[str], order: list[str], chunk_seconds: int) -> DataFrame:
-    """rows with _<column>, each column's value in the row before in one order over all rows that begins with time. Rows are ordered within chunks of time, and
-    only the last row of each chunk is ordered over all, so that no task holds all rows."""
-    d = rows.withColumn("_chunk", F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (chunk_seconds * 1000000)))
-    here = Window.partitionBy("_chunk").orderBy(*order)
-    last = d.groupBy("_chunk").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
-    before = last.select("_chunk", F.lag("_last").over(Window.orderBy("_chunk")).alias("_before"))
-    d = d.withColumn("_first", F.row_number().over(here) == 1)
-    for c in columns:
-        d = d.withColumn(f"_{c}", F.lag(c).over(here))
-    d = d.join(before, "_chunk")
-    for c in columns:
-        d = d.withColumn(f"_{c}", F.when(F.col("_first"), F.col("_before")[c]).otherwise(F.col(f"_{c}")))
-    return d.drop("_before")
-
-
-def clusters(rows: DataFrame, time: str, kind: str, tie: str, gap_seconds: int = 600, chunk_seconds: int = 86400) -> DataFrame:
+def clusters(rows: DataFrame, time: str, kind: str, tie: str, gap_seconds: int = 600, most: int = MOST) -> DataFrame:
     """rows with cluster (from 1), over all rows in order of time: a row joins the cluster before it if it is at most the gap later and of the same kind. A row
     without a time, or from 1970's first instant, begins its own; these come first. Null kinds are ''."""
-    d = rows.withColumn(time, F.coalesce(F.col(time).cast("timestamp"), F.timestamp_micros(F.lit(0)))).withColumn(kind, F.coalesce(kind, F.lit("")))
-    d = chunked_lag(d, time, [time, kind], [time, tie], chunk_seconds)
-    seconds = (F.unix_micros(time) - F.unix_micros(f"_{time}")) / 1e6
-    joins = F.col(f"_{time}").isNotNull() & (F.unix_micros(time) > 0) & (seconds <= gap_seconds) & (F.col(kind) == F.col(f"_{kind}"))
-    d = d.withColumn("_new", F.when(joins, 0).otherwise(1))
-    sums = d.groupBy("_chunk").agg(F.sum("_new").alias("_n"))
-    earlier = sums.select("_chunk", F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
-    here = F.sum("_new").over(Window.partitionBy("_chunk").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_here", here).join(earlier, "_chunk").withColumn("cluster", F.col("_here") + F.col("_earlier")).drop("_chunk", "_first", "_new", "_here", "_earlier", f"_{time}", f"_{kind}")
-
-
-def sessions(rows: DataFrame, key: str, time: str, kind: str, tie: str, gap_seconds: int = 600) -> DataFrame:
+    d = rows.withColumn(time, F.coalesce(F.col(time).cast("timestamp"), F.timestamp_micros(F.lit(0)))).withColumn(kind, F.coalesce(kind, F.lit(""))).withColumn("_all", F.lit(0))
+    return _joined(d, "_all", time, kind, tie, gap_seconds, most, "cluster", F.unix_micros(time) > 0).drop("_all")
+
+
+def sessions(rows: DataFrame, key: str, time: str, kind: str, tie: str, gap_seconds: int = 600, most: int = MOST) -> DataFrame:
     """rows with session (from 1): a new one starts when the gap is exceeded or the kind changes."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
-    new = F.when(seconds.isNull() | (seconds > gap_seconds) | (F.col(kind) != F.lag(kind).over(w)), 1).otherwise(0)
-    return rows.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return _joined(rows, key, time, kind, tie, gap_seconds, most, "session", F.lit(True))
+
+
+def _joined(rows: DataFrame, key: str, time: str, kind: str, tie: str, gap_seconds: int, most: int, name: str, may: Column) -> DataFrame:
+    d = Ordered(rows, key, [time, tie], most).scan(_time=previous(time), _kind=previous(kind))
+    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_time").cast("timestamp"))) / 1e6
+    apart = seconds.isNull() | (seconds > gap_seconds) | (F.col(kind) != F.col("_kind")) | ~may
+    return d.with_column("_new", F.when(apart, 1).otherwise(0)).scan(**{name: total("_new")}).rows().drop("_time", "_kind", "_new")
 
 
 def frame_rms(frames: DataFrame, column: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuebook.functions import labels
-from cuebook.operators import batches, segments
+from cuebook.operators import batches, names, segments
 from cuebook.sources.tables import cues, table, task_log
 
 QUERIES, ORACLES = {}, {}
@@ -117,10 +117,20 @@ def upsert_rows(spark, d):
     return batches.upserted(c, c.where("c_custkey % 5 = 0").withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]+$', '') || '(' || k || ').mp3' END AS stored_name FROM (SELECT p_partkey, p_brand || '.mp3' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)""")
+#: Uploads of parts, one brand's in turn: some ask for a numbered name as it stands.
+UPLOADS = """(SELECT p_partkey, p_brand, p_brand || CASE p_partkey % 7 WHEN 3 THEN '(' || (p_partkey % 50 + 1) || ')' WHEN 5 THEN '(' || (p_partkey % 3 + 1) || ')(1)' ELSE '' END || '.mp3' AS name FROM part)"""
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM {UPLOADS} x),
+ s(p_brand, n, p_partkey, stored_name, taken) AS (SELECT p_brand, n, p_partkey, name, [name] FROM u WHERE n = 1
+ UNION ALL SELECT p_brand, n, p_partkey, stored, list_append(taken, stored) FROM (SELECT u.*, taken, CASE WHEN list_contains(taken, name) THEN list_filter(list_transform(generate_series(1, len(taken)), lambda k: left(name, -4) || '(' || k || ').mp3'), lambda x: NOT list_contains(taken, x))[1] ELSE name END AS stored
+  FROM s JOIN u ON u.p_brand = s.p_brand AND u.n = s.n + 1))
+ SELECT p_partkey, stored_name FROM s""")
 def stored_names(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(".mp3")).alias("name"))
-    return batches.unique_names(p, "name", "p_partkey", 500).select("p_partkey", "stored_name")
+    k = F.col("p_partkey")
+    number = F.when(k % 7 == 3, F.concat(F.lit("("), (k % 50 + 1).cast("string"), F.lit(")"))).when(k % 7 == 5, F.concat(F.lit("("), (k % 3 + 1).cast("string"), F.lit(")(1)"))).otherwise("")
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", number, F.lit(".mp3")).alias("name"))
+    return names.unique_names(p, "name", "p_partkey").select("p_partkey", "stored_name")
 
 
 @query("""SELECT event_id, CASE WHEN s < 60 THEN CASE WHEN s <= 0 THEN '' ELSE '<1m' END WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS ago,
