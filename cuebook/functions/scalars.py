@@ -56,8 +56,35 @@ def short_number(n: Column) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """Rounded in decimal, a half to the even neighbour."""
-    return F.bround(x, digits)
+    """A double rounded to digits (0 to 22) as its exact binary value asks, a true half to the even neighbour."""
+    return _rounded(x, digits, lambda low: low % 2 == 1)
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """As half_even(), but a true half goes to the greater neighbour, that of a negative number to the lesser."""
+    return _rounded(x, digits, lambda low: F.lit(True))
+
+
+def _rounded(x: Column, digits: int, up_at_half) -> Column:
+    """From 2^52 tenths (hundredths, ...) on the decimal text decides.
+
+    x times the power of ten is one double plus its error, which Dekker's product gives exactly; the error decides whether a half is one."""
+    x = x.cast("double")
+    ten, size = float(10**digits), F.abs(x)
+
+    def halves(v):
+        c = v * 134217729.0
+        high = c - (c - v)
+        return high, v - high
+
+    p = size * ten
+    (a, b), (c, d) = halves(size), halves(F.lit(ten))
+    error = b * d - (((p - a * c) - b * c) - a * d)
+    low = F.floor(p).cast("double")
+    rest = p - low
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & up_at_half(low))))
+    made = (low + F.when(up, 1.0).otherwise(0.0)) / ten
+    return F.when(p < 2.0**52, F.when(x < 0, -made).otherwise(made)).when(F.isnan(x) | (size == float("inf")), x).otherwise(F.bround(x, digits))
 
 
 def down_mix(left: Column, right: Column) -> Column:
@@ -95,3 +122,18 @@ def millis(text: Column) -> Column:
     """Milliseconds of a time as text, 0 for null and for what is no time."""
     return F.coalesce(F.unix_millis(F.try_to_timestamp(text)), F.lit(0))
 
+
+
+def of_family(model: Column, prefix: str) -> Column:
+    """Whether a model's name begins with a family's."""
+    return model.startswith(prefix)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with a comma between thousands; a dash for null and 0."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "\u2014").otherwise(F.format_number(n, 0))
+
+
+def money(x: Column, digits: int = 4) -> Column:
+    """$ and so many decimals; a dash for null."""
+    return F.when(x.isNull(), "\u2014").otherwise(F.concat(F.lit("$"), F.format_string(f"%.{digits}f", half_up(x, digits))))

@@ -56,15 +56,19 @@ def liveness(status: Column, known: Column, elapsed_s: Column, limit_s: int = 30
     return F.when(status.isin(*LIVE), F.when(known.isNotNull(), known).when(elapsed_s > limit_s, F.lit(False)))
 
 
-def task_rows(jobs: DataFrame, known: Column, elapsed_s: Column) -> DataFrame:
-    """jobs as tasks: is_alive, names of the files in the order of their numbers, files (file_count, or the number of names where it is 0 or null), and the session,
-    which is the batch itself where none is named. Broken JSON names no files."""
+def task_rows(jobs: DataFrame, known: Column, as_of: Column) -> DataFrame:
+    """jobs as tasks at a time: file_count (the number of files where it is 0 or null), is_alive, created_at and updated_at as text, elapsed seconds (null without a start), files
+    (file_uid, original_filename) in the order of their numbers, and the session, which is the batch itself where none is named. Broken JSON names no files."""
     entries = F.map_entries(F.from_json("file_mapping_json", "map<string, struct<file_uid: string, original_filename: string>>"))
-    placed = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"]["original_filename"].alias("name"))))
-    names = F.transform(placed, lambda e: e["name"])
-    count = F.coalesce(F.nullif("file_count", F.lit(0)), F.greatest(F.size(names), F.lit(0)))
+    placed = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("file"))))
+    files = F.transform(placed, lambda e: e["file"])
+    count = F.coalesce(F.nullif("file_count", F.lit(0)), F.greatest(F.size(files), F.lit(0)))
     session = F.coalesce(F.nullif("session_id", F.lit("")), F.col("batch_id").cast("string"))
-    return jobs.select("batch_id", "status", liveness(F.col("status"), known, elapsed_s).alias("is_alive"), count.alias("files"), names.alias("names"), session.alias("session_id"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    elapsed = (micros(as_of) - micros(F.col("created_at"))) / 1e6
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    alive = liveness(F.col("status"), known, F.nullif(elapsed, F.lit(0.0)))
+    return jobs.select("batch_id", "status", count.alias("file_count"), alive.alias("is_alive"), text("created_at"), text("updated_at"), elapsed.alias("elapsed_seconds"), files.alias("files"), session.alias("session_id"))
 
 
 def seeded(rows: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -19,22 +19,29 @@ def price_table(spark: SparkSession, rows=PRICES) -> DataFrame:
 
 
 def priced(items: DataFrame, prices: DataFrame) -> DataFrame:
-    """items (model, input_tokens, output_tokens, content_type) with input_cost, output_cost and cost. Null tokens are 0; every content type but audio is text.
-
-    The price table is a dimension of a few rows; Spark broadcasts it by its own size check."""
-    default = prices.where("model = 'default'").select(*[F.col(c).alias(f"_d_{c}") for c in ("text", "audio", "output")])
-    side = prices.select(F.col("model").alias("_m"), *[F.col(c).alias(f"_{c}") for c in ("text", "audio", "output")])
-    met = items.join(side, items["model"] == F.col("_m"), "left").join(default, how="left")
-    rate = lambda c: F.coalesce(f"_{c}", f"_d_{c}")
+    """items (model, input_tokens, output_tokens, content_type) with input_cost, output_cost and cost. Null tokens are 0; every content type but audio is text. Of a model listed
+    twice the greater prices count.
+
+    The price table is a dimension of a few rows; Spark broadcasts it by its own size check, and its default row is one scalar subquery."""
+    rates = F.struct("text", "audio", "output")
+    default = prices.where("model = 'default'").agg(F.max(rates).alias("d")).scalar()
+    side = prices.groupBy(F.col("model").alias("_m")).agg(F.max(rates).alias("_rates"))
+    met = items.join(side, items["model"] == F.col("_m"), "left").withColumn("_rates", F.coalesce("_rates", default))
     into, out = (F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens"))
-    input_cost = into / F.lit(1e6) * F.when(F.col("content_type") == "audio", rate("audio")).otherwise(rate("text"))
-    met = met.withColumn("input_cost", input_cost).withColumn("output_cost", out / F.lit(1e6) * rate("output"))
-    return met.withColumn("cost", F.col("input_cost") + F.col("output_cost")).drop("_m", *[f"_{d}{c}" for c in ("text", "audio", "output") for d in ("", "d_")])
+    input_cost = into / F.lit(1e6) * F.when(F.col("content_type") == "audio", F.col("_rates.audio")).otherwise(F.col("_rates.text"))
+    met = met.withColumn("input_cost", input_cost).withColumn("output_cost", out / F.lit(1e6) * F.col("_rates.output"))
+    return met.withColumn("cost", F.col("input_cost") + F.col("output_cost")).drop("_m", "_rates")
+
+
+#: Fixed value: what is left of the costs of a task that the cheaper tier (or a batch) has done.
+DISCOUNT = 0.5
 
 
-def totals(items: DataFrame, key: str, order: str) -> DataFrame:
-    """priced() items summed by task: tokens, costs, and breakdown, the items in order."""
+def totals(items: DataFrame, key: str, order: str, flex: str | None = None) -> DataFrame:
+    """priced() items summed by task: tokens, costs, and breakdown, the items in order. With flex, a flag of items, the costs of a task with a true one are halved; the
+    breakdown keeps the full ones."""
     n = lambda c: F.coalesce(c, F.lit(0))
     row = F.struct(F.col(order).alias("place"), "content_type", n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), "cost")
-    sums = [F.sum(n(c)).alias(c) for c in ("input_tokens", "output_tokens", "input_cost", "output_cost", "cost")]
+    factor = F.when(F.bool_or(F.coalesce(flex, F.lit(False))), DISCOUNT).otherwise(1.0) if flex else F.lit(1.0)
+    sums = [F.sum(n(c)).alias(c) for c in ("input_tokens", "output_tokens")] + [(F.sum(n(c)) * factor).alias(c) for c in ("input_cost", "output_cost", "cost")]
     return items.groupBy(key).agg(F.sum(n("input_tokens") + n("output_tokens")).alias("tokens"), *sums, F.array_sort(F.collect_list(row)).alias("breakdown"))

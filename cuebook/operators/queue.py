@@ -19,10 +19,13 @@ CLIENT_TYPES = ("audio/mpeg", "audio/wav", "audio/mp4", "audio/x-m4a", "audio/og
 CLIENT_LIMIT = 1 << 30
 
 
-def flags(status: Column, alive: Column) -> dict[str, Column]:
-    """What a status says of a batch: running, done, an upload whose worker is known to be gone, and whether it is shown."""
-    running, done = status.isin(*RUNNING), status.isin(*DONE)
-    return {"running": running, "done": done, "dead_upload": F.coalesce((status == "UPLOADING") & (alive == F.lit(False)), F.lit(False)), "shown": running | done}
+def flags(status: Column, alive: Column, single: Column | None = None) -> dict[str, Column]:
+    """What a status says of a batch or, where single is true, of a single task: running, done (a failed single task too), an upload whose worker is known to be gone, and
+    whether it is shown."""
+    one = F.coalesce(single, F.lit(False)) if single is not None else F.lit(False)
+    running = F.when(one, status == "PROCESSING").otherwise(status.isin(*RUNNING))
+    done = F.when(one, status.isin("COMPLETED", "FAILED")).otherwise(status.isin(*DONE))
+    return {"running": running, "done": done, "dead_upload": F.coalesce(~one & (status == "UPLOADING") & (alive == F.lit(False)), F.lit(False)), "shown": running | done}
 
 
 def any_of(rows: DataFrame, key: str, **conditions: Column) -> DataFrame:
@@ -102,6 +105,52 @@ def grouped(rows: DataFrame, key: str, order: str, item: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(order).alias("first"), F.transform(listed, lambda r: r[item]).alias("items"))
 
 
+def by_start(sessions: DataFrame, start: Column, order: str, most: int = MOST) -> DataFrame:
+    """sessions with place (from 1), the latest start first; a start in milliseconds, 0 for what is no time, and ties in their order."""
+    d = sessions.withColumns({"_all": F.lit(0), "_start": -F.coalesce(start, F.lit(0))})
+    return Ordered(d, "_all", ["_start", order], most).scan(place=place()).rows().drop("_all", "_start")
+
+
+def summary(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows, tokens, cost and seconds of results, over all or by keys; nulls count as nothing."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "cost", "duration")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+
+
+def split(rows: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet a condition, and all others; a null condition isn't met."""
+    met = F.coalesce(condition, F.lit(False))
+    return rows.where(met), rows.where(~met)
+
+
+def members(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among keys."""
+    return rows.join(keys, key, "left_semi")
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
+    """rows with the columns of values, which has a key once, by key; a default where a key isn't listed or its value is null."""
+    met = rows.join(values.select(key, *defaults), key, "left")
+    return met.withColumns({c: F.coalesce(c, d) for c, d in defaults.items()})
+
+
+def widened(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows of both; a column that one of them lacks is null there."""
+    return rows.unionByName(more, allowMissingColumns=True)
+
+
+def filled_keys(keys: Column) -> Column:
+    """The keys of a list that aren't blank."""
+    return F.filter(keys, lambda x: F.trim(x) != "")
+
+
+def settings(rows: DataFrame, keys: str = "keys_json") -> DataFrame:
+    """Stored provider settings with their list of keys read from JSON text; a broken text is an empty list."""
+    from cuebook.functions.scalars import text_list
+
+    return rows.withColumn("keys", text_list(F.col(keys))).drop(keys)
+
+
 def newest(rows: DataFrame, time: Column, tie: str, n: int = 80) -> DataFrame:
     """The n newest rows; a null time is the oldest, ties by tie."""
     return rows.orderBy(F.coalesce(time, F.lit(0)).desc(), tie).limit(n)
@@ -132,14 +181,46 @@ def folded(events: DataFrame, key: str = "file_uid", order: str = "seq") -> Data
     return events.groupBy(key).agg(F.coalesce(end, last).alias("r")).select(key, "r.status", "r.text")
 
 
+#: States of a job at the service that end it, and the one that has results.
+ENDED, SUCCEEDED = ("JOB_STATE_SUCCEEDED", "JOB_STATE_FAILED", "JOB_STATE_CANCELLED", "JOB_STATE_EXPIRED"), "JOB_STATE_SUCCEEDED"
+_FILE = "file_uid: string, original_filename: string, vad_segments: array<struct<start: double, end: double>>"
+
+
 def recovered(jobs: DataFrame) -> DataFrame:
-    """(batch_id, file_uid, filename, place, status): the files of stored jobs, from their JSON, with the state that work goes on from. A job that isn't at an end
-    goes on polling; one whose JSON is broken or empty has failed, and keeps a row without a file."""
-    files = F.from_json("file_mapping_json", "map<string, struct<file_uid: string, original_filename: string>>")
-    rows = jobs.withColumn("_f", files).select("batch_id", "status", F.explode_outer("_f").alias("place", "f"))
+    """The files of stored jobs, rebuilt from their four JSON columns (file_mapping_json, file_durations_json, file_log_uuids_json, task_params_json): batch_id, place, file_uid, filename,
+    duration (0 if not stored), task_id ('' if not stored), segments, model, provider, source_lang, target_lang, prompt, and the status that work goes on from.
+
+    A job that isn't at an end goes on polling; one at an end keeps its status. One whose mapping is broken, empty or null, or any of whose other columns is broken, has failed, and
+    keeps a row without a file. Other columns that are null or blank count as empty."""
+    kinds = {"file_mapping_json": f"map<string, struct<{_FILE}>>", "file_durations_json": "map<string, double>", "file_log_uuids_json": "map<string, string>", "task_params_json": "struct<model: string, provider: string, source_lang: string, target_lang: string, prompt: string>"}
+    names = dict(zip(kinds, ("_files", "_durations", "_logs", "_params"), strict=True))
+    d = jobs.withColumns({names[c]: F.from_json(c, k) for c, k in kinds.items()})
+    whole = {c: F.from_json(c, "map<string, string>") for c in kinds}
+    broken = F.lit(False)
+    for c in kinds:
+        blank = F.coalesce(F.trim(c), F.lit("")) == ""
+        broken = broken | ~blank & whole[c].isNull()
+    empty = F.coalesce(F.size("_files"), F.lit(0)) <= 0
+    d = d.withColumn("_bad", broken | empty)
     over = F.col("status").isin("COMPLETED", "FAILED", "RETRIEVED")
-    state = F.when(over, F.col("status")).when(F.col("f").isNull(), "FAILED").otherwise("POLLING")
-    return rows.select("batch_id", "f.file_uid", F.col("f.original_filename").alias("filename"), F.expr("try_cast(place as int)").alias("place"), state.alias("status"))
+    state = F.when(over, F.col("status")).when(F.col("_bad"), "FAILED").otherwise("POLLING")
+    rows = d.withColumn("status", state).withColumn("_files", F.when(~F.col("_bad"), F.col("_files"))).select("batch_id", "status", "_durations", "_logs", "_params", F.explode_outer("_files").alias("place", "f"))
+    uid = F.col("f.file_uid")
+    params = [F.when(uid.isNotNull(), F.coalesce(F.col("_params")[p], F.lit(default))).alias(p) for p, default in (("model", ""), ("provider", "google"), ("source_lang", ""), ("target_lang", None), ("prompt", ""))]
+    known = lambda m, x: F.when(uid.isNotNull(), F.coalesce(F.try_element_at(m, uid), x))
+    return rows.select("batch_id", F.col("place").try_cast("int").alias("place"), uid.alias("file_uid"), F.col("f.original_filename").alias("filename"), known("_durations", F.lit(0.0)).alias("duration"), known("_logs", F.lit("")).alias("task_id"), F.col("f.vad_segments").alias("segments"), *params, "status")
+
+
+def replayed(files: DataFrame, responses: DataFrame, states: DataFrame) -> DataFrame:
+    """recovered() files met by the service's state of their job (batch_id, state) and its answers (batch_id, place from 0 among the job's files, text, null for a failed one):
+    files with text and status. A job not at an end, or of no known state, goes on polling; one that failed fails its files; of one that succeeded a file with an answer is
+    COMPLETED, one with a null answer FAILED, and files beyond the answers keep RECOVERING."""
+    nth = Ordered(files.where("file_uid is not null"), "batch_id", ["place"]).scan(_nth=place()).rows().withColumn("_nth", F.col("_nth") - 1)
+    side = responses.select(F.col("batch_id").alias("_b"), F.col("place").alias("_p"), "text", F.lit(True).alias("_answered"))
+    met = nth.join(states.select(F.col("batch_id").alias("_s"), "state"), F.col("batch_id") == F.col("_s"), "left").join(side, (F.col("batch_id") == F.col("_b")) & (F.col("_nth") == F.col("_p")), "left")
+    ended = F.when(F.col("_answered").isNull(), "RECOVERING").when(F.col("text").isNull(), "FAILED").otherwise("COMPLETED")
+    status = F.when(~F.coalesce(F.col("state").isin(*ENDED), F.lit(False)), "POLLING").when(F.col("state") != SUCCEEDED, "FAILED").otherwise(ended)
+    return met.withColumn("status", status).withColumn("text", F.when(F.col("status") == "COMPLETED", F.col("text"))).drop("_nth", "_s", "_b", "_p", "_answered", "state")
 
 
 def delays(rows: DataFrame, n: Column, base: float, factor: float, most: float) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from cuebook.functions.scalars import half_even
+from cuebook.operators import pages
+
 
 def matching(log: DataFrame, status: str | None = None, is_batch: bool | None = None, since=None, until=None, keyword: str | None = None) -> DataFrame:
     """Rows that meet every given condition; a null column meets none. Empty texts are no condition. keyword is a pattern of file name or title, without case: %
@@ -26,10 +29,10 @@ def matching(log: DataFrame, status: str | None = None, is_batch: bool | None =
     return out
 
 
-def page(log: DataFrame, number: int, size: int) -> DataFrame:
-    """One page (from 1) of 1 to 100 rows of the newest-first list; null times come first."""
+def page(log: DataFrame, number: int, size: int, near: int = pages.NEAR) -> DataFrame:
+    """One page (from 1) of 1 to 100 rows of the newest-first list; null times come first. At most `near` rows are sorted past; see pages.deep()."""
     number, size = max(1, number), min(100, max(1, size))
-    return log.orderBy(F.col("requested_at").desc_nulls_first(), F.col("task_id").desc()).offset((number - 1) * size).limit(size)
+    return pages.deep(log, (number - 1) * size, size, near)
 
 
 def page_counts(log: DataFrame, size: int) -> DataFrame:
@@ -38,18 +41,18 @@ def page_counts(log: DataFrame, size: int) -> DataFrame:
 
 
 def stats(log: DataFrame, *keys: str) -> DataFrame:
-    """Counts, success rate over all rows, and sums over all rows; processing is the mean of completed rows. An empty table gives zeros."""
+    """Counts, success rate over all rows, and sums over all rows; processing is the mean of completed rows. An empty table gives zeros. Rounded half even on the binary value."""
     done = F.col("status") == "COMPLETED"
     total, ok = F.count("*"), F.count(F.when(done, 1))
     aggs = [
         total.alias("total"),
         ok.alias("completed"),
         F.count(F.when(F.col("status") == "FAILED", 1)).alias("failed"),
-        F.coalesce(F.round(ok * 100.0 / F.nullif(total, F.lit(0)), 1), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(half_even(ok / F.nullif(total, F.lit(0)) * 100, 1), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-        F.coalesce(F.round(F.sum(F.col("cost").cast("decimal(24,9)")), 6), F.lit(0)).cast("double").alias("cost"),
-        F.coalesce(F.round(F.sum("duration"), 1), F.lit(0.0)).alias("duration"),
-        F.coalesce(F.round(F.avg(F.when(done, F.col("processing"))), 1), F.lit(0.0)).alias("processing"),
+        F.coalesce(half_even(F.sum(F.col("cost").cast("decimal(24,9)")).cast("double"), 6), F.lit(0.0)).alias("cost"),
+        F.coalesce(half_even(F.sum("duration"), 1), F.lit(0.0)).alias("duration"),
+        F.coalesce(half_even(F.avg(F.when(done, F.col("processing"))), 1), F.lit(0.0)).alias("processing"),
     ]
     return log.groupBy(*keys).agg(*aggs) if keys else log.agg(*aggs)
 
@@ -60,21 +63,25 @@ def active(log: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
     return log.where(~F.col("is_batch") & ((F.col("status") == "PROCESSING") | (F.col("status").isin("COMPLETED", "FAILED") & (F.col("requested_at") >= edge))))
 
 
-def archived(log: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """log with completed rows older than the given hours (strictly) set to RETRIEVED. changed() counts them."""
+def archived(log: DataFrame, as_of: str, hours: int = 24, seen: Observation | None = None) -> DataFrame:
+    """log with completed rows older than the given hours (strictly) set to RETRIEVED. seen gets n, their number, in the pass that reads the result."""
     old = (F.col("status") == "COMPLETED") & (F.col("requested_at") < F.to_timestamp_ntz(F.lit(as_of)) - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return log.withColumn("status", F.when(old, "RETRIEVED").otherwise(F.col("status")))
+    return _set_where(log, old, "RETRIEVED", seen)
+
+
+def with_status(log: DataFrame, key: str, value, status: str, seen: Observation | None = None) -> DataFrame:
+    """log with the status of one key set. seen gets n, the rows that have the key."""
+    return _set_where(log, F.col(key) == value, status, seen)
 
 
-def changed(before: DataFrame, after: DataFrame, key: str, column: str = "status") -> DataFrame:
-    """n, the rows whose column differs from before."""
-    old = before.select(key, F.col(column).alias("_old"))
-    return after.join(old, key).agg(F.count(F.when(~F.col(column).eqNullSafe(F.col("_old")), 1)).alias("n"))
+def _set_where(log: DataFrame, hit: Column, status: str, seen: Observation | None) -> DataFrame:
+    log = log if seen is None else log.observe(seen, F.count(F.when(hit, 1)).alias("n"))
+    return log.withColumn("status", F.when(hit, status).otherwise(F.col("status")))
 
 
-def with_status(log: DataFrame, key: str, value, status: str) -> DataFrame:
-    """log with the status of one key set."""
-    return log.withColumn("status", F.when(F.col(key) == value, status).otherwise(F.col("status")))
+def in_states(rows: DataFrame, states, column: str = "status") -> DataFrame:
+    """Rows in one of the states."""
+    return rows.where(F.col(column).isin(*states))
 
 
 def lookup(log: DataFrame, key: str, value: str | None) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuebook.functions import labels, scalars
-from cuebook.operators import batches, pricing, queue, segments, tasklog, timeline
+from cuebook.operators import batches, pages, pricing, queue, segments, tasklog, timeline
 from cuebook.plans.shared_sql import CUES, LOG
+from cuebook.sources import changelog
+from cuebook.sources.scratch import new_folder
 from cuebook.sources.tables import cues, table, task_log
 
 QUERIES, ORACLES = {}, {}
@@ -31,8 +33,44 @@ def page_bounds(spark, d):
     return tasklog.page(task_log(spark, d), 0, 5000).select("task_id")
 
 
+@query(f"SELECT task_id FROM {LOG} l ORDER BY requested_at DESC NULLS FIRST, task_id DESC LIMIT 20 OFFSET 11980")
+def page_deep(spark, d):
+    return tasklog.page(task_log(spark, d), 600, 20).select("task_id")
+
+
+@query(f"SELECT task_id, status FROM {LOG} l ORDER BY requested_at DESC NULLS FIRST, task_id DESC LIMIT 50 OFFSET 700")
+def page_in_ranges(spark, d):
+    """The log written in the list's order; a page from the middle of it."""
+    held = pages.Pages(spark, new_folder(spark, "pages"))
+    held.write(task_log(spark, d), 400)
+    return held.page(15, 50).select("task_id", "status")
+
+
+@query(f"SELECT task_id FROM (SELECT * FROM {LOG} l ORDER BY requested_at DESC NULLS FIRST, task_id DESC LIMIT 40 OFFSET 300) ORDER BY 1")
+def page_after_row(spark, d):
+    log = task_log(spark, d)
+    last = tasklog.page(log, 6, 50).orderBy(F.col("requested_at"), "task_id").first()
+    return pages.after(log, last.requested_at, last.task_id, 40).select("task_id")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, 'ADDED', NULL FROM customer WHERE c_custkey % 11 = 0)
+ SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'LAST' WHEN c_custkey % 7 = 0 AND c_custkey < 1000000 THEN 'PUT' WHEN c_custkey % 5 = 0 AND c_custkey < 1000000 THEN 'SET' ELSE c_mktsegment END AS c_mktsegment,
+ CASE WHEN c_custkey % 7 = 0 AND c_custkey < 1000000 THEN -1.0 ELSE c_acctbal END AS c_acctbal FROM c WHERE c_custkey % 13 > 0""")
+def change_log(spark, d):
+    """Customers kept as a log of changes: set, put, added, deleted, compacted and set again."""
+    c, k = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), F.col("c_custkey")
+    log = changelog.ChangeLog(spark, new_folder(spark, "changes"), "c_custkey", c.schema, 8)
+    log.put(c, 1)
+    log.update(c.where(k % 5 == 0).select("c_custkey", F.lit("SET").alias("c_mktsegment")), 2)
+    log.put(c.where(k % 7 == 0).select("c_custkey", F.lit("PUT").alias("c_mktsegment"), F.lit(-1.0).alias("c_acctbal")).unionByName(c.where(k % 11 == 0).select((k + 1000000).alias("c_custkey"), F.lit("ADDED").alias("c_mktsegment")), allowMissingColumns=True), 3)
+    log.delete(log.current().where(k % 13 == 0), 4)
+    log.compact()
+    log.update(spark.range(1, 3_000_000).where("id % 3 = 0").select(F.col("id").alias("c_custkey"), F.lit("LAST").alias("c_mktsegment")), 5)
+    return log.current()
+
+
 @query(f"""SELECT strftime(requested_at, '%Y-%m-%d %H:%M:%S') AS requested_at, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at, task_id, status, cost, tokens, duration, processing, model, batch_id, is_batch,
- filename, title, session_id, file_uid, lrc_content IS NOT NULL OR task_id % 3 = 0 AS has_transcript FROM {LOG} l""")
+ filename, title, session_id, file_uid, provider, source_language, target_language, error_message, lrc_content IS NOT NULL OR task_id % 3 = 0 AS has_transcript FROM {LOG} l""")
 def history_rows(spark, d):
     log = task_log(spark, d)
     held = log.where("task_id % 3 = 0").groupBy("batch_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("file_uid", F.col("task_id").cast("string"))))).alias("file_log_uuids_json"), F.to_json(F.map_from_entries(F.collect_list(F.struct("file_uid", F.struct(F.create_map(F.lit("lrc"), F.lit(" x ")).alias("transcripts")))))).alias("results_json"))
@@ -52,7 +90,7 @@ def dismiss_task(spark, d):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view', 'error')")
 def live_states(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "view", "error")).select("event_id", "event_type")
+    return tasklog.in_states(table(spark, d, "events"), ("click", "view", "error"), "event_type").select("event_id", "event_type")
 
 
 ITEMS = "(SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'gemini-3.5-flash' WHEN 'N' THEN 'gemini-1.5-pro-latest' ELSE 'other' END AS model, CAST(floor(l_quantity) AS BIGINT) * 1000 AS input_tokens, CASE WHEN l_linenumber % 4 > 0 THEN CAST(l_linenumber AS BIGINT) * 500 END AS output_tokens, CASE WHEN l_linenumber % 2 = 0 THEN 'audio' ELSE 'text' END AS content_type FROM lineitem)"
@@ -73,12 +111,14 @@ def price_items(spark, d):
     return p.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 9).alias(c) for c in ("input_cost", "output_cost", "cost")])
 
 
-@query(f"""SELECT l_orderkey, CAST(sum(input_tokens + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(sum(input_cost + output_cost), 6) AS cost,
+@query(f"""SELECT l_orderkey, CAST(sum(input_tokens + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(sum(input_cost + output_cost) * CASE WHEN bool_or(l_linenumber = 5) THEN 0.5 ELSE 1 END, 6) AS cost, round(sum(input_cost + output_cost), 6) AS listed,
  string_agg(content_type || ':' || input_tokens, ',' ORDER BY l_linenumber, content_type, input_tokens) AS items FROM {PRICED} x GROUP BY 1""")
 def price_breakdown(spark, d):
-    t = pricing.totals(pricing.priced(_items(spark, d), pricing.price_table(spark)), "l_orderkey", "l_linenumber")
+    p = pricing.priced(_items(spark, d), pricing.price_table(spark)).withColumn("flex", F.col("l_linenumber") == 5)
+    t = pricing.totals(p, "l_orderkey", "l_linenumber", "flex")
+    listed = F.aggregate("breakdown", F.lit(0.0), lambda a, b: a + b["cost"])
     items = F.array_join(F.transform("breakdown", lambda b: F.concat(b["content_type"], F.lit(":"), b["input_tokens"].cast("string"))), ",")
-    return t.select("l_orderkey", "tokens", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), items.alias("items"))
+    return t.select("l_orderkey", "tokens", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), F.round(listed, 6).alias("listed"), items.alias("items"))
 
 
 @query("SELECT l_orderkey, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS tokens, CAST(sum(l_linenumber) AS BIGINT) AS input_tokens, CAST(sum(l_linenumber * 2) AS BIGINT) AS output_tokens, bool_and(l_returnflag <> 'R') AS all_flex, CASE WHEN bool_or(l_returnflag = 'R') THEN 'standard' ELSE 'flex' END AS tier FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_linenumber = 6)")
@@ -158,11 +198,11 @@ def upload_estimates(spark, d):
     return table(spark, d, "events").select("event_id", e["tokens"].alias("tokens"), F.round(e["cost"], 6).alias("cost"), e["processing"].alias("processing"))
 
 
-@query("""SELECT event_id, strftime(ts, '%m/%d %H:%M') AS at, (s // 3600) || 'h ' || (s // 60 % 60) || 'm' AS length, CASE WHEN s >= 1000000 THEN printf('%.2fM', s / 1e6) WHEN s >= 1000 THEN printf('%.1fk', s / 1e3) ELSE CAST(s AS VARCHAR) END AS short
+@query("""SELECT event_id, strftime(ts, '%m/%d %H:%M') AS at, (s // 3600) || 'h ' || (s // 60 % 60) || 'm' AS length, CASE WHEN s >= 1000000 THEN printf('%.2fM', s / 1e6) WHEN s >= 1000 THEN printf('%.1fk', s / 1e3) ELSE CAST(s AS VARCHAR) END AS short, format('{:,}', s) AS full, printf('$%.4f', floor(s * 156.25e0 + 0.5e0) / 10000) AS price
  FROM (SELECT *, event_id * 311 % 5000000 // 100 * 100 + 30 AS s FROM events)""")
 def display_texts(spark, d):
     s = F.floor(F.col("event_id") * 311 % 5000000 / 100) * 100 + 30
-    return table(spark, d, "events").select("event_id", scalars.short_date(F.col("ts")).alias("at"), scalars.hours_minutes(s).alias("length"), scalars.short_number(s).alias("short"))
+    return table(spark, d, "events").select("event_id", scalars.short_date(F.col("ts")).alias("at"), scalars.hours_minutes(s).alias("length"), scalars.short_number(s).alias("short"), scalars.thousands(s).alias("full"), scalars.money(s / 64.0).alias("price"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a,b' ELSE '' END AS keys, CASE WHEN doc_id % 3 = 0 THEN 'deep' END AS nested FROM documents")
@@ -173,14 +213,14 @@ def json_fallback(spark, d):
 
 
 @query("""SELECT page_id, contains(url, 'youtube.com') OR contains(url, 'youtu.be') OR page_id % 4 = 0 AS video, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 86400000 * (page_id % 300) END AS ms, page_id % 3 = 0 AS family,
- CAST(CASE WHEN page_id % 2 = 0 THEN page_id + 0.2 ELSE page_id + 0.8 END AS DOUBLE) AS even, 'session-' || (86400000 * (page_id % 300)) || '-z' AS client FROM pages""")
+ CAST(format('{:.2f}', page_id + CASE page_id % 4 WHEN 0 THEN 0.25e0 WHEN 1 THEN 0.675e0 WHEN 2 THEN 0.125e0 ELSE 0.005e0 END) AS DOUBLE) AS even, 'session-' || (86400000 * (page_id % 300)) || '-z' AS client FROM pages""")
 def odd_scalars(spark, d):
     k = F.col("page_id")
     url = F.when(k % 4 == 0, "https://youtu.be/x").otherwise(F.col("url"))
     day = F.date_add(F.lit("1970-01-01").cast("date"), (k % 300).cast("int"))
     model = F.when(k % 3 == 0, "gemini-3.5-flash").otherwise("gemini-2.5-flash")
-    half = F.when(k % 2 == 0, k + F.lit(0.25).cast("decimal(4,2)")).otherwise(k + F.lit(0.75).cast("decimal(4,2)"))
-    return table(spark, d, "pages").select("page_id", scalars.is_video_site(url).alias("video"), scalars.millis(F.when(k % 2 == 0, "no time").otherwise(day.cast("string"))).alias("ms"), model.startswith("gemini-3").alias("family"), scalars.half_even(half, 1).cast("double").alias("even"), scalars.client_id("session", day, F.lit(35)).alias("client"))
+    half = k + F.element_at(F.array(*map(F.lit, (0.25, 0.675, 0.125, 0.005))), (k % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", scalars.is_video_site(url).alias("video"), scalars.millis(F.when(k % 2 == 0, "no time").otherwise(day.cast("string"))).alias("ms"), scalars.of_family(model, "gemini-3").alias("family"), scalars.half_even(half, 2).alias("even"), scalars.client_id("session", day, F.lit(35)).alias("client"))
 
 
 @query("SELECT doc_id, 'From ' || CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE lang END || ': ' || CASE WHEN doc_id % 2 = 0 THEN 'many. ' ELSE '' END || CASE WHEN lang <> 'en' THEN (CASE WHEN doc_id % 2 = 0 THEN '7' ELSE '6' END) || ' to English' ELSE '' END AS prompt FROM documents WHERE lang IS NOT NULL")

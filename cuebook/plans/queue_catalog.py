@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuebook.functions.scalars import millis
 from cuebook.operators import batches, queue, tasklog, timeline
 from cuebook.plans.shared_sql import LOG
 from cuebook.sources.tables import table, task_log
 
 QUERIES, ORACLES = {}, {}
-JOBS = "(SELECT c_custkey AS batch_id, CASE c_nationkey % 6 WHEN 0 THEN 'UPLOADING' WHEN 1 THEN 'POLLING' WHEN 2 THEN 'RECOVERING' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'FAILED' ELSE 'RETRIEVED' END AS status, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS alive, c_custkey % 600 AS elapsed FROM customer)"
+NOW = "2024-01-01 00:00:00"
+JOBS = "(SELECT c_custkey AS batch_id, CASE c_nationkey % 6 WHEN 0 THEN 'UPLOADING' WHEN 1 THEN 'POLLING' WHEN 2 THEN 'RECOVERING' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'FAILED' ELSE 'RETRIEVED' END AS status, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS alive, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 600 END AS elapsed FROM customer)"
 STATE = "CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END"
 
 
@@ -28,32 +30,46 @@ def _jobs(spark, d):
     entry = lambda i: F.struct(F.concat(F.lit("u"), i.cast("string")).alias("file_uid"), F.concat(F.lit("f"), i.cast("string"), F.lit(".mp3")).alias("original_filename"))
     places = F.sequence(F.lit(0), (k % 11 + 1).cast("int"))
     files = F.map_from_arrays(F.transform(places, lambda i: i.cast("string")), F.transform(places, entry))
-    return c.select(k.alias("batch_id"), state.alias("status"), F.when(k % 3 < 2, k % 3 == 0).alias("alive"), (k % 600).alias("elapsed"), F.when(k % 2 == 0, k % 4).alias("file_count"), F.when(k % 5 > 0, F.concat(F.lit("s"), (k % 50).cast("string"))).otherwise("").alias("session_id"), F.when(k % 7 > 0, F.to_json(files)).otherwise('{"broken').alias("file_mapping_json"))
+    return c.select(k.alias("batch_id"), state.alias("status"), F.when(k % 3 < 2, k % 3 == 0).alias("alive"), F.when(k % 13 > 0, F.expr(f"timestamp_ntz'{NOW}'") - F.make_interval(secs=(k % 600).cast("decimal(18,6)"))).alias("created_at"), F.when(k % 2 == 0, F.expr(f"timestamp_ntz'{NOW}'")).alias("updated_at"), F.when(k % 2 == 0, k % 4).alias("file_count"), F.when(k % 5 > 0, F.concat(F.lit("s"), (k % 50).cast("string"))).otherwise("").alias("session_id"), F.when(k % 7 > 0, F.to_json(files)).otherwise('{"broken').alias("file_mapping_json"))
 
 
 @query(f"""SELECT batch_id, status, CASE WHEN status IN ('UPLOADING', 'POLLING', 'RECOVERING') THEN CASE WHEN alive IS NOT NULL THEN alive WHEN elapsed > 300 THEN false END END AS is_alive,
- CASE WHEN batch_id % 2 = 0 AND batch_id % 4 > 0 THEN batch_id % 4 WHEN batch_id % 7 > 0 THEN batch_id % 11 + 2 ELSE 0 END AS files, CASE WHEN batch_id % 5 > 0 THEN 's' || (batch_id % 50) ELSE CAST(batch_id AS VARCHAR) END AS session_id,
- CASE WHEN batch_id % 7 > 0 THEN (SELECT string_agg('f' || i || '.mp3', ',' ORDER BY i) FROM generate_series(0, batch_id % 11 + 1) t(i)) END AS names FROM {JOBS} j""")
+ CASE WHEN batch_id % 2 = 0 AND batch_id % 4 > 0 THEN batch_id % 4 WHEN batch_id % 7 > 0 THEN batch_id % 11 + 2 ELSE 0 END AS file_count, strftime(TIMESTAMP '2024-01-01' - to_seconds(elapsed), '%Y-%m-%d %H:%M:%S') AS created_at, CASE WHEN batch_id % 2 = 0 THEN '2024-01-01 00:00:00' END AS updated_at, CAST(elapsed AS DOUBLE) AS elapsed_seconds, CASE WHEN batch_id % 5 > 0 THEN 's' || (batch_id % 50) ELSE CAST(batch_id AS VARCHAR) END AS session_id,
+ CASE WHEN batch_id % 7 > 0 THEN (SELECT string_agg('u' || i || ':f' || i || '.mp3', ',' ORDER BY i) FROM generate_series(0, batch_id % 11 + 1) t(i)) END AS names FROM {JOBS} j""")
 def batch_tasks(spark, d):
-    return batches.task_rows(_jobs(spark, d), F.col("alive"), F.col("elapsed")).select("batch_id", "status", "is_alive", F.col("files").cast("long").alias("files"), "session_id", F.array_join("names", ",").alias("names"))
+    t = batches.task_rows(_jobs(spark, d), F.col("alive"), F.expr(f"timestamp_ntz'{NOW}'"))
+    named = F.array_join(F.transform("files", lambda f: F.concat(f["file_uid"], F.lit(":"), f["original_filename"])), ",")
+    return t.withColumn("names", named).withColumn("file_count", F.col("file_count").cast("long")).drop("files")
 
 
-@query(f"""SELECT batch_id, status IN ('POLLING', 'UPLOADING', 'RECOVERING') AS running, status IN ('COMPLETED', 'RETRIEVED') AS done, coalesce(status = 'UPLOADING' AND NOT alive, false) AS dead_upload, status <> 'FAILED' AS shown FROM {JOBS} j""")
+#: Batches and single tasks as items of sessions.
+ITEMS = f"""(SELECT 'b' || batch_id AS id, batch_id % 50 AS session, false AS single, status, alive FROM {JOBS} j UNION ALL SELECT 't' || task_id, batch_id % 90, true, status, NULL FROM {LOG} l)"""
+IS_RUNNING = "CASE WHEN single THEN status = 'PROCESSING' ELSE status IN ('POLLING', 'UPLOADING', 'RECOVERING') END"
+IS_DONE = "CASE WHEN single THEN status IN ('COMPLETED', 'FAILED') ELSE status IN ('COMPLETED', 'RETRIEVED') END"
+
+
+def _kinds(spark, d):
+    jobs = _jobs(spark, d).select(F.concat(F.lit("b"), F.col("batch_id").cast("string")).alias("id"), (F.col("batch_id") % 50).alias("session"), F.lit(False).alias("single"), "status", "alive")
+    tasks = task_log(spark, d).select(F.concat(F.lit("t"), F.col("task_id").cast("string")).alias("id"), (F.col("batch_id") % 90).alias("session"), F.lit(True).alias("single"), "status")
+    return queue.widened(jobs, tasks)
+
+
+@query(f"SELECT id, {IS_RUNNING} AS running, {IS_DONE} AS done, coalesce(NOT single AND status = 'UPLOADING' AND NOT alive, false) AS dead_upload, single OR status <> 'FAILED' AS shown FROM {ITEMS} i")
 def status_flags(spark, d):
-    f = queue.flags(F.col("status"), F.col("alive"))
-    return _jobs(spark, d).select("batch_id", *[c.alias(n) for n, c in f.items()])
+    f = queue.flags(F.col("status"), F.col("alive"), F.col("single"))
+    return _kinds(spark, d).select("id", *[c.alias(n) for n, c in f.items()])
 
 
-@query(f"SELECT batch_id % 50 AS session, bool_or(status IN ('POLLING', 'UPLOADING', 'RECOVERING')) AS running, bool_or(status IN ('COMPLETED', 'RETRIEVED')) AS done FROM {JOBS} j GROUP BY 1")
+@query(f"SELECT session, bool_or({IS_RUNNING}) AS running, bool_or({IS_DONE}) AS done FROM {ITEMS} i GROUP BY 1")
 def session_flags(spark, d):
-    f = queue.flags(F.col("status"), F.col("alive"))
-    return queue.any_of(_jobs(spark, d).withColumn("session", F.col("batch_id") % 50), "session", running=f["running"], done=f["done"])
+    f = queue.flags(F.col("status"), F.col("alive"), F.col("single"))
+    return queue.any_of(_kinds(spark, d), "session", running=f["running"], done=f["done"])
 
 
-@query("SELECT event_id, event_type, coalesce(p <> event_type AND NOT (p = 'view' AND event_type = 'click') , false) IS NOT NULL AS seen, p AS before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
+@query("SELECT event_id, event_type, p IS NULL OR p = event_type AS same, p AS before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
 def state_before(spark, d):
     c = batches.state_changes(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
-    return c.select("event_id", "event_type", F.col("valid").isNotNull().alias("seen"), "before")
+    return c.select("event_id", "event_type", F.coalesce("valid", F.lit(False)).alias("same"), "before")
 
 
 MOVES = " OR ".join(f"(p = '{a}' AND s IN ({', '.join(repr(b) for b in bs)}))" for a, bs in batches.MOVES.items() if bs)
@@ -92,7 +108,7 @@ def queue_intake(spark, d):
     k = F.col("c_custkey")
     own = F.when(k % 3 == 0, "own").when(k % 3 == 1, "")
     c = queue.taken_in(table(spark, d, "customer").select("c_custkey", own.alias("status"), F.when(k % 2 == 0, k).alias("percent")))
-    keys = F.array_join(F.filter(F.array(F.lit(" "), F.lit("k1"), F.lit("")), lambda x: F.trim(x) != ""), ",")
+    keys = F.array_join(queue.filled_keys(F.array(F.lit(" "), F.lit("k1"), F.lit(""))), ",")
     return c.select("c_custkey", queue.either(own, F.lit("batch")).alias("either"), queue.either(own, F.lit("batch"), True).alias("given"), "status", "percent", keys.alias("keys"))
 
 
@@ -117,12 +133,14 @@ def queue_totals(spark, d):
 
 @query(f"SELECT count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 7) AS cost, round(sum(duration), 3) AS duration, count(DISTINCT coalesce(session_id, '')) AS groups FROM {LOG} l")
 def result_summary(spark, d):
-    return task_log(spark, d).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 7).alias("cost"), F.round(F.sum("duration"), 3).alias("duration"), F.countDistinct(F.coalesce("session_id", F.lit(""))).alias("groups"))
+    log = task_log(spark, d)
+    whole = queue.summary(log).select("n", "tokens", F.round("cost", 7).alias("cost"), F.round("duration", 3).alias("duration"))
+    return whole.withColumn("groups", log.select(F.coalesce("session_id", F.lit(""))).distinct().agg(F.count("*")).scalar())
 
 
 @query(f"SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 7) AS cost FROM {LOG} l GROUP BY 1")
 def group_totals(spark, d):
-    return task_log(spark, d).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 7).alias("cost"))
+    return queue.summary(task_log(spark, d), "session_id").select("session_id", "tokens", F.round("cost", 7).alias("cost"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey > 0 THEN CAST(round(s_suppkey % 30 * 100.0 / s_nationkey) AS BIGINT) END AS percent, coalesce(round(s_suppkey % 30 * 100.0 / nullif(s_nationkey, 0)) > 80, false) AS high FROM supplier")
@@ -147,10 +165,13 @@ def task_clusters(spark, d):
     return timeline.clusters(table(spark, d, "events").select("event_id", "ts", "event_type"), "ts", "event_type", "event_id").select("event_id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query(f"SELECT (SELECT count(*) FROM {LOG} l WHERE session_id IS NULL) AS orphans, (SELECT count(*) FROM {LOG} l WHERE session_id IS NOT NULL) AS held, (SELECT count(*) FROM (SELECT DISTINCT title FROM {LOG} l)) AS paths")
+@query(f"SELECT task_id, CASE WHEN session_id IS NULL THEN 'orphan' ELSE 'held' END AS part FROM {LOG} l UNION ALL SELECT min(task_id), 'path' FROM {LOG} l GROUP BY title")
 def orphan_split(spark, d):
-    log = task_log(spark, d)
-    return log.agg(F.count(F.when(F.col("session_id").isNull(), 1)).alias("orphans"), F.count("session_id").alias("held"), F.countDistinct("title").alias("paths"))
+    log = task_log(spark, d).select("task_id", "session_id", "title")
+    orphans, held = queue.split(log, F.col("session_id").isNull())
+    paths = log.groupBy("title").agg(F.min("task_id").alias("task_id"))
+    tag = lambda rows, name: rows.select("task_id", F.lit(name).alias("part"))
+    return tag(orphans, "orphan").unionByName(tag(held, "held")).unionByName(tag(paths, "path"))
 
 
 @query(f"SELECT batch_id, k AS place, 'f' || (k - 1) || '.mp3' AS name FROM {JOBS} j, generate_series(1, 12) t(k) WHERE batch_id % 7 > 0 AND k <= batch_id % 11 + 2")
@@ -171,8 +192,8 @@ def model_provider(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, 0.0) AS duration, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_name END, '') AS log FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def file_values(spark, d):
     known = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("duration"), F.col("p_name").alias("log"))
-    files = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(known, "l_partkey", "left")
-    return files.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("duration", F.lit(0.0)).alias("duration"), F.coalesce("log", F.lit("")).alias("log"))
+    files = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return queue.looked_up(files, known, "l_partkey", {"duration": F.lit(0.0), "log": F.lit("")})
 
 
 @query("SELECT event_id, c AS connection FROM events JOIN (SELECT o_custkey AS user_id, max(o_orderkey) AS c FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) o ON events.user_id = o.user_id")
@@ -184,7 +205,7 @@ def event_routing(spark, d):
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def uploaded_members(spark, d):
     bought = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("o_custkey"))
-    return table(spark, d, "orders").join(bought, "o_custkey", "left_semi").select("o_orderkey")
+    return queue.members(table(spark, d, "orders"), bought, "o_custkey").select("o_orderkey")
 
 
 @query(f"""SELECT user_id, coalesce(first(s ORDER BY ts, event_id) FILTER (WHERE s <> 'PROCESSING'), last(s ORDER BY ts, event_id)) AS status, coalesce(first(event_id ORDER BY ts, event_id) FILTER (WHERE s <> 'PROCESSING'), last(event_id ORDER BY ts, event_id)) AS event_id
@@ -203,10 +224,37 @@ def event_targets(spark, d):
     return queue.addressed(e, files).select("event_id", "file_uid")
 
 
-@query(f"""SELECT batch_id, k - 1 AS place, 'u' || (k - 1) AS file_uid, CASE WHEN status IN ('COMPLETED', 'FAILED', 'RETRIEVED') THEN status ELSE 'POLLING' END AS status FROM {JOBS} j, generate_series(1, 12) t(k) WHERE batch_id % 7 > 0 AND k <= batch_id % 11 + 2
- UNION ALL SELECT batch_id, NULL, NULL, CASE WHEN status IN ('COMPLETED', 'FAILED', 'RETRIEVED') THEN status ELSE 'FAILED' END FROM {JOBS} j WHERE batch_id % 7 = 0""")
+BROKEN = "batch_id % 7 = 0 OR batch_id % 17 = 0"
+ENDED = "status IN ('COMPLETED', 'FAILED', 'RETRIEVED')"
+
+
+def _stored(spark, d):
+    """Jobs with durations, log ids and parameters in their JSON, some of it broken or missing."""
+    k = F.col("batch_id")
+    each = F.sequence(F.lit(0), (k % 11 + 1).cast("int"))
+    uids = F.transform(each, lambda i: F.concat(F.lit("u"), i.cast("string")))
+    durations = F.to_json(F.map_from_arrays(F.filter(uids, lambda u: u != "u1"), F.transform(F.filter(each, lambda i: i != 1), lambda i: i * 1.5)))
+    logs = F.to_json(F.map_from_arrays(uids, F.transform(each, lambda i: F.concat(k.cast("string"), F.lit("-"), i.cast("string")))))
+    params = F.to_json(F.struct(F.lit("m").alias("model"), F.when(k % 2 == 0, "openai").alias("provider"), F.lit("ja").alias("source_lang")))
+    return _jobs(spark, d).withColumns({"file_durations_json": durations, "file_log_uuids_json": F.when(k % 3 > 0, logs), "task_params_json": F.when(k % 17 > 0, params).otherwise("[broken")})
+
+
+@query(f"""SELECT batch_id, k - 1 AS place, 'u' || (k - 1) AS file_uid, CASE WHEN k = 2 THEN 0.0 ELSE (k - 1) * CAST(1.5 AS DOUBLE) END AS duration, CASE WHEN batch_id % 3 > 0 THEN batch_id || '-' || (k - 1) ELSE '' END AS task_id, 'm' AS model,
+ CASE WHEN batch_id % 2 = 0 THEN 'openai' ELSE 'google' END AS provider, 'ja' AS source_lang, CASE WHEN {ENDED} THEN status ELSE 'POLLING' END AS status FROM {JOBS} j, generate_series(1, 12) t(k) WHERE NOT ({BROKEN}) AND k <= batch_id % 11 + 2
+ UNION ALL SELECT batch_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN {ENDED} THEN status ELSE 'FAILED' END FROM {JOBS} j WHERE {BROKEN}""")
 def recovered_jobs(spark, d):
-    return queue.recovered(_jobs(spark, d)).select("batch_id", F.col("place").cast("long").alias("place"), "file_uid", "status")
+    r = queue.recovered(_stored(spark, d))
+    return r.select("batch_id", F.col("place").cast("long").alias("place"), "file_uid", "duration", "task_id", "model", "provider", "source_lang", "status")
+
+
+@query(f"""SELECT batch_id, k - 1 AS place, CASE WHEN batch_id % 4 = 0 THEN 'POLLING' WHEN batch_id % 4 = 1 THEN 'FAILED' WHEN k > 3 THEN 'RECOVERING' WHEN k = 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+ CASE WHEN batch_id % 4 > 1 AND k IN (1, 3) THEN 'said ' || (k - 1) END AS text FROM {JOBS} j, generate_series(1, 12) t(k) WHERE NOT ({BROKEN}) AND k <= batch_id % 11 + 2""")
+def replayed_jobs(spark, d):
+    """Recovered files met by the service's state of each job and its first three answers, the second of them failed."""
+    jobs, k = _stored(spark, d), F.col("batch_id")
+    states = jobs.where(k % 8 > 0).select("batch_id", F.when(k % 4 == 0, "JOB_STATE_RUNNING").when(k % 4 == 1, "JOB_STATE_EXPIRED").otherwise("JOB_STATE_SUCCEEDED").alias("state"))
+    answers = jobs.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("place")).withColumn("text", F.when(F.col("place") != 1, F.concat(F.lit("said "), F.col("place").cast("string"))))
+    return queue.replayed(queue.recovered(jobs), answers, states).select("batch_id", F.col("place").cast("long").alias("place"), "status", "text")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size > 10 AND p_size <= 40 AND p_partkey % 3 < 2")
@@ -220,31 +268,33 @@ def accepted_uploads(spark, d):
 @query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey % 2 = 0 AS own FROM nation UNION ALL SELECT r_regionkey + 100, r_name, NULL, NULL FROM region")
 def new_columns(spark, d):
     base = table(spark, d, "nation").withColumn("own", F.col("n_nationkey") % 2 == 0)
-    return base.unionByName(table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name")), allowMissingColumns=True)
+    return queue.widened(base, table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name")))
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name, 'empty' AS was FROM customer UNION ALL SELECT c_custkey, c_name, 'full' FROM customer WHERE c_custkey % 2 = 0")
 def seeded(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return batches.seeded(batches.seeded(c.where("false"), c), c.limit(1))
+    full = c.where("c_custkey % 2 = 0")
+    return batches.seeded(c.where("c_custkey < 0"), c).withColumn("was", F.lit("empty")).unionByName(batches.seeded(full, c).withColumn("was", F.lit("full")))
 
 
 @query(f"SELECT batch_id, status FROM {JOBS} j WHERE status IN ('UPLOADING', 'POLLING', 'RECOVERING', 'COMPLETED')")
 def live_jobs(spark, d):
-    return _jobs(spark, d).where(F.col("status").isin(*batches.LIVE, "COMPLETED")).select("batch_id", "status")
+    return tasklog.in_states(_jobs(spark, d), (*batches.LIVE, "COMPLETED")).select("batch_id", "status")
 
 
 @query("SELECT n_name AS provider, r_name AS model, CASE WHEN n_nationkey % 2 = 0 THEN 'a,b' ELSE '' END AS keys FROM nation JOIN region ON n_regionkey = r_regionkey")
 def provider_settings(spark, d):
     """nation in the role of stored provider settings, key lists as JSON, some of them broken."""
-    from cuebook.functions.scalars import text_list
-
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.when(F.col("n_nationkey") % 2 == 0, '["a","b"]').otherwise("{broken")
-    return n.select(F.col("n_name").alias("provider"), F.col("r_name").alias("model"), F.array_join(text_list(text), ",").alias("keys"))
+    stored = n.select(F.col("n_name").alias("provider"), F.col("r_name").alias("model"), text.alias("keys_json"))
+    return queue.settings(stored).withColumn("keys", F.array_join("keys", ","))
 
 
-@query(f"SELECT session_id, min(requested_at) AS started_at FROM {LOG} l WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1")
+@query(f"""SELECT session_id, started_at, row_number() OVER (ORDER BY coalesce(epoch_ms(TRY_CAST(started_at AS TIMESTAMP)), 0) DESC, first) AS place FROM
+ (SELECT session_id, min(task_id) AS first, CASE WHEN min(task_id) % 4 = 0 THEN 'no time' ELSE strftime(min(requested_at), '%Y-%m-%d') END AS started_at FROM {LOG} l WHERE session_id IS NOT NULL GROUP BY 1)""")
 def sessions_by_start(spark, d):
-    s = task_log(spark, d).where("session_id is not null").groupBy("session_id").agg(F.min("requested_at").alias("started_at"))
-    return tasklog.latest(s, "session_id", "started_at").orderBy(F.col("started_at").desc(), "session_id")
+    s = task_log(spark, d).where("session_id is not null").groupBy("session_id").agg(F.min("task_id").alias("first"), F.date_format(F.min("requested_at"), "yyyy-MM-dd").alias("started_at"))
+    s = s.withColumn("started_at", F.when(F.col("first") % 4 == 0, "no time").otherwise(F.col("started_at")))
+    return queue.by_start(s, millis(F.col("started_at")), "first").drop("first")

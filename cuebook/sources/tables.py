@@ -32,6 +32,10 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 > 0, F.concat(F.lit("s-"), (F.col("o_custkey") % 100).cast("string"))).alias("session_id"),
         F.concat(F.lit("f"), key.cast("string")).alias("file_uid"),
         F.when(key % 2 == 0, F.concat(F.lit("[00:01.00] "), "o_orderpriority")).alias("lrc_content"),
+        F.when(key % 4 == 0, "Google").when(key % 4 == 1, "OpenAI").alias("provider"),
+        F.when(key % 3 > 0, "ja-JP").alias("source_language"),
+        F.when(key % 6 == 1, "zh-TW").alias("target_language"),
+        F.when(status == "FAILED", F.concat(F.lit("code "), (key % 5 + 500).cast("string"))).alias("error_message"),
     )
 
 
