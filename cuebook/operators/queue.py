@@ -191,10 +191,11 @@ def recovered(jobs: DataFrame) -> DataFrame:
     duration (0 if not stored), task_id ('' if not stored), segments, model, provider, source_lang, target_lang, prompt, and the status that work goes on from.
 
     A job that isn't at an end goes on polling; one at an end keeps its status. One whose mapping is broken, empty or null, or any of whose other columns is broken, has failed, and
-    keeps a row without a file. Other columns that are null or blank count as empty."""
+    keeps a row without a file. Other columns that are null, blank or not there count as empty."""
     kinds = {"file_mapping_json": f"map<string, struct<{_FILE}>>", "file_durations_json": "map<string, double>", "file_log_uuids_json": "map<string, string>", "task_params_json": "struct<model: string, provider: string, source_lang: string, target_lang: string, prompt: string>"}
     names = dict(zip(kinds, ("_files", "_durations", "_logs", "_params"), strict=True))
-    d = jobs.withColumns({names[c]: F.from_json(c, k) for c, k in kinds.items()})
+    d = jobs.withColumns({c: F.lit(None).cast("string") for c in kinds if c not in jobs.columns})
+    d = d.withColumns({names[c]: F.from_json(c, k) for c, k in kinds.items()})
     whole = {c: F.from_json(c, "map<string, string>") for c in kinds}
     broken = F.lit(False)
     for c in kinds:

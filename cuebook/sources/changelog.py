@@ -14,7 +14,7 @@ class ChangeLog:
 
     A change is a whole row (insert or upsert), some columns of a row (update; of a key that isn't there it changes nothing), or a deletion. Later versions win, and within a version
     the greater order. Nothing is rewritten until compact(), which reads and replaces the buckets with changes since the last one and leaves the other files as they are.
-    Null keys aren't kept. One writer at a time; a compaction that is cut off is repeated from the start."""
+    Null keys aren't kept. A frame read before a compaction isn't valid after it. One writer at a time; a compaction that is cut off is repeated from the start."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, schema: StructType | str, buckets: int = 64):
         self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
