@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Spans of time whose rows are counted, each within the ones before.
 SPANS = ("year", "day", "hour", "minute", "second", "millisecond")
@@ -58,11 +59,13 @@ class Pages:
         order = newest_first(self.time, self.key)
         parts = max(1, -(-log.count() // rows_a_part))
         d = log.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        log.limit(0).write.mode("overwrite").parquet(f"{self.folder}/schema")
         d.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/rows")
         self._rows().groupBy("part").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/counts")
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        schema = self.spark.read.parquet(f"{self.folder}/schema").schema
+        return self.spark.read.schema(schema.add("part", IntegerType())).parquet(f"{self.folder}/rows")
 
     def page(self, number: int, size: int) -> DataFrame:
         """Page number (from 1) of size rows; none beyond the end."""

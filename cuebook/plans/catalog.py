@@ -9,6 +9,8 @@ from cuebook.functions import scalars
 from cuebook.operators import tasklog, timeline
 from cuebook.plans import history_catalog, queue_catalog, segment_catalog
 from cuebook.plans.shared_sql import CUES, ENDS, LOG, STATS
+from cuebook.sources import sinks
+from cuebook.sources.scratch import new_folder
 from cuebook.sources.tables import cues, lyrics, table, task_log
 
 from_ = (segment_catalog, history_catalog, queue_catalog)
@@ -176,6 +178,16 @@ def convert_formats(spark, d):
     return timeline.converted(lyrics(spark, d), "lrc")
 
 
+@query("".join(f"{' UNION ALL ' if i else ''}SELECT 'talk_' || file_id || '.{fmt}' AS file, {fmt} AS content FROM ({ORACLES['convert_formats']}) c" for i, fmt in enumerate(("lrc", "srt", "vtt", "txt"))))
+def document_files(spark, d):
+    """Every file in four formats, each text written as a file of its own and read again."""
+    folder = new_folder(spark, "documents")
+    made = timeline.converted(lyrics(spark, d), "lrc").select(F.concat(F.lit("talk_"), F.col("file_id").cast("string")).alias("name"), "lrc", "srt", "vtt", "txt")
+    sinks.texts(made.unpivot(["name"], ["lrc", "srt", "vtt", "txt"], "fmt", "text"), folder)
+    back = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return back.select(F.regexp_extract("_metadata.file_name", "([^/]+)$", 1).alias("file"), F.col("value").alias("content"))
+
+
 @query(f"""SELECT file_id, string_agg(CASE WHEN line_no % 5 = 4 THEN line ELSE '[' || lpad(CAST((ms + 65500) // 60000 AS VARCHAR), 2, '0') || ':' || printf('%05.2f', ((ms + 65500) / 1000 + 0e0) - 60 * ((ms + 65500) // 60000)) || ']'
  || substr(line, strpos(line, ']') + 1) END, chr(10) ORDER BY line_no) AS lrc FROM (SELECT file_id, line_no, line, ms - ms % 10 AS ms FROM {LINES} x) l GROUP BY file_id""")
 def shift_times(spark, d):

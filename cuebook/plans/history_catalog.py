@@ -235,3 +235,4 @@ def previews(spark, d):
     listed = queue.grouped(table(spark, d, "conversations"), "conv_id", "turn", "role")
     p = queue.preview(F.col("items"))
     return listed.select("conv_id", F.size("items").cast("long").alias("n"), p["truncated"].alias("truncated"), F.size(p["preview"]).cast("long").alias("shown"))
+

@@ -1,5 +1,6 @@
 """Hand-worked cases of formats, history, batches and writers."""
 
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -109,6 +110,6 @@ def test_writers(spark, tmp_path):
     assert {(r.a, r.b) for r in sinks.scan(spark, d + "/t").collect()} == {(1, None), (2, "x")}
     sinks.record(spark.createDataFrame([("t", "split", 3.5)], "task_id string, operation string, at double"), d + "/audit")
     assert spark.read.json(d + "/audit").first().details == '{"at":3.5}'
-    log = spark.createDataFrame([("a.mp3", "COMPLETED", "[00:01.00]x\n[00:02.00]y"), ("b.mp3", "FAILED", "[00:01.00]z"), ("c.mp3", "COMPLETED", "plain")], "filename string, status string, transcript string")
+    log = spark.createDataFrame([(1, "a.mp3", "COMPLETED", "[00:01.00]x\n[00:02.00]y"), (2, "b.mp3", "FAILED", "[00:01.00]z"), (3, "c.mp3", "COMPLETED", "plain"), (4, "a.wav", "COMPLETED", "[00:01.00]z")], "task_id int, filename string, status string, transcript string")
     sinks.bundle(log, d + "/out", "TXT")
-    assert [(r.fmt, r.value) for r in spark.read.text(d + "/out").collect()] == [("txt", '{"name":"a.mp3","text":"x\\ny"}')]
+    assert {f: (tmp_path / "out" / f).read_text() for f in os.listdir(d + "/out")} == {"a.txt": "x\ny", "a(1).txt": "z"}
