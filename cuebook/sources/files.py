@@ -30,7 +30,7 @@ class _Staging:
     """Files that tasks write aside, each attempt in a folder of its own, until the driver takes those of the attempts that count."""
 
     def __init__(self, path: str):
-        self.path, self.run = path, f"_staging/{uuid.uuid4().hex}"
+        self.path, self.run = path, f"_staging-{uuid.uuid4().hex}"
 
     def attempt(self) -> str:
         context = TaskContext.get()
