@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cuebook.llm.common import Scratch, hash_sample
 from cuebook.llm.neardup import FINE
 
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 ROW_BLOCK, BLOCKS, QUERY_BLOCK = 1024, 16, 1024
 
 
@@ -65,20 +66,26 @@ def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     """(query_id, rank, vec_id, score): each query's k nearest found rows other than rows of its own id, by Euclidean distance, ties to the smaller id.
 
     share: part of the indexed rows that a query's cells hold at least, at every size; 1 is exact. codes: centroids a half. sample bounds the vectors (about so
-    many, by smallest hash of id) that fit the codebooks; every row is indexed. Vectors that are null, zero or hold null or non-finite components take no part,
-    nor do those of another length than the sample's first. Repeated rows are found as often as they occur; of queries that repeat an id the least vector asks.
+    many, by smallest hash of id) that fit the codebooks; every row is indexed. Vectors that are null, zero or hold null or non-finite components take no part. A distance is of
+    vectors of one length: each length that queries have is an index of its own, with its own sample. Repeated rows are found as often as they occur; of queries that repeat an id the least vector asks.
     No rows or no queries give an empty result. Other columns are ignored."""
     spark = rows.sparkSession
     keep = Scratch(spark)
     good, asked = _clean(rows, id_col, vector), _clean(queries, id_col, vector)
-    fit = [np.array(r.v) for r in hash_sample(good, "id", sample).select("v").collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not fit:
-        return spark.createDataFrame([], schema)
-    dim = len(fit[0])
-    x, half = np.array([v for v in fit if len(v) == dim]), (dim + 1) // 2
-    one, two = kmeans(x[:, :half], codes), kmeans(x[:, half:], codes) if dim > half else np.zeros((1, 0))
-    good, asked = good.where(F.size("v") == dim), asked.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    out = spark.createDataFrame([], SCHEMA)
+    for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect():
+        own = F.size("v") == r.n
+        out = out.unionByName(_of_length(keep, good.where(own), asked.where(own), r.n, k, share, codes, sample))
+    return out
+
+
+def _of_length(keep: Scratch, good: DataFrame, asked: DataFrame, dim: int, k: int, share: float, codes: int, sample: int) -> DataFrame:
+    fit = np.array([r.v for r in hash_sample(good, "id", sample).select("v").collect()])
+    if not len(fit):
+        return good.sparkSession.createDataFrame([], SCHEMA)
+    half = (dim + 1) // 2
+    one, two = kmeans(fit[:, :half], codes), kmeans(fit[:, half:], codes) if dim > half else np.zeros((1, 0))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
 
     def assign(batches):
         for b in batches:
