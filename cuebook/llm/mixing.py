@@ -2,7 +2,7 @@
 
 Slot i of the mix takes the i-th golden-ratio point and gives it to the source whose share of the cumulative targets holds it. A source's documents,
 shuffled by hash, lie on a line of words cut into blocks of equal length. Slots are ranked within their source, and the source's r-th slot is joined with
-block r, from the first again after the last. mixed() gives these pieces of documents in slots; mix() sums them by document. Only DataFrame functions are used."""
+block r, from the first again after the last, until the source's target is reached to the word. mixed() gives these pieces of documents in slots; mix() sums them by document. Only DataFrame functions are used."""
 
 from __future__ import annotations
 
@@ -69,7 +69,7 @@ def ranked(slots: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
     """docs' rows as doc_id, size, source_size, target, taken, source.
 
-    size counts runs of anything but ASCII white space (null: 0). taken, the words of the row in the mix, repeats counted, is at most 2 * size. Null sources are one
+    size counts runs of anything but ASCII white space (null: 0). taken, the words of the row in the mix, repeats counted, is at most 2 * size; a source's taken words are its target, rounded. Null sources are one
     source. Empty documents take 0; an empty table gives no rows. Repeated rows and null ids keep their rows, each with its own place on the line; rows alike in
     id, source and size may change places. Other columns are ignored."""
     d, plan = laid(docs, id_col, text, source, block, weights)
@@ -84,24 +84,46 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return pieces(d, plan, block).drop("row")
 
 
+def owed(d: DataFrame) -> DataFrame:
+    """(s, whole, words): size and words to take of each source with words, its target rounded."""
+    return d.where("size > 0").groupBy("source").agg(F.first("source_size").alias("whole"), F.floor(F.first("target") + 0.5).alias("words")).select(F.col("source").alias("s"), "whole", "words")
+
+
+def turned(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """(slot, s, b, upto): the slots that a source needs for its words, with their block and the word of the line that they may reach. Slots beyond go; what a source with too few
+    slots still owes follows in closing slots at the end of the schedule, a few for each source, as the schedule's discrepancy is small."""
+    n, rest = F.ceil(F.col("whole") / block), F.col("words") % F.col("whole")
+    need = owed(d).withColumn("n", n).withColumn("need", F.floor(F.col("words") / F.col("whole")) * n + F.ceil(rest / block))
+    slots = ranked(plan)
+    same = F.col("source").eqNullSafe(F.col("s"))
+    held = slots.join(need, same).where("rank < need")
+    have = slots.groupBy("source").agg(F.count("*").alias("m"))
+    short = need.join(have, same, "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < need")
+    end = slots.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("end"))
+    closing = short.select("s", "whole", "words", "n", "need", "m", F.explode(F.expr("sequence(m, need - 1)")).alias("rank"))
+    place = F.row_number().over(Window.orderBy(F.col("rank") - F.col("m"), F.col("s").isNull(), F.encode("s", "UTF-8")))
+    closing = closing.withColumn("slot", place + end.scalar())
+    both = held.select("slot", "s", "rank", "n", "whole", "words").unionByName(closing.select("slot", "s", "rank", "n", "whole", "words"))
+    return both.select("slot", "s", (F.col("rank") % F.col("n")).alias("b"), (F.col("words") - F.floor(F.col("rank") / F.col("n")) * F.col("whole")).alias("upto"))
+
+
 def pieces(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
-    """The ranked slots of the plan joined with the pieces of documents in their blocks; a block is taken twice at most."""
+    """The slots joined with the pieces of documents in their blocks, the last one cut to what its source owes; a block is taken twice at most."""
     first, last = F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)
     parts = d.where("size > 0").select("row", "doc_id", "source", "a", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest("a", F.col("block") * block), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block)
-    parts = parts.select("row", "doc_id", "source", "block", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), (hi - lo).alias("words"))
-    counts = d.where("size > 0").groupBy("source").agg(F.ceil(F.first("source_size") / block).alias("n")).select(F.col("source").alias("s"), "n")
-    turns = ranked(plan).join(counts, F.col("source").eqNullSafe(F.col("s"))).where("rank < 2 * n").select("slot", "s", (F.col("rank") % F.col("n")).alias("b"))
-    met = turns.join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")))
-    return met.select("row", "slot", "source", "block", "place", "doc_id", "at", "words")
+    parts = parts.select("row", "doc_id", "source", "block", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), lo.alias("lo"), hi.alias("hi"))
+    met = turned(d, plan, block).join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block"))).where("lo < upto")
+    return met.select("row", "slot", "source", "block", "place", "doc_id", "at", (F.least("hi", "upto") - F.col("lo")).alias("words"))
 
 
 def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, weights):
     """(documents on the lines of their sources, with first word a and the source's size and target; schedule)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
-    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
-    d = cut(d.withColumn("row", F.monotonically_increasing_id()).withColumn("h", h).withColumn("part", F.substring("h", 1, PART_DIGITS)))
+    d = d.withColumn("row", F.monotonically_increasing_id())
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))), F.lit(":mix")))  # null ids don't meet in one part
+    d = cut(d.withColumn("h", h).withColumn("part", F.substring("h", 1, PART_DIGITS)))
     sums = cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
     quota = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
     q = quota.withColumnRenamed("source", "qs")

@@ -55,14 +55,8 @@ OP8 = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce
  f AS (SELECT *, whole - coalesce(sum(cap) OVER o, 0) AS rest, weights - coalesce(sum(w) OVER o, 0) AS w_rest FROM w WINDOW o AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  l AS (SELECT min_by(rest / w_rest, cap / w) AS level FROM f WHERE cap / w > rest / w_rest),
  q AS (SELECT source, source_size, k, CASE WHEN level IS NULL OR cap / w <= level THEN cap ELSE level * w END AS target FROM f, l),
- e AS (SELECT *, CASE WHEN k = max(k) FILTER (WHERE target > 0) OVER () THEN 2 ELSE sum(target) OVER (ORDER BY k) / sum(target) OVER () END AS hi, coalesce(sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo FROM q),
- slots AS (SELECT i, CAST(i * 1327217885 % 2147483648 AS DOUBLE) / 2147483648 AS x FROM generate_series(1, (SELECT CAST(ceil(sum(target) / 64) AS BIGINT) FROM q)) t(i)),
- turns AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS r, (source_size + 63) // 64 AS n FROM slots JOIN e ON x >= lo AND x < hi WHERE target > 0),
- uses AS (SELECT k, r % n AS block, count(*) AS times FROM turns WHERE r < 2 * n GROUP BY 1, 2),
- line AS (SELECT d.*, q.k, q.source_size, q.target, sum(size) OVER (PARTITION BY q.k ORDER BY h, doc_id, size, id) - size AS a FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
- parts AS (SELECT id, k, a, size, unnest(generate_series(CAST(a // 64 AS BIGINT), CAST((a + size - 1) // 64 AS BIGINT))) AS block FROM line WHERE size > 0),
- took AS (SELECT id, sum((least(a + size, (p.block + 1) * 64) - greatest(a, p.block * 64)) * times) AS taken FROM parts p JOIN uses u ON p.k = u.k AND p.block = u.block GROUP BY id)
- SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM line LEFT JOIN took USING (id)"""
+ line AS (SELECT d.*, q.source_size, q.target, CAST(floor(q.target + 0.5) AS BIGINT) AS owed, sum(size) OVER (PARTITION BY q.k ORDER BY h, doc_id, size, id) - size AS a FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+ SELECT doc_id, size, source_size, target, CAST(greatest(least(a + size, owed) - a, 0) + greatest(least(a + size, owed - source_size) - a, 0) AS BIGINT) AS taken, source FROM line"""
 
 def _crc_table() -> list[int]:
     """CRC-32 of the numbers 0 to 15, by its polynomial."""
