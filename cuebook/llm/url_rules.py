@@ -42,7 +42,7 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     their rows and pages that are one url share a group. Of rules of equal length the last one listed wins. Html of any length is read whole; other columns are ignored."""
     u = F.col(url)
     seen = F.regexp_replace(F.col(html), r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\z)", " ")
-    tags = F.array_union(F.regexp_extract_all(seen, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*|[^\"'>\s]*)\bcanonical\b[^>]*>"), F.lit(0)), F.regexp_extract_all(seen, F.lit(r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
+    tags = F.filter(F.array_distinct(F.regexp_extract_all(seen, F.lit(r"(?i)<(?:link|meta)\b[^<>]*+>"), F.lit(0))), linking)
     hops = F.transform(tags, lambda t: resolved(decoded(F.trim(F.when(F.lower(F.substring(t, 1, 5)) == "<link", quoted(t, "href")).otherwise(quoted(t, "url")))), u))
 
     base = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"), F.array_distinct(F.filter(F.coalesce(hops, F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("to"))
@@ -60,6 +60,12 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     return met.select("page_id", "host", "path", "rule", F.coalesce("said", "group_verdict", F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("alias_of"))
 
 
+def linking(tag):
+    """Whether a link tag is canonical, a meta tag a refresh. Tags and values are each passed over once, whatever is left open."""
+    rel = F.coalesce(F.regexp_extract(tag, r"(?is)\brel\s*+=\s*+(\"[^\">]*+|'[^'>]*+|[^\"'>\s]++)", 1), F.lit(""))
+    return F.when(F.lower(F.substring(tag, 1, 5)) == "<link", rel.rlike(r"(?i)\bcanonical\b")).otherwise(tag.rlike(r"(?i)http-equiv\s*+=\s*+[\"']?refresh\b"))
+
+
 def ruled(host, path, rules):
     """(rule, verdict) columns of the longest rule that fits host and path; null without one."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
