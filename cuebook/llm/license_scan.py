@@ -83,18 +83,20 @@ def scan(text: str | None, base=BASE, notices=FUZZY):
     if not len(starts):
         return 0, 0, None, None, "", "", 0.0, []
     joined = " ".join(filter(None, np.where(inside, b, np.uint8(32)).tobytes().decode("utf-8", "replace").split(" ")))
+    blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+    word = lambda at: int(np.searchsorted(blanks, at))
     places, labels = [], set()
     for phrase, label in base.items():
         i = joined.find(phrase)
         while i >= 0:
             if (i == 0 or joined[i - 1] == " ") and (i + len(phrase) == len(joined) or joined[i + len(phrase)] == " "):
-                places.append(joined.count(" ", 0, i))
+                places.append(word(i))
                 labels.add(label)
             i = joined.find(phrase, i + 1)
     found, best = [], 1.0 if labels else 0.0
     for phrase, label, edits in notices:
         for lo, hi, e in fuzzy(joined, phrase, edits):
-            found.append((label, joined.count(" ", 0, lo), lo, hi, e))
+            found.append((label, word(lo), lo, hi, e))
             best = max(best, 1 - e / len(phrase))
     every = sorted(labels | {f[0] for f in found})
     return len(starts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(every), best, found
