@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import Shared, hash_sample, lowered, numbers, planes, with_fields, word_hashes
+from cuebook.llm.common import BROADCAST_ROWS, Shared, cut, hash_sample, lowered, numbers, planes, with_fields, word_hashes
 
 BITS = 20
 #: Bytes of a word's beginning that are a term of their own, so that forms of one stem share it.
@@ -107,7 +107,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"key": b["key"], "h": b["h"], "t": [packed(terms(t)) for t in b["text"]]})
 
     kind = dict(base.dtypes)["key"]
-    docs = base.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen.hint("merge"), ["key", "h"]).select("h", "y", "t").persist()
+    chosen = cut(chosen)
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # so that documents that aren't chosen are neither split into terms nor shuffled
+    chosen = F.broadcast(chosen) if few else chosen
+    keys = chosen.select("key", "h").distinct()
+    taken = base.join(F.broadcast(keys) if few else keys, ["key", "h"], "left_semi")
+    docs = taken.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen, ["key", "h"]).select("h", "y", "t").persist()
     n = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
 
     def tally(batches):
