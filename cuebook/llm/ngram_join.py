@@ -342,7 +342,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 
 def hub_named(every: DataFrame, named: DataFrame, copies: int = 1000) -> DataFrame:
-    """every's rows with the component of their class, or their own id; classes of many copies are met by salted keys."""
-    calm, busy = named.where(f"copies <= {copies}").drop("copies"), named.where(f"copies > {copies}").select("n", "key", F.col("component_id").alias("busy"), F.explode(F.expr("sequence(0, 15)")).alias("salt"))
-    out = every.select("id", "n", "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(busy, ["n", "key", "salt"], "left").join(calm, ["n", "key"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("busy", "component_id", "id")).alias("component_id"))
+    """every's rows with the component of their class, or their own id. Rows without shingles meet nothing; classes of more than `copies` rows, or of more than one in BROADCAST_ROWS
+    of all, so that there are at most BROADCAST_ROWS of these, are met by broadcast; only rows of the others are dealt by class."""
+    large = F.col("copies") > max(copies, every.count() // BROADCAST_ROWS)
+    busy, calm = named.where(large).select("n", "key", F.col("component_id").alias("busy")), named.where(~large).drop("copies")
+    full = (F.col("n") > 0) & F.col("id").isNotNull()
+    rows = every.select("id", "n", "key")
+    marked = rows.where(full).join(F.broadcast(busy), ["n", "key"], "left")
+    met = marked.where("busy is null").drop("busy").join(calm, ["n", "key"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    out = met.unionByName(marked.where("busy is not null").select("id", "n", F.col("busy").alias("component_id"))).unionByName(rows.where(~full).select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

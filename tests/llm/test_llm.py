@@ -433,3 +433,21 @@ def test_long_odd_pages_and_texts_are_linear(spark):
     began = time.time()
     got = license_scan.scan("CC by-nc é " * 100_000)
     assert got[:4] == (400_000, 100_000, 0, 399_996) and time.time() - began < 20
+
+
+def test_rows_of_large_classes_are_named_without_meeting(spark):
+    rows = [(i, 3, b"hot") for i in range(50)] + [(100 + i, 4, b"two") for i in range(2)] + [(200, 5, b"own"), (None, 3, b"hot"), *[(300 + i, 0, b"") for i in range(40)]]
+    every = spark.createDataFrame(rows, "id long, n long, key binary")
+    named = spark.createDataFrame([(3, b"hot", 7, 50), (4, b"two", 8, 2)], "n long, key binary, component_id long, copies long")
+    for copies in (10, 1000):
+        out = ngram_join.hub_named(every, named, copies)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
+        want = [(i, n, None if i is None else {3: 7, 4: 8}.get(n, i)) for i, n, _ in rows]
+        assert got == sorted(want, key=str)
+
+
+def test_copies_of_one_text_and_empty_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base) for i in range(1200)] + [(2000 + i, base + f" more{i}") for i in range(30)] + [(3000 + i, "" if i % 2 else None) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c == (0 if i < 3000 else i) for i, c in got.items()) and len(got) == len(rows)
