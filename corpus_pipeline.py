@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuebook.llm import language, mixing, ngram_join, pieces, queries, toxicity
-from cuebook.llm.common import BROADCAST_ROWS, cut, shared_folder
+from cuebook.llm.common import BROADCAST_ROWS, cut, delete, shared_folder
 
 #: Name of the key of rows; no column of a document has it.
 ROW = "row of the pipeline"
@@ -72,7 +72,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            delete(spark, before)  # read to the end
+        before = f"{top}/{name}"
     return docs

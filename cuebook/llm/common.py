@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage, deleted when nothing reads them any more."""
 
@@ -61,11 +66,9 @@ class Scratch:
 
     def free(self, *keep: DataFrame) -> None:
         """Delete the tables other than keep."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path, df in self.paths.items():
             if df is not None and not any(df is k for k in keep):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                delete(self.spark, path)
                 self.paths[path] = None
 
 

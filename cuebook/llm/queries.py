@@ -10,7 +10,8 @@ from cuebook.llm.common import table
 
 
 def _crc(mod: int):
-    return F.crc32(F.col("doc_id").cast("string")) % mod
+    """Remainder of the id's checksum; that of an empty text for a null id."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod
 
 
 def op1_embedding_neardup(spark, sf_dir: str) -> DataFrame:
