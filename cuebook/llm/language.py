@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, Shared, cut, lowered, with_fields
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, Shared, lowered, with_fields
 
 BUCKETS = 4096
 
@@ -57,13 +57,17 @@ def mixture(counts: np.ndarray, like: np.ndarray, penalty: float = 3.0, rounds:
     return out
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 2000) -> tuple[list[str], np.ndarray]:
-    """Languages and their n-gram likelihoods. per_lang bounds the labelled rows used of each language; repeated texts count once.
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 2000, most_langs: int = 256) -> tuple[list[str], np.ndarray]:
+    """Languages and their n-gram likelihoods. per_lang bounds the labelled rows used of each language; repeated texts count once. most_langs bounds the languages
+    learned, those with the most rows used (ties to the smaller name), so that dirty labels don't swell the model.
 
-    Rows without text or lang are left out. The model holds BUCKETS numbers a language, so what reaches the driver doesn't grow with the rows."""
+    Rows without text or lang are left out. The model holds BUCKETS numbers a language, so what reaches the driver doesn't grow with the rows. No rows give no languages."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     keys = rows.groupBy("lang", F.pmod("h", F.lit(64)).alias("part"), "h").agg(F.lit(1).alias("one")).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("k") <= per_lang // 64 + 1)
-    keys = cut(keys.select("lang", "h"))
+    keep = Scratch(df.sparkSession)
+    keys = keep.cut(keys.select("lang", "h"))
+    common = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    keys = keys.join(F.broadcast(common), "lang", "left_semi")
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # so that texts that aren't chosen are never shuffled
     chosen = rows.join(F.broadcast(keys) if few else keys, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
@@ -77,9 +81,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
             yield pd.DataFrame({"lang": [name], "c": [c.tolist()]})
 
     parts = chosen.select("lang", "text").mapInPandas(count, "lang string, c array<double>")
-    table = parts.select("lang", F.posexplode("c").alias("g", "c")).groupBy("lang", "g").agg(F.sum("c").alias("c")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("g", "c"))).alias("c")).orderBy("lang").collect()
+    sums = parts.select("lang", F.posexplode("c").alias("g", "c")).groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    table = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "c"))), lambda x: x["c"]).alias("c")).orderBy("lang").collect()
+    keep.free()
     names = [r.lang for r in table]
-    like = np.array([[x.c for x in r.c] for r in table], float).T if table else np.zeros((BUCKETS, 0))
+    like = np.array([r.c for r in table], float).T if table else np.zeros((BUCKETS, 0))
     like = np.round(like, 6) + 0.5
     return names, like / like.sum(axis=0, keepdims=True) if table else like
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, Shared, cut, hash_sample, lowered, numbers, planes, with_fields, word_hashes
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, Shared, hash_sample, lowered, numbers, planes, with_fields, word_hashes
 
 BITS = 20
 #: Bytes of a word's beginning that are a term of their own, so that forms of one stem share it.
@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"key": b["key"], "h": b["h"], "t": [packed(terms(t)) for t in b["text"]]})
 
     kind = dict(base.dtypes)["key"]
-    chosen = cut(chosen)
+    keep = Scratch(docs.sparkSession)
+    chosen = keep.cut(chosen)
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # so that documents that aren't chosen are neither split into terms nor shuffled
     chosen = F.broadcast(chosen) if few else chosen
     keys = chosen.select("key", "h").distinct()
@@ -135,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     m = Machine(*paces(table[np.argsort(table[:, 0])], n.n, n.pos))
     got = hash_sample(docs, "h", sample).collect()
     docs.unpersist()
+    keep.free()
     got = sorted(got, key=lambda r: (r.h, r.y))
     return m.fit([m.place(unpacked(r.t)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
 
