@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = F.broadcast(chosen) if few else chosen
     keys = chosen.select("key", "h").distinct()
     taken = base.join(F.broadcast(keys) if few else keys, ["key", "h"], "left_semi")
-    docs = taken.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen, ["key", "h"]).select("h", "y", "t").persist()
+    docs = taken.mapInPandas(hashed, f"key {kind}, h long, t binary").join(chosen, ["key", "h"]).select("h", "y", "t")
+    docs = keep.cut(docs)  # on disk, not cached: the terms grow with the labels, and one Python worker a task is at work at a time
     n = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
 
     def tally(batches):
@@ -135,7 +136,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     table = np.concatenate([np.empty((0, 3), np.int64), *got])
     m = Machine(*paces(table[np.argsort(table[:, 0])], n.n, n.pos))
     got = hash_sample(docs, "h", sample).collect()
-    docs.unpersist()
     keep.free()
     got = sorted(got, key=lambda r: (r.h, r.y))
     return m.fit([m.place(unpacked(r.t)) for r in got], np.array([r.y for r in got], float)) if got and len(m.vocab) else m
