@@ -22,11 +22,12 @@ def priced(items: DataFrame, prices: DataFrame) -> DataFrame:
     """items (model, input_tokens, output_tokens, content_type) with input_cost, output_cost and cost. Null tokens are 0; every content type but audio is text. Of a model listed
     twice the greater prices count.
 
-    The price table is a dimension of a few rows; Spark broadcasts it by its own size check, and its default row is one scalar subquery."""
+    The price table is a dimension of a few rows and is broadcast by a hint: rows made in the session have no size that Spark knows, and items dealt by model would meet in a few
+    tasks. Its default row is one scalar subquery."""
     rates = F.struct("text", "audio", "output")
     default = prices.where("model = 'default'").agg(F.max(rates).alias("d")).scalar()
     side = prices.groupBy(F.col("model").alias("_m")).agg(F.max(rates).alias("_rates"))
-    met = items.join(side, items["model"] == F.col("_m"), "left").withColumn("_rates", F.coalesce("_rates", default))
+    met = items.join(F.broadcast(side), items["model"] == F.col("_m"), "left").withColumn("_rates", F.coalesce("_rates", default))
     into, out = (F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens"))
     input_cost = into / F.lit(1e6) * F.when(F.col("content_type") == "audio", F.col("_rates.audio")).otherwise(F.col("_rates.text"))
     met = met.withColumn("input_cost", input_cost).withColumn("output_cost", out / F.lit(1e6) * F.col("_rates.output"))
