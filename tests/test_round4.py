@@ -16,3 +16,10 @@ def test_items_are_not_dealt_by_model(spark, tmp_path):
     p = pricing.priced(items, pricing.price_table(spark))
     assert "SortMergeJoin" not in plan(p) and "BroadcastHashJoin" in plan(p)
     assert p.count() == 100 and p.where("cost is null").count() == 0
+
+
+def test_breakdown_deals_items_by_task_alone(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 9).alias("k"), F.col("id").alias("n"), F.lit("m").alias("model"), F.col("id").alias("input_tokens"), F.col("id").alias("output_tokens"), F.lit("text").alias("content_type")).write.parquet(str(tmp_path / "items"))
+    t = pricing.totals(pricing.priced(spark.read.parquet(str(tmp_path / "items")), pricing.price_table(spark)), "k", "n")
+    assert "hashpartitioning(k#" in plan(t) and not re.search(r"hashpartitioning\(model#\d+, \d+\)[^\n]*\n[^\n]*Scan parquet", plan(t)) and "SortMergeJoin" not in plan(t)
+    assert {(r.k, len(r.breakdown)) for r in t.collect()} == {(k, 12 if k == 0 else 11) for k in range(9)}
