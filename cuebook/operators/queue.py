@@ -187,8 +187,8 @@ _FILE = "file_uid: string, original_filename: string, vad_segments: array<struct
 
 
 def recovered(jobs: DataFrame) -> DataFrame:
-    """The files of stored jobs, rebuilt from their four JSON columns (file_mapping_json, file_durations_json, file_log_uuids_json, task_params_json): batch_id, place, file_uid, filename,
-    duration (0 if not stored), task_id ('' if not stored), segments, model, provider, source_lang, target_lang, prompt, and the status that work goes on from.
+    """The files of stored jobs, rebuilt from their four JSON columns (file_mapping_json, file_durations_json, file_log_uuids_json, task_params_json): batch_id, place, nth (from 0 among
+    the job's files in the order of their places, null for a row without a file), file_uid, filename, duration (0 if not stored), task_id ('' if not stored), segments, model, provider, source_lang, target_lang, prompt, and the status that work goes on from.
 
     A job that isn't at an end goes on polling; one at an end keeps its status. One whose mapping is broken, empty or null, or any of whose other columns is broken, has failed, and
     keeps a row without a file. Other columns that are null, blank or not there count as empty."""
@@ -205,18 +205,21 @@ def recovered(jobs: DataFrame) -> DataFrame:
     d = d.withColumn("_bad", broken | empty)
     over = F.col("status").isin("COMPLETED", "FAILED", "RETRIEVED")
     state = F.when(over, F.col("status")).when(F.col("_bad"), "FAILED").otherwise("POLLING")
-    rows = d.withColumn("status", state).withColumn("_files", F.when(~F.col("_bad"), F.col("_files"))).select("batch_id", "status", "_durations", "_logs", "_params", F.explode_outer("_files").alias("place", "f"))
+    # a job's files are one value, so they are put in order in it (null places first), those without an id last
+    entry = F.transform(F.map_entries("_files"), lambda e: F.struct(e["value"]["file_uid"].isNull().alias("none"), e["key"].try_cast("int").alias("place"), e["value"].alias("f")))
+    files = F.array_sort(entry)
+    rows = d.withColumn("status", state).withColumn("_files", F.when(~F.col("_bad"), files)).select("batch_id", "status", "_durations", "_logs", "_params", F.posexplode_outer("_files").alias("nth", "e")).withColumns({"place": F.col("e.place"), "f": F.col("e.f")})
     uid = F.col("f.file_uid")
     params = [F.when(uid.isNotNull(), F.coalesce(F.col("_params")[p], F.lit(default))).alias(p) for p, default in (("model", ""), ("provider", "google"), ("source_lang", ""), ("target_lang", None), ("prompt", ""))]
     known = lambda m, x: F.when(uid.isNotNull(), F.coalesce(F.try_element_at(m, uid), x))
-    return rows.select("batch_id", F.col("place").try_cast("int").alias("place"), uid.alias("file_uid"), F.col("f.original_filename").alias("filename"), known("_durations", F.lit(0.0)).alias("duration"), known("_logs", F.lit("")).alias("task_id"), F.col("f.vad_segments").alias("segments"), *params, "status")
+    return rows.select("batch_id", "place", F.when(uid.isNotNull(), F.col("nth").cast("long")).alias("nth"), uid.alias("file_uid"), F.col("f.original_filename").alias("filename"), known("_durations", F.lit(0.0)).alias("duration"), known("_logs", F.lit("")).alias("task_id"), F.col("f.vad_segments").alias("segments"), *params, "status")
 
 
 def replayed(files: DataFrame, responses: DataFrame, states: DataFrame) -> DataFrame:
     """recovered() files met by the service's state of their job (batch_id, state) and its answers (batch_id, place from 0 among the job's files, text, null for a failed one):
     files with text and status. A job not at an end, or of no known state, goes on polling; one that failed fails its files; of one that succeeded a file with an answer is
     COMPLETED, one with a null answer FAILED, and files beyond the answers keep RECOVERING."""
-    nth = Ordered(files.where("file_uid is not null"), "batch_id", ["place"]).scan(_nth=place()).rows().withColumn("_nth", F.col("_nth") - 1)
+    nth = files.where("file_uid is not null").withColumnRenamed("nth", "_nth")
     side = responses.select(F.col("batch_id").alias("_b"), F.col("place").alias("_p"), "text", F.lit(True).alias("_answered"))
     met = nth.join(states.select(F.col("batch_id").alias("_s"), "state"), F.col("batch_id") == F.col("_s"), "left").join(side, (F.col("batch_id") == F.col("_b")) & (F.col("_nth") == F.col("_p")), "left")
     ended = F.when(F.col("_answered").isNull(), "RECOVERING").when(F.col("text").isNull(), "FAILED").otherwise("COMPLETED")

@@ -24,8 +24,9 @@ def query(sql: str):
 
 
 def _jobs(spark, d):
-    """customer in the role of batch jobs, with two to twelve files each in their JSON."""
-    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    """customer in the role of batch jobs, with two to twelve files each in their JSON. The few bytes of a row become long texts, so rows are dealt first: a small file is one task else."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
     state = F.element_at(F.array(*map(F.lit, ("UPLOADING", "POLLING", "RECOVERING", "COMPLETED", "FAILED", "RETRIEVED"))), (F.col("c_nationkey") % 6 + 1).cast("int"))
     entry = lambda i: F.struct(F.concat(F.lit("u"), i.cast("string")).alias("file_uid"), F.concat(F.lit("f"), i.cast("string"), F.lit(".mp3")).alias("original_filename"))
     places = F.sequence(F.lit(0), (k % 11 + 1).cast("int"))

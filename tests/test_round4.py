@@ -23,3 +23,12 @@ def test_breakdown_deals_items_by_task_alone(spark, tmp_path):
     t = pricing.totals(pricing.priced(spark.read.parquet(str(tmp_path / "items")), pricing.price_table(spark)), "k", "n")
     assert "hashpartitioning(k#" in plan(t) and not re.search(r"hashpartitioning\(model#\d+, \d+\)[^\n]*\n[^\n]*Scan parquet", plan(t)) and "SortMergeJoin" not in plan(t)
     assert {(r.k, len(r.breakdown)) for r in t.collect()} == {(k, 12 if k == 0 else 11) for k in range(9)}
+
+
+def test_replay_orders_files_without_a_window(spark):
+    mapping = '{"10": {"file_uid": "c"}, "2": {"file_uid": "b"}, "x": {"file_uid": "a"}, "1": {"original_filename": "no id"}}'
+    files = queue.recovered(spark.createDataFrame([("j", "POLLING", mapping)], "batch_id string, status string, file_mapping_json string"))
+    assert {(r.file_uid, r.nth) for r in files.collect()} == {("a", 0), ("b", 1), ("c", 2), (None, None)}
+    answers = spark.createDataFrame([("j", k, f"said {k}") for k in range(3)], "batch_id string, place int, text string")
+    got = queue.replayed(files, answers, spark.createDataFrame([("j", "JOB_STATE_SUCCEEDED")], "batch_id string, state string"))
+    assert "Window" not in plan(got) and {(r.file_uid, r.text) for r in got.collect()} == {("a", "said 0"), ("b", "said 1"), ("c", "said 2")}
