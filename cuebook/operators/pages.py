@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 #: Spans of time whose rows are counted, each within the ones before.
 SPANS = ("year", "day", "hour", "minute", "second", "millisecond")
 #: Rows that may be sorted past for a page.
 NEAR = 10_000
+#: Rows of a file of a written list, at least, and the name of the column with a row's place in its file.
+FILE_ROWS, AT = 250_000, "_place in file"
 
 
 def newest_first(time: str = "requested_at", key: str = "task_id") -> list[Column]:
@@ -50,22 +52,24 @@ def after(log: DataFrame, last_time, last_key, size: int, time: str = "requested
 
 
 class Pages:
-    """A list written once in its order, in ranges of about rows_a_part rows, for many pages: each reads the ranges that hold it."""
+    """A list written once in its order, in files of FILE_ROWS rows or so, for many pages: each reads the files that hold it, and of these, by the place of their rows, the Parquet pages
+    of rows_a_part rows that hold it. So small ranges don't make as many files."""
 
     def __init__(self, spark: SparkSession, folder: str, time: str = "requested_at", key: str = "task_id"):
         self.spark, self.folder, self.time, self.key = spark, folder, time, key
 
     def write(self, log: DataFrame, rows_a_part: int = 100_000) -> None:
         order = newest_first(self.time, self.key)
-        parts = max(1, -(-log.count() // rows_a_part))
-        d = log.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        parts = max(1, -(-log.count() // max(FILE_ROWS, rows_a_part)))
+        d = log.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order)
+        d = d.withColumn(AT, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))  # the row's place in its partition
         log.limit(0).write.mode("overwrite").parquet(f"{self.folder}/schema")
-        d.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/rows")
+        d.write.mode("overwrite").option("parquet.page.row.count.limit", rows_a_part).partitionBy("part").parquet(f"{self.folder}/rows")
         self._rows().groupBy("part").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/counts")
 
     def _rows(self) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.folder}/schema").schema
-        return self.spark.read.schema(schema.add("part", IntegerType())).parquet(f"{self.folder}/rows")
+        return self.spark.read.schema(schema.add(AT, LongType()).add("part", IntegerType())).parquet(f"{self.folder}/rows")
 
     def page(self, number: int, size: int) -> DataFrame:
         """Page number (from 1) of size rows; none beyond the end."""
@@ -74,6 +78,9 @@ class Pages:
         upto = F.expr("sum(n) over (order by part)")
         held = counts.withColumn("upto", upto).where((F.col("upto") > skip) & (F.col("upto") - F.col("n") < skip + size)).orderBy("part").collect()
         if not held:
-            return self._rows().where("false").drop("part")
-        rows = self._rows().where(F.col("part").isin([r.part for r in held])).drop("part")
-        return rows.orderBy(*newest_first(self.time, self.key)).offset(skip - (held[0].upto - held[0].n)).limit(size)
+            return self._rows().where("false").drop("part", AT)
+        low = skip - (held[0].upto - held[0].n)
+        rows = self._rows().where(F.col("part").isin([r.part for r in held]))
+        rows = rows.where(F.col(AT).between(low, low + size - 1)) if len(held) == 1 else rows.where((F.col("part") > held[0].part) | (F.col(AT) >= low))
+        rows = rows.drop("part", AT).orderBy(*newest_first(self.time, self.key))
+        return rows.limit(size)

@@ -25,6 +25,19 @@ def test_breakdown_deals_items_by_task_alone(spark, tmp_path):
     assert {(r.k, len(r.breakdown)) for r in t.collect()} == {(k, 12 if k == 0 else 11) for k in range(9)}
 
 
+def test_small_ranges_make_few_files(spark, tmp_path, monkeypatch):
+    log = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") % 700)).alias("requested_at"), F.col("id").alias("task_id"))
+    want = [r.task_id for r in log.orderBy(*pages.newest_first()).collect()]
+    for rows, files in ((250_000, 1), (900, 4)):
+        monkeypatch.setattr(pages, "FILE_ROWS", rows, raising=False)
+        held = pages.Pages(spark, str(tmp_path / str(rows)))
+        held.write(log, 10)
+        assert len(list((tmp_path / str(rows) / "rows").glob("part=*"))) == files
+        for number, size in ((1, 40), (7, 130), (3, 1000), (2, 2900), (31, 100)):
+            got = held.page(number, size)
+            assert got.columns == log.columns and [r.task_id for r in got.collect()] == want[(number - 1) * size : number * size]
+
+
 def test_replay_orders_files_without_a_window(spark):
     mapping = '{"10": {"file_uid": "c"}, "2": {"file_uid": "b"}, "x": {"file_uid": "a"}, "1": {"original_filename": "no id"}}'
     files = queue.recovered(spark.createDataFrame([("j", "POLLING", mapping)], "batch_id string, status string, file_mapping_json string"))
