@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -72,6 +73,18 @@ class Scratch:
                 self.paths[path] = None
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most so many rows at once to Python, for work on whole texts; a smaller setting of the session's own holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, before) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int = 4096, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key at most. Rows of a key that left uses more than so many times are dealt by other to copies of right's row."""
     hubs = left.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_copies")).where("_copies > 1")

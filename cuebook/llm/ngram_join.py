@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, Scratch, components, hub_join, lowered, numbers, planes, shingles
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, arrow_rows, components, hub_join, lowered, numbers, planes, shingles
 
 CHUNK = 512
+#: Texts that a task of Python holds at once, besides a portion.
+TEXTS = 500
 #: Shingles (and documents) of a task dealt out together, shingles a bucket, and uses within a task's portion from which a hash counts as common.
 PORTION, MOST_DOCS, BUCKET, COMMON = 2_000_000, 60_000, 8_000_000, 32
 
@@ -98,23 +100,28 @@ def dealt(docs: DataFrame, bits: int, n_words: int) -> DataFrame:
     portion are one."""
 
     def portion(number, found):
+        """The rows of a portion; found is emptied, and each array goes once it is used."""
         from itertools import pairwise
 
         n = np.array([len(s) for s in found.values()], np.uint32)
-        token = np.concatenate(list(found.values())) >> np.uint64(32 - bits)
-        own = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-        order = token.argsort(kind="stable")
-        token, own = token[order], own[order]
-        at, length = runs(token)
-        common = np.repeat(length > COMMON, length)
         out = [(number % (1 << bits), number, DOCS, b"".join(found), n.tobytes(), None)]
-        if common.any():
-            seen = token[at[length > COMMON]]
+        token = np.concatenate(list(found.values()))
+        found.clear()
+        token >>= np.uint64(32 - bits)
+        order = token.argsort(kind="stable")
+        token = token[order]
+        own = np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
+        del order
+        seen = np.unique(token[COMMON:][token[COMMON:] == token[:-COMMON]])
+        if len(seen):
+            common = np.zeros(len(token), bool)
+            for lo, hi in zip(token.searchsorted(seen), token.searchsorted(seen, "right"), strict=True):
+                common[lo:hi] = True
             for lo, size in zip(*runs(seen >> np.uint64(32)), strict=True):
                 out.append((int(seen[lo] >> np.uint64(32)), number, SUMS, seen[lo : lo + size].astype(np.uint32).tobytes(), None, None))
             out.append((number % (1 << bits), number, BACK, planes(own[common]), planes(token[common]), np.full(common.sum(), COMMON, np.uint8).tobytes()))
-        token, own = token[~common], own[~common]
-        edge = np.searchsorted(token >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+            token, own = token[~common], own[~common]
+        edge = token.searchsorted(np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
         for k, (lo, hi) in enumerate(pairwise(edge.tolist())):
             if hi > lo:
                 low = token[lo:hi].astype(np.uint32)
@@ -294,8 +301,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     Documents link when 100 * intersection >= percent * union of their distinct n_words-shingles (words: runs of anything but ASCII white space, A-Z lower-cased).
     Null, empty or blank texts have 0 shingles and link with nothing. Repeated rows keep their rows, and rows that share an id may have different texts.
     Ids may be of any type that can be ordered. A row with a null id keeps its size, links with nothing and has a null component. Other columns are ignored."""
-    keep = Scratch(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    with arrow_rows(df.sparkSession, TEXTS):
+        return _jaccard_components(df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), percent, n_words)
+
+
+def _jaccard_components(docs: DataFrame, percent: int, n_words: int) -> DataFrame:
+    keep = Scratch(docs.sparkSession)
     every = keep.cut(sets(docs, n_words))
     full = every.where("n > 0 and id is not null")
     classes = keep.cut(full.groupBy("n", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()))
