@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def priced(items: DataFrame, prices: DataFrame) -> DataFrame:
 DISCOUNT = 0.5
 
 
+#: Items that a task sums at most, about; more than the session's partitions hold are dealt to more tasks.
+TASK_ROWS = 500_000
+
+
+def dealt(items: DataFrame, key: str) -> DataFrame:
+    """items dealt by key to so many tasks that each has about TASK_ROWS; where the session's own partitions are enough, Spark deals them. One counting pass over the items."""
+    tasks = math.ceil(items.count() / TASK_ROWS)
+    return items.repartition(tasks, key) if tasks > int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) else items
+
+
 def totals(items: DataFrame, key: str, order: str, flex: str | None = None) -> DataFrame:
     """priced() items summed by task: tokens, costs, and breakdown, the items in order. With flex, a flag of items, the costs of a task with a true one are halved; the
     breakdown keeps the full ones."""
@@ -45,4 +57,4 @@ def totals(items: DataFrame, key: str, order: str, flex: str | None = None) -> D
     row = F.struct(F.col(order).alias("place"), "content_type", n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), "cost")
     factor = F.when(F.bool_or(F.coalesce(flex, F.lit(False))), DISCOUNT).otherwise(1.0) if flex else F.lit(1.0)
     sums = [F.sum(n(c)).alias(c) for c in ("input_tokens", "output_tokens")] + [(F.sum(n(c)) * factor).alias(c) for c in ("input_cost", "output_cost", "cost")]
-    return items.groupBy(key).agg(F.sum(n("input_tokens") + n("output_tokens")).alias("tokens"), *sums, F.array_sort(F.collect_list(row)).alias("breakdown"))
+    return dealt(items, key).groupBy(key).agg(F.sum(n("input_tokens") + n("output_tokens")).alias("tokens"), *sums, F.array_sort(F.collect_list(row)).alias("breakdown"))

@@ -25,6 +25,17 @@ def test_breakdown_deals_items_by_task_alone(spark, tmp_path):
     assert {(r.k, len(r.breakdown)) for r in t.collect()} == {(k, 12 if k == 0 else 11) for k in range(9)}
 
 
+def test_tasks_of_breakdown_grow_with_items(spark, tmp_path, monkeypatch):
+    spark.range(1000).select((F.col("id") % 90).alias("k"), F.col("id").alias("n"), (F.col("id") % 7 == 0).alias("flex"), F.lit("m").alias("model"), F.col("id").alias("input_tokens"), F.col("id").alias("output_tokens"), F.lit("text").alias("content_type")).write.parquet(str(tmp_path / "items"))
+    items = pricing.priced(spark.read.parquet(str(tmp_path / "items")), pricing.price_table(spark))
+    want = {r.k: r for r in pricing.totals(items, "k", "n", "flex").collect()}
+    monkeypatch.setattr(pricing, "TASK_ROWS", 40, raising=False)
+    t = pricing.totals(items, "k", "n", "flex")
+    assert re.search(r"hashpartitioning\(k#\d+L?, 25\)", plan(t)) and plan(t).count("hashpartitioning(k#") == 1
+    got = {r.k: r for r in t.collect()}
+    assert got.keys() == want.keys() and all(g.breakdown == want[k].breakdown and g.tokens == want[k].tokens and abs(g.cost - want[k].cost) < 1e-9 for k, g in got.items())
+
+
 def test_small_ranges_make_few_files(spark, tmp_path, monkeypatch):
     log = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") % 700)).alias("requested_at"), F.col("id").alias("task_id"))
     want = [r.task_id for r in log.orderBy(*pages.newest_first()).collect()]
