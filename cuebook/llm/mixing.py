@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import cut
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, cut
 
 #: Weights by position of the source.
 WEIGHTS = (3, 1, 2)
@@ -72,16 +72,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     size counts runs of anything but ASCII white space (null: 0). taken, the words of the row in the mix, repeats counted, is at most 2 * size; a source's taken words are its target, rounded. Null sources are one
     source. Empty documents take 0; an empty table gives no rows. Repeated rows and null ids keep their rows, each with its own place on the line; rows alike in
     id, source and size may change places. Other columns are ignored."""
-    d, plan = laid(docs, id_col, text, source, block, weights)
-    taken = pieces(d, plan, block).groupBy("row").agg(F.sum("words").alias("taken"))
+    keep = Scratch(docs.sparkSession)
+    d, plan = laid(docs, id_col, text, source, block, weights, keep)
+    taken = cut(pieces(d, plan, block, keep).groupBy("row").agg(F.sum("words").alias("taken")))
+    keep.free()
     return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
     """The mix itself, one row for each piece of a document in a slot: slot, source, block, place, doc_id, at, words. Ordered by slot and place it is the mix in schedule
-    order; place is the piece's first word in the block, at in the document. Rows of docs are treated as in mix()."""
-    d, plan = laid(docs, id_col, text, source, block, weights)
-    return pieces(d, plan, block).drop("row")
+    order; place is the piece's first word in the block, at in the document. Rows of docs are treated as in mix(). The slots stay in the shared folder, as the result reads them."""
+    keep = Scratch(docs.sparkSession)
+    d, plan = laid(docs, id_col, text, source, block, weights, keep)
+    return pieces(d, plan, block, keep).drop("row")
 
 
 def owed(d: DataFrame) -> DataFrame:
@@ -89,17 +92,24 @@ def owed(d: DataFrame) -> DataFrame:
     return d.where("size > 0").groupBy("source").agg(F.first("source_size").alias("whole"), F.floor(F.first("target") + 0.5).alias("words")).select(F.col("source").alias("s"), "whole", "words")
 
 
-def turned(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def turned(d: DataFrame, plan: DataFrame, block: int, keep: Scratch) -> DataFrame:
     """(slot, s, b, upto): the slots that a source needs for its words, with their block and the word of the line that they may reach. Slots beyond go; what a source with too few
-    slots still owes follows in closing slots at the end of the schedule, a few for each source, as the schedule's discrepancy is small."""
+    slots still owes follows in closing slots at the end of the schedule, a few for each source, as the schedule's discrepancy is small.
+
+    Slots and the tables by source are written first: read several times in one plan, they would each be planned, compiled and run again, all of it in the driver's memory at once."""
     n, rest = F.ceil(F.col("whole") / block), F.col("words") % F.col("whole")
-    need = owed(d).withColumn("n", n).withColumn("need", F.floor(F.col("words") / F.col("whole")) * n + F.ceil(rest / block))
-    slots = ranked(plan)
+    need = small(keep.cut(owed(d).withColumn("n", n).withColumn("need", F.floor(F.col("words") / F.col("whole")) * n + F.ceil(rest / block))))
+    slots = keep.cut(ranked(plan))
     same = F.col("source").eqNullSafe(F.col("s"))
     held = slots.join(need, same).where("rank < need")
-    have = slots.groupBy("source").agg(F.count("*").alias("m"))
-    short = need.join(have, same, "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < need")
-    end = slots.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("end"))
+    have = keep.cut(slots.groupBy("source").agg(F.count("*").alias("m"), F.max("slot").alias("last")))
+    short = need.join(small(have.drop("last")), same, "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < need")
+    end = have.agg(F.coalesce(F.max("last"), F.lit(0)).alias("end"))
     closing = short.select("s", "whole", "words", "n", "need", "m", F.explode(F.expr("sequence(m, need - 1)")).alias("rank"))
     place = F.row_number().over(Window.orderBy(F.col("rank") - F.col("m"), F.col("s").isNull(), F.encode("s", "UTF-8")))
     closing = closing.withColumn("slot", place + end.scalar())
@@ -107,25 +117,25 @@ def turned(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
     return both.select("slot", "s", (F.col("rank") % F.col("n")).alias("b"), (F.col("words") - F.floor(F.col("rank") / F.col("n")) * F.col("whole")).alias("upto"))
 
 
-def pieces(d: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+def pieces(d: DataFrame, plan: DataFrame, block: int, keep: Scratch) -> DataFrame:
     """The slots joined with the pieces of documents in their blocks, the last one cut to what its source owes; a block is taken twice at most."""
     first, last = F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)
     parts = d.where("size > 0").select("row", "doc_id", "source", "a", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest("a", F.col("block") * block), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.select("row", "doc_id", "source", "block", (lo - F.col("block") * block).alias("place"), (lo - F.col("a")).alias("at"), lo.alias("lo"), hi.alias("hi"))
-    met = turned(d, plan, block).join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block"))).where("lo < upto")
+    met = turned(d, plan, block, keep).join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block"))).where("lo < upto")
     return met.select("row", "slot", "source", "block", "place", "doc_id", "at", (F.least("hi", "upto") - F.col("lo")).alias("words"))
 
 
-def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, weights):
+def laid(docs: DataFrame, id_col: str, text: str, source: str, block: int, weights, keep: Scratch):
     """(documents on the lines of their sources, with first word a and the source's size and target; schedule)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
     d = d.withColumn("row", F.monotonically_increasing_id())
     h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))), F.lit(":mix")))  # null ids don't meet in one part
     d = cut(d.withColumn("h", h).withColumn("part", F.substring("h", 1, PART_DIGITS)))
-    sums = cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
-    quota = cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
+    sums = keep.cut(d.groupBy("source", "part").agg(F.sum("size").alias("n")))
+    quota = keep.cut(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
     q = quota.withColumnRenamed("source", "qs")
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "start").join(q, F.col("s").eqNullSafe(F.col("qs"))).drop("qs")
