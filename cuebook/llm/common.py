@@ -85,6 +85,19 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def planned_joins(spark: SparkSession):
+    """Within it, jobs join as planned: a side that turns out small isn't gathered and broadcast by the driver after both sides are shuffled already, which saves nothing
+    in an operator of many small joins. Tables known to be small before, or asked for by F.broadcast, are broadcast as ever, and skewed joins are still split."""
+    name = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def hub_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: int = 4096, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key at most. Rows of a key that left uses more than so many times are dealt by other to copies of right's row."""
     hubs = left.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_copies")).where("_copies > 1")
@@ -208,34 +221,31 @@ def shingles(b: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def _mark(e: DataFrame):
-    """Count and two order-free marks of a set of edges: equal marks mean an equal set, but for a 128-bit collision."""
-    return tuple(e.agg(F.count("*"), *[F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (1, 2)]).first())
+def settled(e: DataFrame) -> bool:
+    """Whether each u of the edges has one v alone, which is no edge's u: then v is its component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count() == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges. Only nodes with an edge appear.
 
-    Alternating large-star and small-star steps; each step is an aggregate and a join, written to the shared folder, and the one before is deleted. Minima are
-    taken before the shuffle; the neighbours of a much-used node are dealt to copies of its minimum. Null ends are ignored."""
+    Alternating large-star and small-star steps until all edges are stars; each step is an aggregate and a join, written to the shared folder, and the ones before are
+    deleted. Minima are taken before the shuffle; the neighbours of a much-used node are dealt to copies of its minimum. Null ends are ignored."""
     keep = Scratch(edges.sparkSession)
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = keep.cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _mark(e)
     for _ in range(max_rounds):
+        if settled(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keep.cut(hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")  # a row for each smaller neighbour's component: no hub is left on this side
         new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        new = keep.cut(new.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = _mark(new)
-        keep.free(new)
-        e = new
-        if now == before:
-            break
-        before = now
+        e = keep.cut(new.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        keep.free(e)
     else:
         raise RuntimeError("components did not settle")
     top = e.groupBy("u").agg(F.min("v").alias("component"))

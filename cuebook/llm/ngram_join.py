@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebook.llm.common import BROADCAST_ROWS, Scratch, arrow_rows, components, hub_join, lowered, numbers, planes, shingles
+from cuebook.llm.common import BROADCAST_ROWS, Scratch, arrow_rows, components, hub_join, lowered, numbers, planes, planned_joins, shingles
 
 CHUNK = 512
 #: Texts that a task of Python holds at once, besides a portion.
@@ -301,7 +301,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     Documents link when 100 * intersection >= percent * union of their distinct n_words-shingles (words: runs of anything but ASCII white space, A-Z lower-cased).
     Null, empty or blank texts have 0 shingles and link with nothing. Repeated rows keep their rows, and rows that share an id may have different texts.
     Ids may be of any type that can be ordered. A row with a null id keeps its size, links with nothing and has a null component. Other columns are ignored."""
-    with arrow_rows(df.sparkSession, TEXTS):
+    with arrow_rows(df.sparkSession, TEXTS), planned_joins(df.sparkSession):
         return _jaccard_components(df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), percent, n_words)
 
 
